@@ -30,6 +30,17 @@ RISK_DEAD, RISK_CRITICAL, RISK_HIGH, RISK_MEDIUM, RISK_LOW = (
     "Dead-stock risk", "Critical", "High", "Medium", "Low")
 
 
+def dround(c: Column, n: int) -> Column:
+    """Half-even rounding decided on the value's decimal digits.
+
+    The value first goes through decimal(38,10), which absorbs last-bit
+    noise from summation order (partitioning), then rounds half-even, so
+    ties such as 27.55 resolve the same way however the sum was formed.
+    NaN and infinities pass through."""
+    dec = F.bround(c.try_cast("decimal(38,10)"), n).cast("double")
+    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c).otherwise(F.coalesce(dec, c))
+
+
 def z_for_service(service_level: float) -> float:
     for level, z in Z_STEPS:
         if service_level >= level:
@@ -73,8 +84,8 @@ def eoq(annual_demand: Column, unit_cost: Column, holding: Column, order_cost) -
 
 
 def recommended_qty(shortage: Column, eoq_: Column, moq: Column) -> Column:
-    first = F.bround(F.greatest(shortage, F.when(shortage > 0, eoq_).otherwise(F.lit(0.0))), 0)
-    return F.bround(F.greatest(first, F.when(shortage > 0, moq).otherwise(F.lit(0.0))), 0)
+    first = dround(F.greatest(shortage, F.when(shortage > 0, eoq_).otherwise(F.lit(0.0))), 0)
+    return dround(F.greatest(first, F.when(shortage > 0, moq).otherwise(F.lit(0.0))), 0)
 
 
 def stockout_risk(avg: Column, stock: Column, cover: Column, lead_time: Column,
@@ -103,7 +114,7 @@ def supplier_risk_score(on_time: Column, defect: Column, lead: Column, lead_std:
            + clip(lead, 0.0, 60.0) / 60 * 25
            + clip(lead_std, 0.0, 20.0) / 20 * 15
            + F.least(high_risk, F.lit(5)) * 3)
-    return F.bround(clip(raw, 0.0, 100.0), 1)
+    return dround(clip(raw, 0.0, 100.0), 1)
 
 
 def risk_band(score: Column) -> Column:

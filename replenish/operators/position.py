@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replenish import schemas
-from replenish.functions.planning import CLOSED_PO_STATUSES
+from replenish.functions.planning import CLOSED_PO_STATUSES, dround
 
 DEMAND_COLS = ("avg_daily_demand", "std_daily_demand", "forecast_horizon_qty", "annual_demand_qty")
 
@@ -167,11 +167,11 @@ def bom_explosion(bom: DataFrame, health: DataFrame, parent_first: DataFrame) ->
                          "recommended_order_qty")
     par = parent_first.select(F.col("sku").alias("parent_sku"), F.col("forecast_horizon_qty").alias("parent_forecast"))
     j = bom.join(par, "parent_sku").join(comp, "component_sku", "left")
-    required = F.bround(F.col("qty_required") * F.col("parent_forecast"), 1)
+    required = dround(F.col("qty_required") * F.col("parent_forecast"), 1)
     stock = F.coalesce("stock", F.lit(0.0))
     return j.select(
         "parent_sku", "component_sku", "component_name", "qty_required", "component_warehouse",
         stock.alias("stock"),
         required.alias("required_for_forecast"),
-        F.bround(F.greatest(required - stock, F.lit(0.0)), 1).alias("shortage_for_forecast"),
+        dround(F.greatest(required - stock, F.lit(0.0)), 1).alias("shortage_for_forecast"),
     )

@@ -59,4 +59,4 @@ def mcda(risk: DataFrame, w_price: float = 0.3, w_speed: float = 0.2, w_reliabil
                                       + c("score_reliability") * w_reliability
                                       + c("score_quality") * w_quality) / total_w)
     numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    return df.select(*[F.bround(c(n), 2).alias(n) if n in numeric else c(n) for n in df.columns])
+    return df.select(*[P.dround(c(n), 2).alias(n) if n in numeric else c(n) for n in df.columns])

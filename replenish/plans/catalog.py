@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from replenish.functions.planning import dround
 from replenish.params import PlanParams
 from replenish.plans.model import SupplyModel
 from replenish.sources import tpch
@@ -23,12 +24,8 @@ _MODELS: dict = {}
 
 
 def round_half_even(c, n: int):
-    """Half-even rounding of the value's decimal form (NaN / inf unchanged).
-
-    Going through decimal(38,10) makes the tie decision on decimal digits,
-    which engines agree on; rounding the binary value directly does not."""
-    dec = F.bround(c.try_cast("decimal(38,10)"), n).cast("double")
-    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), c).otherwise(F.coalesce(dec, c))
+    """Output rounding (see ``replenish.functions.planning.dround``)."""
+    return dround(c, n)
 
 
 def finalize(df: DataFrame, decimals: int = 4, overrides: dict[str, int] | None = None) -> DataFrame:
@@ -163,3 +160,219 @@ HEALTH_COLS = ["sku", "product", "warehouse", "stock", "avg_daily_demand", "days
 @query("inventory_health")
 def inventory_health(spark, sf_dir):
     return finalize(model(spark, sf_dir).health.select(*HEALTH_COLS), 4, {"cum_revenue_pct": 6})
+
+
+@query("demand_forecast_top20")
+def demand_forecast_top20(spark, sf_dir):
+    h = model(spark, sf_dir).base
+    top = h.orderBy(F.col("forecast_horizon_qty").desc(), "sku", "product", "warehouse").limit(20)
+    return finalize(top.select("sku", "product", "warehouse", "forecast_horizon_qty", "avg_daily_demand",
+                               "stockout_risk"))
+
+
+@query("forecast_projection")
+def forecast_projection(spark, sf_dir):
+    from replenish.operators.demand import forecast_projection as fp
+    m = model(spark, sf_dir)
+    return finalize(fp(m.sales, m.first_rows(), m.params.horizon_days))
+
+
+@query("demand_spikes")
+def demand_spikes(spark, sf_dir):
+    from replenish.operators.demand import demand_spikes as ds
+    return finalize(ds(model(spark, sf_dir).sales))
+
+
+@query("seed_inventory_from_sales")
+def seed_inventory_from_sales(spark, sf_dir):
+    from replenish.operators.demand import seed_inventory
+    return finalize(seed_inventory(model(spark, sf_dir).sales))
+
+
+@query("seed_suppliers")
+def seed_suppliers(spark, sf_dir):
+    from replenish.operators.position import seed_suppliers as ss
+    return finalize(ss(model(spark, sf_dir).inventory))
+
+
+# ---- bill of materials (B1-B6) -------------------------------------------
+@query("bom_dependent_demand")
+def bom_dependent_demand(spark, sf_dir):
+    from replenish.operators.position import dependent_demand, stock_demand
+    m = model(spark, sf_dir)
+    return finalize(dependent_demand(stock_demand(m.inventory, m.stats()), m.bom))
+
+
+@query("bom_explosion")
+def bom_explosion(spark, sf_dir):
+    from replenish.operators.position import bom_explosion as be
+    m = model(spark, sf_dir)
+    return finalize(be(m.bom, m.base, m.first_rows()))
+
+
+@query("bom_component_plan")
+def bom_component_plan(spark, sf_dir):
+    m = model(spark, sf_dir)
+    comp = m.base.join(m.bom.select(F.col("component_sku").alias("sku")), "sku", "left_semi")
+    return finalize(comp.select("sku", "product", "warehouse", "stock", "avg_daily_demand", "reorder_point",
+                                "recommended_order_qty", "recommended_order_value", "stockout_risk"))
+
+
+# ---- reorder listings (R12-R20) ------------------------------------------
+@query("calc_breakdown")
+def calc_breakdown(spark, sf_dir):
+    from replenish.operators.reorder import calc_breakdown as cb
+    m = model(spark, sf_dir)
+    return finalize(cb(m.base, m.params))
+
+
+@query("risk_distribution")
+def risk_distribution(spark, sf_dir):
+    from replenish.operators.reorder import risk_distribution as rd
+    return rd(model(spark, sf_dir).base)
+
+
+@query("dead_overstock")
+def dead_overstock(spark, sf_dir):
+    b = model(spark, sf_dir).base
+    return finalize(b.where(F.col("dead_stock_flag") | F.col("overstock_flag")).select(
+        "sku", "product", "warehouse", "stock", "days_of_cover", "dead_stock_flag", "overstock_flag"))
+
+
+@query("abc_classes")
+def abc_classes(spark, sf_dir):
+    h = model(spark, sf_dir).health
+    out = h.groupBy("abc_class").agg(F.count(F.lit(1)).alias("rows"), F.sum("annual_revenue").alias("annual_revenue"),
+                                     F.max("cum_revenue_pct").alias("max_cum_revenue_pct"))
+    return finalize(out, 6, {"annual_revenue": 1})
+
+
+@query("inventory_map")
+def inventory_map(spark, sf_dir):
+    from replenish.functions.planning import inf_to_null
+    b = model(spark, sf_dir).base
+    return finalize(b.select("sku", "product", "warehouse", inf_to_null(F.col("days_of_cover")).alias("days_of_cover"),
+                             "inventory_value", "stock", "stockout_risk"))
+
+
+# ---- suppliers (P1-P7) ----------------------------------------------------
+@query("supplier_risk")
+def supplier_risk(spark, sf_dir):
+    return finalize(model(spark, sf_dir).supplier_risk())
+
+
+@query("supplier_mcda")
+def supplier_mcda(spark, sf_dir):
+    from replenish.operators.suppliers import mcda
+    r = mcda(model(spark, sf_dir).supplier_risk())
+    return finalize(r.select("supplier_id", "supplier_name", "mcda_score", "score_price", "score_speed",
+                             "score_reliability", "score_quality", "avg_unit_cost", "avg_lead_time",
+                             "avg_on_time_rate", "avg_defect_rate", "risk_level"))
+
+
+# ---- returns (T1-T7) ------------------------------------------------------
+@query("returns_totals")
+def returns_totals(spark, sf_dir):
+    from replenish.operators.returns import totals
+    return finalize(totals(model(spark, sf_dir).returns))
+
+
+@query("returns_by_reason")
+def returns_by_reason(spark, sf_dir):
+    from replenish.operators.returns import by_reason
+    return finalize(by_reason(model(spark, sf_dir).returns))
+
+
+@query("sku_return_rate")
+def sku_return_rate(spark, sf_dir):
+    return finalize(model(spark, sf_dir).sku_returns(), 6)
+
+
+@query("supplier_returns")
+def supplier_returns(spark, sf_dir):
+    from replenish.operators.returns import defect_correlation
+    m = model(spark, sf_dir)
+    return finalize(defect_correlation(m.supplier_returns(), m.supplier_risk()), 6)
+
+
+@query("overall_return_rate")
+def overall_return_rate(spark, sf_dir):
+    from replenish.operators.returns import overall_return_rate as orr
+    m = model(spark, sf_dir)
+    return finalize(orr(m.returns, m.sales), 8)
+
+
+# ---- transfers (X1-X5) ----------------------------------------------------
+@query("transfers_whole_units")
+def transfers_whole_units(spark, sf_dir):
+    from replenish.operators.transfers import whole_unit_transfers
+    return finalize(whole_unit_transfers(model(spark, sf_dir).base))
+
+
+@query("transfers_exact")
+def transfers_exact(spark, sf_dir):
+    from replenish.operators.transfers import exact_transfers
+    return finalize(exact_transfers(model(spark, sf_dir).base))
+
+
+@query("transfer_summary")
+def transfer_summary(spark, sf_dir):
+    from replenish.operators.transfers import transfer_summary as ts
+    from replenish.operators.transfers import whole_unit_transfers
+    return finalize(ts(whole_unit_transfers(model(spark, sf_dir).base)), 2)
+
+
+# ---- economics (O, F, V) --------------------------------------------------
+@query("cost_curves")
+def cost_curves(spark, sf_dir):
+    return finalize(model(spark, sf_dir).cost_curves(), 2)
+
+
+@query("optimal_service_level")
+def optimal_service_level(spark, sf_dir):
+    from replenish.operators.economics import optimal_service_level as osl
+    return finalize(osl(model(spark, sf_dir).cost_curves()), 2)
+
+
+@query("freight_modes")
+def freight_modes(spark, sf_dir):
+    return finalize(model(spark, sf_dir).freight())
+
+
+@query("freight_portfolio")
+def freight_portfolio(spark, sf_dir):
+    from replenish.operators.economics import freight_portfolio as fp
+    return finalize(fp(model(spark, sf_dir).freight()), 2)
+
+
+@query("freight_long")
+def freight_long(spark, sf_dir):
+    from replenish.operators.economics import freight_long as fl
+    return finalize(fl(model(spark, sf_dir).freight()))
+
+
+@query("financial_velocity")
+def financial_velocity(spark, sf_dir):
+    return finalize(model(spark, sf_dir).finance())
+
+
+@query("finance_by_class")
+def finance_by_class(spark, sf_dir):
+    from replenish.operators.economics import finance_by_class as fc
+    return finalize(fc(model(spark, sf_dir).finance()), 2)
+
+
+@query("portfolio_ratios")
+def portfolio_ratios(spark, sf_dir):
+    from replenish.operators.economics import portfolio_ratios as pr
+    return finalize(pr(model(spark, sf_dir).finance()), 2)
+
+
+@query("kpis")
+def kpis(spark, sf_dir):
+    from replenish.operators.outputs import kpis as kp
+    from replenish.operators.transfers import whole_unit_transfers
+    m = model(spark, sf_dir)
+    k = kp(m.base, m.supplier_risk(), m.returns, whole_unit_transfers(m.base), m.finance(),
+           m.params.horizon_days, m.params.service_level)
+    return finalize(k, 2)

@@ -25,6 +25,11 @@ def r(expr: str, n: int = 4) -> str:
             f"ELSE CAST(round_even(CAST({x} AS DECIMAL(38,10)), {n}) AS DOUBLE) END + 0.0)")
 
 
+def dr(expr: str, n: int) -> str:
+    """Half-even rounding on decimal digits (the engine's dround)."""
+    return f"CAST(round_even(CAST(({expr}) AS DECIMAL(38,10)), {n}) AS DOUBLE)"
+
+
 def roles_sql() -> str:
     return f"""
 sales AS (
@@ -165,8 +170,7 @@ m3 AS (
   SELECT *, greatest(reorder_point - net_position, {dbl(0)}) AS shortage_qty FROM m2),
 m4 AS (
   SELECT *,
-         round_even(greatest(round_even(greatest(shortage_qty, CASE WHEN shortage_qty > 0 THEN eoq ELSE {dbl(0)} END), 0),
-                             CASE WHEN shortage_qty > 0 THEN min_order_qty ELSE {dbl(0)} END), 0) AS recommended_order_qty,
+         {dr("greatest(" + dr(f"greatest(shortage_qty, CASE WHEN shortage_qty > 0 THEN eoq ELSE {dbl(0)} END)", 0) + f", CASE WHEN shortage_qty > 0 THEN min_order_qty ELSE {dbl(0)} END)", 0)} AS recommended_order_qty,
          stock * unit_cost AS inventory_value,
          CASE WHEN avg_daily_demand <= 0 AND stock > 0 THEN 'Dead-stock risk'
               WHEN days_of_cover <= greatest({dbl(3)}, lead_time_days * {dbl(0.35)}) THEN 'Critical'

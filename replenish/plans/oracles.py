@@ -95,3 +95,302 @@ _IH = ["sku", "product", "warehouse", "stock", "avg_daily_demand", "days_of_cove
 ORACLES["inventory_health"] = with_model(f"""
 SELECT {cols(_IH, {'cum_revenue_pct': 6}, 4, ['stock', 'avg_daily_demand', 'days_of_cover', 'inventory_value'])}
 FROM health_abc""")
+
+from replenish.plans.oracle import dbl, dr  # noqa: E402
+
+# first planning row per sku in inventory-health order
+FIRST_ROWS = """fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY stockout_risk,
+    inventory_value DESC, warehouse, product) AS rn FROM base) WHERE rn = 1)"""
+# first planning row per sku in revenue order
+SKU_FIRST = """sf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY annual_revenue DESC,
+    product, warehouse) AS rn FROM position) WHERE rn = 1)"""
+
+ORACLES["demand_forecast_top20"] = with_model(f"""
+SELECT sku, product, warehouse, {r('forecast_horizon_qty')} AS forecast_horizon_qty,
+       {r('avg_daily_demand')} AS avg_daily_demand, stockout_risk
+FROM base ORDER BY forecast_horizon_qty DESC, sku, product, warehouse LIMIT 20""")
+
+ORACLES["forecast_projection"] = "WITH " + __import__("replenish.plans.oracle", fromlist=["model_sql"]).model_sql() + f""",
+{FIRST_ROWS},
+lastd AS (SELECT sku, max(date) AS last_date FROM sales GROUP BY sku),
+proj AS (SELECT l.sku, CAST(unnest(generate_series(l.last_date + 1, l.last_date + 30, INTERVAL 1 DAY)) AS DATE) AS date,
+                fr.avg_daily_demand, fr.reorder_point, fr.safety_stock
+         FROM lastd l JOIN fr ON l.sku = fr.sku)
+SELECT sku, date, {r('avg_daily_demand')} AS forecast_qty, {r('reorder_point')} AS reorder_point,
+       {r('safety_stock')} AS safety_stock FROM proj"""
+
+
+def with_model_ctes(ctes: str, select: str) -> str:
+    from replenish.plans.oracle import model_sql
+    return "WITH " + model_sql() + ",\n" + ctes + "\n" + select
+
+
+ORACLES["demand_spikes"] = "WITH " + __import__("replenish.plans.oracle", fromlist=["roles_sql"]).roles_sql() + f""",
+dsku AS (SELECT sku, product, date, sum(qty) AS qty FROM sales GROUP BY sku, product, date),
+st AS (SELECT sku, quantile_cont(qty, 0.75) + (quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25)) * {dbl(1.5)} AS upper,
+              avg(qty) + stddev_samp(qty) * 2 AS two_sigma
+       FROM dsku GROUP BY sku HAVING count(*) >= 10),
+hits AS (SELECT d.*, upper, row_number() OVER (PARTITION BY d.sku ORDER BY product DESC, date DESC) AS rn
+         FROM dsku d JOIN st ON d.sku = st.sku WHERE d.qty > greatest(upper, two_sigma))
+SELECT sku, product, strftime(date, '%Y-%m-%d') AS date, 'demand_spike' AS metric, {r('qty')} AS value,
+       {r('greatest(upper, 0.0)')} AS expected_upper,
+       CASE WHEN qty < upper * {dbl(1.8)} THEN 'Medium' ELSE 'High' END AS severity
+FROM hits WHERE rn <= 5"""
+
+
+def with_roles_ctes(ctes: str, select: str) -> str:
+    from replenish.plans.oracle import roles_sql
+    return "WITH " + roles_sql() + ",\n" + ctes + "\n" + select
+
+
+ORACLES["seed_inventory_from_sales"] = with_roles_ctes("""
+cnt AS (SELECT sku, product, date, qty, count(*) AS c FROM sales GROUP BY sku, product, date, qty),
+cum AS (SELECT *, sum(c) OVER (PARTITION BY sku, product ORDER BY date DESC, qty DESC
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cc FROM cnt),
+tk AS (SELECT sku, product, qty, least(c, greatest(0, 30 - (cc - c))) AS t FROM cum),
+tl AS (SELECT sku, product, sum(t * qty) / sum(t) AS tail_mean FROM tk GROUP BY sku, product),
+cst AS (SELECT sku, product, avg(cost) AS unit_cost FROM sales GROUP BY sku, product)""", f"""
+SELECT tl.sku, tl.product, {r('CAST(greatest(0, floor(tail_mean * 15)) AS DOUBLE)')} AS stock, {r('unit_cost')} AS unit_cost,
+       'UNKNOWN' AS supplier_id, 'Unassigned' AS warehouse, {r('1.0')} AS min_order_qty, 'standard' AS storage_class
+FROM tl JOIN cst ON tl.sku = cst.sku AND tl.product = cst.product""")
+
+ORACLES["seed_suppliers"] = with_roles(f"""
+SELECT supplier_id, supplier_id AS supplier_name, {r('10.0')} AS lead_time_days, {r('3.0')} AS lead_time_std_days,
+       {r('0.85')} AS on_time_rate, {r('0.02')} AS defect_rate, 'Unknown' AS country, 'Unknown' AS payment_terms,
+       {r('0.0')} AS min_order_value
+FROM (SELECT DISTINCT coalesce(supplier_id, 'UNKNOWN') AS supplier_id FROM inventory)""")
+
+ORACLES["bom_dependent_demand"] = with_model(f"""
+SELECT sku AS component_sku, {r('dep_avg')} AS dep_avg_daily_demand, {r('dep_std')} AS dep_std_daily_demand,
+       {r('dep_fc')} AS dep_forecast_horizon_qty, {r('dep_ann')} AS dep_annual_demand_qty FROM dep""")
+
+ORACLES["bom_explosion"] = with_model_ctes(FIRST_ROWS, f"""
+SELECT b.parent_sku, b.component_sku, b.component_name, {r('b.qty_required')} AS qty_required,
+       c.warehouse AS component_warehouse, {r('coalesce(c.stock, 0.0)')} AS stock,
+       {r(dr('b.qty_required * fr.forecast_horizon_qty', 1))} AS required_for_forecast,
+       {r(dr('greatest(' + dr('b.qty_required * fr.forecast_horizon_qty', 1) + ' - coalesce(c.stock, 0.0), 0.0)', 1))} AS shortage_for_forecast
+FROM bom b JOIN fr ON fr.sku = b.parent_sku LEFT JOIN base c ON c.sku = b.component_sku""")
+
+ORACLES["bom_component_plan"] = with_model(f"""
+SELECT sku, product, warehouse, {r('stock')} AS stock, {r('avg_daily_demand')} AS avg_daily_demand,
+       {r('reorder_point')} AS reorder_point, {r('recommended_order_qty')} AS recommended_order_qty,
+       {r('recommended_order_value')} AS recommended_order_value, stockout_risk
+FROM base WHERE sku IN (SELECT component_sku FROM bom)""")
+
+_CB = ["sku", "product", "warehouse", "avg_daily_demand", "lead_time_days", "lead_time_demand", "z",
+       "std_daily_demand", "safety_stock", "reorder_point", "stock", "incoming_qty", "net_position", "shortage_qty",
+       "annual_demand_qty", "order_cost", "holding_cost_rate", "unit_cost", "eoq", "min_order_qty",
+       "recommended_order_qty"]
+ORACLES["calc_breakdown"] = with_model(f"""
+SELECT {cols(_CB, None, 4, _CB[3:])} FROM (
+  SELECT *, avg_daily_demand * lead_time_days AS lead_time_demand, {dbl(1.65)} AS z, {dbl(35.0)} AS order_cost FROM base)""")
+
+ORACLES["risk_distribution"] = with_model("SELECT stockout_risk AS risk, count(*) AS count FROM base GROUP BY stockout_risk")
+
+ORACLES["dead_overstock"] = with_model(f"""
+SELECT sku, product, warehouse, {r('stock')} AS stock, {r('days_of_cover')} AS days_of_cover, dead_stock_flag, overstock_flag
+FROM base WHERE dead_stock_flag OR overstock_flag""")
+
+ORACLES["abc_classes"] = with_model(f"""
+SELECT abc_class, count(*) AS rows, {r('sum(annual_revenue)', 1)} AS annual_revenue,
+       {r('max(cum_revenue_pct)', 6)} AS max_cum_revenue_pct FROM health_abc GROUP BY abc_class""")
+
+ORACLES["inventory_map"] = with_model(f"""
+SELECT sku, product, warehouse, {r("CASE WHEN isinf(days_of_cover) OR isnan(days_of_cover) THEN NULL ELSE days_of_cover END")} AS days_of_cover,
+       {r('inventory_value')} AS inventory_value, {r('stock')} AS stock, stockout_risk FROM base""")
+
+SUPPLIER_RISK = f"""sr0 AS (
+  SELECT supplier_id, sum(inventory_value) AS supplier_inventory_value, count(DISTINCT sku) AS supplier_skus,
+         avg(lead_time_days) AS avg_lead_time, avg(lead_time_std_days) AS avg_lead_time_std,
+         avg(on_time_rate) AS avg_on_time_rate, avg(defect_rate) AS avg_defect_rate,
+         CAST(sum(CASE WHEN stockout_risk = 'Critical' THEN 1 ELSE 0 END) AS BIGINT) AS critical_skus,
+         CAST(sum(CASE WHEN stockout_risk IN ('Critical', 'High') THEN 1 ELSE 0 END) AS BIGINT) AS high_risk_skus,
+         sum(recommended_order_value) AS recommended_order_value, avg(unit_cost) AS avg_unit_cost
+  FROM base GROUP BY supplier_id),
+sr1 AS (
+  SELECT *, {dr(f'''least(greatest(({dbl(1)} - least(greatest(avg_on_time_rate, {dbl(0)}), {dbl(1)})) * 45
+        + least(greatest(avg_defect_rate, {dbl(0)}), {dbl(1)}) * 250
+        + least(greatest(avg_lead_time, {dbl(0)}), {dbl(60)}) / 60 * 25
+        + least(greatest(avg_lead_time_std, {dbl(0)}), {dbl(20)}) / 20 * 15
+        + least(high_risk_skus, 5) * 3, {dbl(0)}), {dbl(100)})''', 1)} AS supplier_risk_score FROM sr0),
+sdet AS (SELECT * FROM (SELECT supplier_id, supplier_name, country, payment_terms, min_order_value,
+         row_number() OVER (PARTITION BY supplier_id ORDER BY supplier_name) AS rn FROM suppliers) WHERE rn = 1),
+sr AS (
+  SELECT sr1.*, sdet.supplier_name, sdet.country, sdet.payment_terms, sdet.min_order_value,
+         CASE WHEN supplier_risk_score > -1 AND supplier_risk_score <= 25 THEN 'Low'
+              WHEN supplier_risk_score > 25 AND supplier_risk_score <= 50 THEN 'Medium'
+              WHEN supplier_risk_score > 50 AND supplier_risk_score <= 75 THEN 'High'
+              WHEN supplier_risk_score > 75 AND supplier_risk_score <= 100 THEN 'Critical' END AS risk_level
+  FROM sr1 LEFT JOIN sdet ON sr1.supplier_id = sdet.supplier_id)"""
+
+_SR = ["supplier_id", "supplier_inventory_value", "supplier_skus", "avg_lead_time", "avg_lead_time_std",
+       "avg_on_time_rate", "avg_defect_rate", "critical_skus", "high_risk_skus", "recommended_order_value",
+       "avg_unit_cost", "supplier_risk_score", "supplier_name", "country", "payment_terms", "min_order_value",
+       "risk_level"]
+_SR_D = ["supplier_inventory_value", "avg_lead_time", "avg_lead_time_std", "avg_on_time_rate", "avg_defect_rate",
+         "recommended_order_value", "avg_unit_cost", "supplier_risk_score", "min_order_value"]
+ORACLES["supplier_risk"] = with_model_ctes(SUPPLIER_RISK, f"SELECT {cols(_SR, None, 4, _SR_D)} FROM sr")
+
+MCDA = f"""mc0 AS (SELECT *, (SELECT max(avg_unit_cost) FROM sr) AS max_p, (SELECT min(avg_unit_cost) FROM sr) AS min_p,
+                   (SELECT max(avg_lead_time) FROM sr) AS max_l, (SELECT min(avg_lead_time) FROM sr) AS min_l FROM sr),
+mc1 AS (SELECT *, CASE WHEN max_p <> min_p THEN (max_p - avg_unit_cost) * 100 / (max_p - min_p) ELSE {dbl(100)} END AS score_price,
+               CASE WHEN max_l <> min_l THEN (max_l - avg_lead_time) * 100 / (max_l - min_l) ELSE {dbl(100)} END AS score_speed,
+               avg_on_time_rate * 100 AS score_reliability, ({dbl(1)} - avg_defect_rate) * 100 AS score_quality FROM mc0),
+mc AS (SELECT *, (score_price * {dbl(0.3)} + score_speed * {dbl(0.2)} + score_reliability * {dbl(0.3)}
+                  + score_quality * {dbl(0.2)}) / {dbl(1.0)} AS mcda_score FROM mc1)"""
+_MC = ["supplier_id", "supplier_name", "mcda_score", "score_price", "score_speed", "score_reliability", "score_quality",
+       "avg_unit_cost", "avg_lead_time", "avg_on_time_rate", "avg_defect_rate", "risk_level"]
+ORACLES["supplier_mcda"] = with_model_ctes(SUPPLIER_RISK + ",\n" + MCDA, "SELECT " + ", ".join(
+    (f"{r(dr(n, 2))} AS {n}" if n not in ("supplier_id", "supplier_name", "risk_level") else n) for n in _MC) + " FROM mc")
+
+ORACLES["returns_totals"] = with_roles(f"""
+SELECT {r('coalesce(sum(refund_amount), 0.0)')} AS total_refund_value,
+       CAST(trunc(coalesce(sum(return_qty), 0.0)) AS BIGINT) AS total_returns_qty FROM returns""")
+
+ORACLES["returns_by_reason"] = with_roles(f"""
+SELECT reason, {r('sum(return_qty)')} AS return_qty, {r('sum(refund_amount)')} AS refund_amount, count(return_qty) AS cases
+FROM returns GROUP BY reason""")
+
+ORACLES["sku_return_rate"] = with_model_ctes(SKU_FIRST + """,
+rt AS (SELECT sku, sum(return_qty) AS total_return_qty, sum(refund_amount) AS total_refund_amount FROM returns GROUP BY sku),
+sold AS (SELECT sku, sum(qty) AS total_sales_qty FROM sales GROUP BY sku),
+j AS (SELECT sf.sku, sf.product, sf.supplier_id, sf.supplier_name, sf.unit_cost,
+             coalesce(rt.total_return_qty, 0.0) AS total_return_qty, coalesce(rt.total_refund_amount, 0.0) AS total_refund_amount,
+             coalesce(sold.total_sales_qty, 0.0) AS total_sales_qty
+      FROM sf LEFT JOIN rt ON sf.sku = rt.sku LEFT JOIN sold ON sf.sku = sold.sku)""", f"""
+SELECT sku, product, supplier_id, supplier_name, {r('unit_cost', 6)} AS unit_cost, {r('total_return_qty', 6)} AS total_return_qty,
+       {r('total_refund_amount', 6)} AS total_refund_amount, {r('total_sales_qty', 6)} AS total_sales_qty,
+       {r('CASE WHEN total_sales_qty > 0 THEN least(greatest(total_return_qty / total_sales_qty, 0.0), 1.0) ELSE 0.0 END', 6)} AS return_rate
+FROM j""")
+
+ORACLES["supplier_returns"] = with_model_ctes(SKU_FIRST + ",\n" + SUPPLIER_RISK + """,
+rs AS (SELECT r.*, sf.supplier_id, sf.supplier_name FROM returns r LEFT JOIN sf ON r.sku = sf.sku),
+agg2 AS (SELECT supplier_id, supplier_name, sum(return_qty) AS supplier_return_qty, sum(refund_amount) AS supplier_refund_amount,
+                CAST(trunc(coalesce(sum(CASE WHEN reason IN ('quality_issue', 'damaged') THEN return_qty END), 0.0)) AS BIGINT) AS supplier_quality_return_qty
+         FROM rs WHERE supplier_id IS NOT NULL AND supplier_name IS NOT NULL GROUP BY supplier_id, supplier_name)""", f"""
+SELECT a.supplier_id, a.supplier_name, {r('a.supplier_return_qty', 6)} AS supplier_return_qty,
+       {r('a.supplier_refund_amount', 6)} AS supplier_refund_amount, a.supplier_quality_return_qty,
+       {r('sr.avg_defect_rate', 6)} AS avg_defect_rate
+FROM agg2 a LEFT JOIN sr ON a.supplier_id = sr.supplier_id""")
+
+ORACLES["overall_return_rate"] = with_roles(f"""
+SELECT t.total_returns_qty, {r('coalesce(s.total_sales_qty, 1.0)', 8)} AS total_sales_qty,
+       {r('CASE WHEN coalesce(s.total_sales_qty, 1.0) > 0 THEN t.total_returns_qty / coalesce(s.total_sales_qty, 1.0) ELSE 0.0 END', 8)} AS return_rate
+FROM (SELECT CAST(trunc(coalesce(sum(return_qty), 0.0)) AS BIGINT) AS total_returns_qty FROM returns) t,
+     (SELECT sum(qty) AS total_sales_qty FROM sales) s""")
+
+TRANSFERS = f"""sides AS (
+  SELECT sku, product, warehouse, unit_cost, annual_revenue,
+         CASE WHEN stock < safety_stock THEN safety_stock - stock ELSE 0.0 END AS deficit,
+         CASE WHEN stock >= safety_stock AND stock > reorder_point THEN stock - reorder_point ELSE 0.0 END AS surplus
+  FROM base),
+bothk AS (SELECT sku FROM sides GROUP BY sku HAVING count(*) >= 2 AND max(deficit) > 0 AND max(surplus) > 0),
+cand AS (SELECT *, floor(deficit) AS d, floor(surplus) AS sv FROM sides
+         WHERE sku IN (SELECT sku FROM bothk) AND (SELECT count(DISTINCT warehouse) FROM base) > 1),
+dl AS (SELECT *, sum(d) OVER (PARTITION BY sku ORDER BY annual_revenue DESC, product, warehouse
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM cand WHERE d >= 1),
+sl AS (SELECT *, sum(sv) OVER (PARTITION BY sku ORDER BY annual_revenue DESC, product, warehouse
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM cand WHERE sv >= 1),
+tr AS (SELECT dl.sku, dl.product, sl.warehouse AS from_warehouse, dl.warehouse AS to_warehouse,
+              least(dl.hi, sl.hi) - greatest(dl.hi - dl.d, sl.hi - sl.sv) AS q, dl.unit_cost
+       FROM dl JOIN sl ON dl.sku = sl.sku WHERE least(dl.hi, sl.hi) - greatest(dl.hi - dl.d, sl.hi - sl.sv) >= 1)"""
+ORACLES["transfers_whole_units"] = with_model_ctes(TRANSFERS, f"""
+SELECT sku, product, from_warehouse, to_warehouse, CAST(q AS BIGINT) AS qty, {r('unit_cost')} AS unit_cost,
+       {r('q * unit_cost')} AS saved_value FROM tr""")
+
+ORACLES["transfer_summary"] = with_model_ctes(TRANSFERS, f"""
+SELECT {r('coalesce(sum(q * unit_cost), 0.0)', 2)} AS saved_transfer_value, count(*) AS transfers_count FROM tr""")
+
+_LEVELS = "(VALUES " + ", ".join(f"({dbl(x)})" for x in (0.80, 0.85, 0.90, 0.95, 0.98, 0.99)) + ") lv(service_level)"
+Z_CASE = ("CASE WHEN service_level >= 0.99 THEN 2.33 WHEN service_level >= 0.98 THEN 2.05 WHEN service_level >= 0.95 THEN 1.65 "
+          "WHEN service_level >= 0.90 THEN 1.28 WHEN service_level >= 0.85 THEN 1.04 ELSE 0.84 END")
+CURVES = f"""cc AS (
+  SELECT service_level,
+         sum(CAST({Z_CASE} AS DOUBLE) * std_daily_demand * sqrt(greatest({dbl(1)}, lead_time_days)) * unit_cost * {dbl(0.22)}) AS carrying_cost,
+         sum(({dbl(1)} - service_level) * annual_demand_qty * greatest({dbl(1)}, unit_cost * {dbl(1.5)})) AS stockout_cost
+  FROM base, {_LEVELS} GROUP BY service_level)"""
+ORACLES["cost_curves"] = with_model_ctes(CURVES, f"""
+SELECT {r('service_level', 2)} AS service_level, {r('carrying_cost', 2)} AS carrying_cost, {r('stockout_cost', 2)} AS stockout_cost,
+       {r('carrying_cost + stockout_cost', 2)} AS total_cost FROM cc""")
+ORACLES["optimal_service_level"] = with_model_ctes(CURVES, f"""
+SELECT {r('service_level', 2)} AS service_level, {r('carrying_cost', 2)} AS carrying_cost, {r('stockout_cost', 2)} AS stockout_cost,
+       {r('carrying_cost + stockout_cost', 2)} AS total_cost FROM cc ORDER BY carrying_cost + stockout_cost, service_level LIMIT 1""")
+
+FREIGHT = f"""f0 AS (
+  SELECT sku, product, warehouse, greatest(annual_demand_qty, {dbl(0)}) AS annual_demand, unit_cost,
+         greatest(lead_time_days, {dbl(1)}) AS lead_time_ocean,
+         {dr(f'greatest({dbl(3)}, lead_time_days * {dbl(0.25)})', 1)} AS lead_time_air,
+         {dr(f'unit_cost * {dbl(0.08)} + {dbl(0.5)}', 2)} AS freight_cost_ocean_unit,
+         {dr(f'unit_cost * {dbl(0.3)} + {dbl(4.0)}', 2)} AS freight_cost_air_unit,
+         std_daily_demand, holding_cost_rate FROM base),
+f1 AS (
+  SELECT *, annual_demand * freight_cost_ocean_unit AS annual_freight_ocean,
+         annual_demand * freight_cost_air_unit AS annual_freight_air,
+         {dbl(1.65)} * std_daily_demand * sqrt(lead_time_ocean) * (unit_cost * holding_cost_rate) AS carrying_cost_ocean,
+         {dbl(1.65)} * std_daily_demand * sqrt(lead_time_air) * (unit_cost * holding_cost_rate) AS carrying_cost_air,
+         annual_demand * (unit_cost * holding_cost_rate) * (lead_time_ocean / {dbl(365)}) AS pipeline_cost_ocean,
+         annual_demand * (unit_cost * holding_cost_rate) * (lead_time_air / {dbl(365)}) AS pipeline_cost_air FROM f0),
+f2 AS (SELECT *, annual_freight_ocean + carrying_cost_ocean + pipeline_cost_ocean AS total_cost_ocean,
+              annual_freight_air + carrying_cost_air + pipeline_cost_air AS total_cost_air FROM f1),
+fr2 AS (SELECT *, CASE WHEN total_cost_air < total_cost_ocean THEN 'Air' ELSE 'Ocean' END AS recommended_mode,
+               abs(total_cost_air - total_cost_ocean) AS cost_difference FROM f2)"""
+_FR = ["sku", "product", "annual_demand", "unit_cost", "lead_time_ocean", "lead_time_air", "freight_cost_ocean_unit",
+       "freight_cost_air_unit", "warehouse", "annual_freight_ocean", "annual_freight_air", "carrying_cost_ocean",
+       "carrying_cost_air", "pipeline_cost_ocean", "pipeline_cost_air", "total_cost_ocean", "total_cost_air",
+       "recommended_mode", "cost_difference"]
+ORACLES["freight_modes"] = with_model_ctes(FREIGHT, "SELECT " + ", ".join(
+    (n if n in ("sku", "product", "warehouse", "recommended_mode") else f"{r(n)} AS {n}") for n in _FR) + " FROM fr2")
+ORACLES["freight_portfolio"] = with_model_ctes(FREIGHT, f"""
+SELECT CAST(sum(CASE WHEN recommended_mode = 'Air' THEN 1 ELSE 0 END) AS BIGINT) AS air_count,
+       CAST(sum(CASE WHEN recommended_mode = 'Air' THEN 0 ELSE 1 END) AS BIGINT) AS ocean_count,
+       {r('sum(total_cost_ocean)', 2)} AS total_ocean_scenario, {r('sum(total_cost_air)', 2)} AS total_air_scenario,
+       {r("sum(CASE WHEN recommended_mode = 'Air' THEN total_cost_air ELSE total_cost_ocean END)", 2)} AS optimized_cost,
+       {r("coalesce(sum(CASE WHEN recommended_mode = 'Air' THEN total_cost_ocean - total_cost_air END), 0.0)", 2)} AS savings
+FROM fr2""")
+ORACLES["freight_long"] = with_model_ctes(FREIGHT + """,
+top10 AS (SELECT * FROM fr2 ORDER BY annual_demand DESC, sku, product, warehouse LIMIT 10)""", f"""
+SELECT sku, product, warehouse, 'Ocean (Bulk)' AS mode, {r('total_cost_ocean')} AS annual_cost FROM top10
+UNION ALL SELECT sku, product, warehouse, 'Air (Express)' AS mode, {r('total_cost_air')} AS annual_cost FROM top10""")
+
+FIN = f"""fin0 AS (
+  SELECT sku, product, storage_class, warehouse, greatest(annual_demand_qty * unit_cost, {dbl(0)}) AS annual_cogs,
+         greatest(greatest(safety_stock + eoq / {dbl(2)}, stock) * unit_cost, {dbl(0)}) AS average_inventory_value,
+         holding_cost_rate FROM base),
+fin1 AS (SELECT *, CASE WHEN average_inventory_value > 0 THEN annual_cogs / average_inventory_value ELSE {dbl(0)} END AS itr FROM fin0),
+fin AS (SELECT *, least(CASE WHEN itr > 0 THEN {dbl(365)} / itr ELSE {dbl(365)} END, {dbl(365)}) AS dio,
+               average_inventory_value * holding_cost_rate AS annual_carrying_cost FROM fin1)"""
+ORACLES["financial_velocity"] = with_model_ctes(FIN, f"""
+SELECT sku, product, storage_class, warehouse, {r('annual_cogs')} AS annual_cogs, {r('average_inventory_value')} AS average_inventory_value,
+       {r('itr')} AS itr, {r('dio')} AS dio, {r('annual_carrying_cost')} AS annual_carrying_cost FROM fin""")
+ORACLES["finance_by_class"] = with_model_ctes(FIN, f"""
+SELECT storage_class, count(sku) AS sku_count, {r('sum(annual_cogs)', 2)} AS annual_cogs,
+       {r('sum(average_inventory_value)', 2)} AS total_avg_inventory_value,
+       {r('sum(annual_carrying_cost)', 2)} AS total_annual_carrying_cost FROM fin GROUP BY storage_class""")
+PORT = """pt AS (SELECT coalesce(sum(annual_cogs), 0.0) AS total_annual_cogs, coalesce(sum(average_inventory_value), 0.0) AS total_avg_inventory_value,
+              coalesce(sum(annual_carrying_cost), 0.0) AS total_annual_carrying_cost FROM fin)"""
+ORACLES["portfolio_ratios"] = with_model_ctes(FIN + ",\n" + PORT, f"""
+SELECT {r('total_annual_cogs', 2)} AS total_annual_cogs, {r('total_avg_inventory_value', 2)} AS total_avg_inventory_value,
+       {r('total_annual_carrying_cost', 2)} AS total_annual_carrying_cost,
+       {r('CASE WHEN total_avg_inventory_value > 0 THEN total_annual_cogs / total_avg_inventory_value ELSE 0.0 END', 2)} AS portfolio_itr,
+       {r('CASE WHEN total_annual_cogs > 0 THEN 365.0 * total_avg_inventory_value / total_annual_cogs ELSE 365.0 END', 2)} AS portfolio_dio
+FROM pt""")
+
+ORACLES["kpis"] = with_model_ctes(",\n".join([SUPPLIER_RISK, TRANSFERS, FIN, PORT]), f"""
+SELECT {r('coalesce(sum(inventory_value), 0.0)', 2)} AS total_inventory_value,
+       {r('coalesce(sum(CASE WHEN recommended_order_qty > 0 THEN recommended_order_value END), 0.0)', 2)} AS recommended_order_value,
+       count(CASE WHEN stockout_risk = 'Critical' THEN 1 END) AS critical_skus,
+       count(CASE WHEN stockout_risk IN ('Critical', 'High') THEN 1 END) AS high_risk_skus,
+       count(CASE WHEN dead_stock_flag THEN 1 END) AS dead_stock_skus,
+       count(CASE WHEN overstock_flag THEN 1 END) AS overstock_skus,
+       (SELECT count(CASE WHEN risk_level IN ('Critical', 'High') THEN 1 END) FROM sr) AS supplier_high_risk,
+       CAST(30 AS BIGINT) AS forecast_horizon_days, {r(dbl(0.95), 2)} AS service_level,
+       {r('(SELECT coalesce(sum(refund_amount), 0.0) FROM returns)', 2)} AS total_refund_value,
+       (SELECT CAST(trunc(coalesce(sum(return_qty), 0.0)) AS BIGINT) FROM returns) AS total_returns_qty,
+       {r('(SELECT coalesce(sum(q * unit_cost), 0.0) FROM tr)', 2)} AS saved_transfer_value,
+       (SELECT count(*) FROM tr) AS transfers_count,
+       {r('(SELECT total_annual_cogs FROM pt)', 2)} AS total_annual_cogs,
+       {r('(SELECT total_avg_inventory_value FROM pt)', 2)} AS total_avg_inventory_value,
+       {r('(SELECT CASE WHEN total_avg_inventory_value > 0 THEN total_annual_cogs / total_avg_inventory_value ELSE 0.0 END FROM pt)', 2)} AS portfolio_itr,
+       {r('(SELECT CASE WHEN total_annual_cogs > 0 THEN 365.0 * total_avg_inventory_value / total_annual_cogs ELSE 365.0 END FROM pt)', 2)} AS portfolio_dio,
+       {r('(SELECT total_annual_carrying_cost FROM pt)', 2)} AS total_annual_carrying_cost
+FROM base""")
