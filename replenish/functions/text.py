@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from replenish.functions.planning import dround
+
+# Values are first rounded to this many decimals so that last-bit noise from
+# summation order (which depends on partitioning) cannot change the text.
+CLEAN_DECIMALS = 6
+
 
 def _special(x: Column, body: Column) -> Column:
     return (F.when(F.isnan(x), F.lit("nan"))
@@ -19,12 +25,12 @@ def _special(x: Column, body: Column) -> Column:
 
 def fmt_grouped(x: Column, decimals: int = 2) -> Column:
     """Python ``f"{x:,.Nf}"``."""
-    return _special(x, F.format_number(x, decimals))
+    return _special(x, F.format_number(dround(x, CLEAN_DECIMALS), decimals))
 
 
 def fmt_fixed(x: Column, decimals: int = 1) -> Column:
     """Python ``f"{x:.Nf}"``."""
-    return _special(x, F.regexp_replace(F.format_number(x, decimals), ",", ""))
+    return _special(x, F.regexp_replace(F.format_number(dround(x, CLEAN_DECIMALS), decimals), ",", ""))
 
 
 def fmt_int(x: Column) -> Column:

@@ -376,3 +376,106 @@ def kpis(spark, sf_dir):
     k = kp(m.base, m.supplier_risk(), m.returns, whole_unit_transfers(m.base), m.finance(),
            m.params.horizon_days, m.params.service_level)
     return finalize(k, 2)
+
+
+# ---- alerts and documents (A2-A6, G1-G3) ----------------------------------
+def _alert_queue(m: SupplyModel) -> DataFrame:
+    from replenish.operators.outputs import alerts
+    from replenish.operators.transfers import whole_unit_transfers
+    return alerts(m.base, m.supplier_risk(), whole_unit_transfers(m.base))
+
+
+@query("alerts")
+def alerts_q(spark, sf_dir):
+    return _alert_queue(model(spark, sf_dir))
+
+
+@query("procurement_drafts")
+def procurement_drafts(spark, sf_dir):
+    from replenish.operators.outputs import procurement_drafts as pd_
+    m = model(spark, sf_dir)
+    return pd_(m.base.where(F.col("recommended_order_qty") > 0))
+
+
+@query("rfq_drafts")
+def rfq_drafts(spark, sf_dir):
+    from replenish.operators.outputs import rfq_drafts as rd
+    m = model(spark, sf_dir)
+    return rd(m.first_rows(), F.date_add(F.lit(m.window[1]), 20))
+
+
+@query("report_lines")
+def report_lines(spark, sf_dir):
+    from replenish.operators.outputs import kpis as kp
+    from replenish.operators.outputs import report_lines as rl
+    from replenish.operators.transfers import whole_unit_transfers
+    m = model(spark, sf_dir)
+    tr = whole_unit_transfers(m.base)
+    k = kp(m.base, m.supplier_risk(), m.returns, tr, m.finance(), m.params.horizon_days, m.params.service_level)
+    plan = m.base.where(F.col("recommended_order_qty") > 0)
+    return rl(k, plan, m.supplier_risk(), _alert_queue(m))
+
+
+# ---- scenarios (W1-W3) ----------------------------------------------------
+def _scenarios(spark, sf_dir):
+    from replenish.operators.scenarios import grid, scenario_rows, scenario_summary
+    m = model(spark, sf_dir)
+    return scenario_summary(scenario_rows(m.position(scaled=False), grid(), m.params))
+
+
+@query("scenario_grid")
+def scenario_grid(spark, sf_dir):
+    return finalize(_scenarios(spark, sf_dir), 2)
+
+
+@query("scenario_long")
+def scenario_long(spark, sf_dir):
+    from replenish.operators.scenarios import scenario_long as sl
+    return finalize(sl(_scenarios(spark, sf_dir)), 2)
+
+
+# ---- playbook watches (E1-E5) --------------------------------------------
+@query("stockout_watch")
+def stockout_watch(spark, sf_dir):
+    from replenish.operators.watch import stockout_watch as sw
+    return finalize(sw(model(spark, sf_dir).base))
+
+
+@query("supplier_delay_watch")
+def supplier_delay_watch(spark, sf_dir):
+    from replenish.operators.watch import supplier_delay_watch as sdw
+    m = model(spark, sf_dir)
+    return finalize(sdw(m.purchase_orders, m.supplier_risk(), F.lit(m.window[1])))
+
+
+@query("dead_stock_cleanup")
+def dead_stock_cleanup(spark, sf_dir):
+    from replenish.operators.watch import dead_stock_cleanup as dsc
+    return finalize(dsc(model(spark, sf_dir).base))
+
+
+MONTHLY_BUDGET = 5000.0
+
+
+@query("budget_guardrail")
+def budget_guardrail(spark, sf_dir):
+    from replenish.operators.watch import budget_guardrail as bg
+    m = model(spark, sf_dir)
+    return finalize(bg(m.base.where(F.col("recommended_order_qty") > 0), MONTHLY_BUDGET))
+
+
+# ---- streaming (E6) -------------------------------------------------------
+@query("streaming_daily_demand")
+def streaming_daily_demand(spark, sf_dir):
+    from replenish.streaming.daily_demand import drain_daily_demand
+    return finalize(drain_daily_demand(spark, sf_dir))
+
+
+# ---- workspace metadata (N5-N8) ------------------------------------------
+@query("table_summary")
+def table_summary(spark, sf_dir):
+    from replenish.sources.workspace import Workspace
+    ws = Workspace(spark)
+    for name in ("lineitem", "orders", "part", "supplier", "customer", "nation", "region", "events"):
+        ws.add(name, spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return ws.summary()

@@ -394,3 +394,230 @@ SELECT {r('coalesce(sum(inventory_value), 0.0)', 2)} AS total_inventory_value,
        {r('(SELECT CASE WHEN total_annual_cogs > 0 THEN 365.0 * total_avg_inventory_value / total_annual_cogs ELSE 365.0 END FROM pt)', 2)} AS portfolio_dio,
        {r('(SELECT total_annual_carrying_cost FROM pt)', 2)} AS total_annual_carrying_cost
 FROM base""")
+
+# ---- alerts, documents --------------------------------------------------
+NL = " || chr(10) || "
+
+
+def sq(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def fmt2(x: str) -> str:
+    return f"format('{{:,.2f}}', {dr(x, 6)})"
+
+
+def fmt1(x: str) -> str:
+    return f"CASE WHEN isinf({x}) THEN 'inf' ELSE format('{{:.1f}}', {dr(x, 6)}) END"
+
+
+def int_s(x: str) -> str:
+    return f"CAST(CAST(trunc({x}) AS BIGINT) AS VARCHAR)"
+
+
+ALERT_CTES = f"""so AS (SELECT *, row_number() OVER (ORDER BY annual_revenue DESC, sku, product, warehouse) AS rk
+       FROM base WHERE stockout_risk IN ('Critical', 'High')),
+sa AS (SELECT *, row_number() OVER (ORDER BY supplier_risk_score DESC, supplier_id) AS rk
+       FROM sr WHERE risk_level IN ('High', 'Critical')),
+da AS (SELECT *, row_number() OVER (ORDER BY annual_revenue DESC, sku, product, warehouse) AS rk FROM base WHERE dead_stock_flag),
+ta AS (SELECT count(*) AS n, sum(q * unit_cost) AS v FROM tr),
+alerts AS (
+  SELECT 1 AS alert_group, CAST(rk AS BIGINT) AS rank, 'stockout_risk' AS type,
+         CASE WHEN stockout_risk = 'Critical' THEN 'P1' ELSE 'P2' END AS priority, sku, CAST(NULL AS VARCHAR) AS supplier_id,
+         product || ' has ' || stockout_risk || ' stockout risk with ' || {fmt1('days_of_cover')} || ' days of cover.' AS message,
+         'Order ' || {int_s('recommended_order_qty')} || ' units from ' || coalesce(supplier_name, supplier_id) || '.' AS recommended_action
+  FROM so WHERE rk <= 40
+  UNION ALL
+  SELECT 2, CAST(rk AS BIGINT), 'supplier_risk', CASE WHEN risk_level = 'Critical' THEN 'P1' ELSE 'P2' END, CAST(NULL AS VARCHAR),
+         supplier_id,
+         'Supplier ' || coalesce(supplier_name, supplier_id) || ' has ' || risk_level || ' risk score '
+           || CAST(supplier_risk_score AS VARCHAR) || '.',
+         {sq("Review alternate suppliers, open PO ETAs, and quality issues before new large orders.")}
+  FROM sa WHERE rk <= 20
+  UNION ALL
+  SELECT 3, CAST(rk AS BIGINT), 'dead_stock', 'P3', sku, CAST(NULL AS VARCHAR),
+         product || ' has stock but almost no recent demand.',
+         {sq("Consider markdown, bundle, ad campaign, or stop replenishment.")}
+  FROM da WHERE rk <= 20
+  UNION ALL
+  SELECT 4, CAST(1 AS BIGINT), 'warehouse_transfer', 'P3', 'Multiple', CAST(NULL AS VARCHAR),
+         'Found ' || CAST(n AS VARCHAR) || ' internal stock transfer opportunities to reduce purchasing cost by '
+           || {fmt2('v')} || '.',
+         {sq("Review the Inter-DC Transfer Advisor tab to approve internal inventory routing.")}
+  FROM ta WHERE n > 0)"""
+
+ORACLES["alerts"] = with_model_ctes(",\n".join([SUPPLIER_RISK, TRANSFERS, ALERT_CTES]), "SELECT * FROM alerts")
+
+PLAN_ORDER = "stockout_risk, recommended_order_value DESC, annual_revenue DESC, sku, product, warehouse"
+_HEAD = NL.join(sq(x) for x in ["Subject: Reorder Approval Request", "", "Hi team,", "",
+                                "Please review the following reorder recommendations before purchase approval:", ""])
+_TAIL = NL.join(sq(x) for x in ["Please confirm budget, supplier ETA, and any open purchase orders before releasing this order.",
+                                "", "Regards,", "Operations"])
+ORACLES["procurement_drafts"] = with_model_ctes(f"""
+plan AS (SELECT * FROM base WHERE recommended_order_qty > 0),
+ln AS (SELECT supplier_id,
+              '- ' || sku || ' / ' || product || ': ' || {int_s('recommended_order_qty')} || ' units, risk ' || stockout_risk
+                || ', estimated value ' || {fmt2('recommended_order_value')} AS line,
+              row_number() OVER (PARTITION BY supplier_id ORDER BY {PLAN_ORDER}) AS rk,
+              row_number() OVER (ORDER BY {PLAN_ORDER}) AS grk
+       FROM plan),
+body AS (SELECT supplier_id, string_agg(line, chr(10) ORDER BY rk) AS body FROM ln WHERE rk <= 20 GROUP BY supplier_id
+         UNION ALL SELECT 'All suppliers', string_agg(line, chr(10) ORDER BY grk) FROM ln WHERE grk <= 20),
+tot AS (SELECT supplier_id, sum(recommended_order_value) AS total FROM plan GROUP BY supplier_id
+        UNION ALL SELECT 'All suppliers', sum(recommended_order_value) FROM plan)""", f"""
+SELECT b.supplier_id, {_HEAD}{NL}b.body{NL}''{NL}'Estimated order value: ' || {fmt2('t.total')}{NL}''{NL}{_TAIL} AS draft
+FROM body b JOIN tot t ON b.supplier_id = t.supplier_id""")
+
+_RFQ = NL.join([
+    "'Subject: Request for Quote (RFQ) - ' || product || ' (' || sku || ')'", "''",
+    "'Dear ' || coalesce(supplier_name, supplier_id) || ' Team,'", "''",
+    sq("We would like to request a formal quotation for the purchase of the following items:"), "''",
+    "'- Product Name: ' || product", "'- SKU: ' || sku",
+    "'- Order Quantity: ' || format('{:,}', qty) || ' units'",
+    f"CASE WHEN unit_cost > 0 THEN '- Target Unit Price: $' || {fmt2('unit_cost')} ELSE '- Target Unit Price: Competitive Market Rate' END",
+    "'- Requested Delivery Date: ' || strftime((SELECT hi FROM anchor) + 20, '%Y-%m-%d')", "''",
+    sq("Please confirm your capacity to supply this quantity, your standard lead time, payment terms, and total pricing including shipping terms (FOB/DDP)."),
+    "''", sq("We look forward to your prompt response."), "''", sq("Best regards,"), sq("Procurement Team")])
+ORACLES["rfq_drafts"] = with_model_ctes(FIRST_ROWS + """,
+fq AS (SELECT *, CASE WHEN recommended_order_qty > 0 THEN CAST(trunc(recommended_order_qty) AS BIGINT) ELSE CAST(100 AS BIGINT) END AS qty FROM fr)""",
+    f"SELECT sku, coalesce(supplier_name, supplier_id) AS supplier_name, qty, {_RFQ} AS rfq FROM fq")
+
+
+def _const(section: int, texts: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT {section} AS section, CAST({i + 1} AS BIGINT) AS item, {sq(t)} AS text"
+                              for i, t in enumerate(texts))
+
+
+KPI_LINES = [
+    f"'- Inventory value under review: **' || {fmt2('total_inventory_value')} || '**.'",
+    f"'- Recommended reorder value: **' || {fmt2('recommended_order_value')} || '**.'",
+    "'- Critical SKUs: **' || CAST(critical_skus AS VARCHAR) || '**.'",
+    "'- High/Critical stockout SKUs: **' || CAST(high_risk_skus AS VARCHAR) || '**.'",
+    "'- Dead-stock candidates: **' || CAST(dead_stock_skus AS VARCHAR) || '**.'",
+    "'- High-risk suppliers: **' || CAST(supplier_high_risk AS VARCHAR) || '**.'",
+]
+ORACLES["report_lines"] = with_model_ctes(",\n".join([SUPPLIER_RISK, TRANSFERS, ALERT_CTES]) + f""",
+kk AS (SELECT coalesce(sum(inventory_value), 0.0) AS total_inventory_value,
+              coalesce(sum(CASE WHEN recommended_order_qty > 0 THEN recommended_order_value END), 0.0) AS recommended_order_value,
+              count(CASE WHEN stockout_risk = 'Critical' THEN 1 END) AS critical_skus,
+              count(CASE WHEN stockout_risk IN ('Critical', 'High') THEN 1 END) AS high_risk_skus,
+              count(CASE WHEN dead_stock_flag THEN 1 END) AS dead_stock_skus,
+              (SELECT count(CASE WHEN risk_level IN ('Critical', 'High') THEN 1 END) FROM sr) AS supplier_high_risk FROM base),
+tp AS (SELECT *, row_number() OVER (ORDER BY {PLAN_ORDER}) AS rk FROM base WHERE recommended_order_qty > 0),
+ts AS (SELECT *, row_number() OVER (ORDER BY supplier_risk_score DESC, supplier_id) AS rk FROM sr),
+ta2 AS (SELECT *, row_number() OVER (ORDER BY alert_group, rank) AS pos FROM alerts)""", f"""
+{_const(0, ["# Supply Chain Executive Report", "", "## Executive Summary"])}
+UNION ALL {" UNION ALL ".join(f"SELECT 1, CAST({i + 1} AS BIGINT), {t} FROM kk" for i, t in enumerate(KPI_LINES))}
+UNION ALL {_const(2, [""])}
+UNION ALL {_const(4, ["## Top Reorder Recommendations"])}
+UNION ALL SELECT 5, CAST(rk AS BIGINT), '- **' || sku || ' / ' || product || '**: order **' || {int_s('recommended_order_qty')}
+    || '** units; risk: **' || stockout_risk || '**; estimated value: **' || {fmt2('recommended_order_value')} || '**.' FROM tp WHERE rk <= 10
+UNION ALL SELECT 5, CAST(1 AS BIGINT), 'No reorder recommendations were generated.' WHERE (SELECT count(*) FROM tp) = 0
+UNION ALL {_const(6, ["", "## Supplier Risk Watchlist"])}
+UNION ALL SELECT 7, CAST(rk AS BIGINT), '- **' || coalesce(supplier_name, supplier_id) || '**: risk score **'
+    || CAST(supplier_risk_score AS VARCHAR) || '** (' || coalesce(risk_level, 'nan') || '); high-risk SKUs: **'
+    || CAST(high_risk_skus AS VARCHAR) || '**.' FROM ts WHERE rk <= 8
+UNION ALL SELECT 7, CAST(1 AS BIGINT), 'No supplier risk data available.' WHERE (SELECT count(*) FROM ts) = 0
+UNION ALL {_const(8, ["", "## Recommended Operating Actions"])}
+UNION ALL SELECT 9, CAST(pos AS BIGINT), '- **' || priority || ' / ' || type || '**: ' || message || ' Action: ' || recommended_action
+    FROM ta2 WHERE pos <= 15
+UNION ALL {_const(10, ["", "## Governance Notes",
+                       "- Treat recommendations as decision support, not automatic purchase approval.",
+                       "- Review supplier contracts, cash limits, lead-time assumptions, and current open POs before placing orders.",
+                       "- Use approval gates for procurement emails, PO creation, and budget-impacting changes."])}""")
+
+# ---- scenarios ----------------------------------------------------------
+def _scenario_values() -> str:
+    from replenish.operators.scenarios import grid
+    return "(VALUES " + ", ".join(f"({sq(s.name)}, {dbl(s.demand_multiplier)}, {dbl(s.lead_time_delay)}, {dbl(s.service_level)})"
+                                  for s in grid()) + ") sc(name, m, d, sl)"
+
+
+SCEN = f"""x0 AS (SELECT p.*, sc.name, sc.m, sc.d, sc.sl FROM position p, {_scenario_values()}),
+x1 AS (SELECT * REPLACE (avg_daily_demand * m AS avg_daily_demand, std_daily_demand * m AS std_daily_demand,
+                         lead_time_days + d AS lead_time_days) FROM x0),
+x2 AS (SELECT *,
+         CAST(CASE WHEN sl >= 0.99 THEN 2.33 WHEN sl >= 0.98 THEN 2.05 WHEN sl >= 0.95 THEN 1.65 WHEN sl >= 0.90 THEN 1.28
+                   WHEN sl >= 0.85 THEN 1.04 ELSE 0.84 END AS DOUBLE) * std_daily_demand * sqrt(greatest(lead_time_days, {dbl(1)})) AS safety_stock,
+         CASE WHEN storage_class = 'fragile' THEN {dbl(0.28)} WHEN storage_class = 'cold-chain' THEN {dbl(0.35)} ELSE {dbl(0.22)} END AS holding_cost_rate,
+         CASE WHEN avg_daily_demand > 0 THEN stock / avg_daily_demand ELSE CAST('inf' AS DOUBLE) END AS days_of_cover,
+         stock + incoming_qty AS net_position FROM x1),
+x3 AS (SELECT *, avg_daily_demand * lead_time_days + safety_stock AS reorder_point,
+         sqrt({dbl(2)} * greatest(annual_demand_qty, {dbl(0)}) * {dbl(35.0)}
+              / greatest(holding_cost_rate * (CASE WHEN unit_cost = 0 THEN {dbl(1)} ELSE unit_cost END), {dbl(0.01)})) AS eoq FROM x2),
+x4 AS (SELECT *, greatest(reorder_point - net_position, {dbl(0)}) AS shortage_qty FROM x3),
+x5 AS (SELECT *,
+         {dr("greatest(" + dr(f"greatest(shortage_qty, CASE WHEN shortage_qty > 0 THEN eoq ELSE {dbl(0)} END)", 0) + f", CASE WHEN shortage_qty > 0 THEN min_order_qty ELSE {dbl(0)} END)", 0)} AS recommended_order_qty,
+         CASE WHEN avg_daily_demand <= 0 AND stock > 0 THEN 'Dead-stock risk'
+              WHEN days_of_cover <= greatest({dbl(3)}, lead_time_days * {dbl(0.35)}) THEN 'Critical'
+              WHEN net_position < reorder_point THEN 'High'
+              WHEN days_of_cover <= lead_time_days + 7 THEN 'Medium' ELSE 'Low' END AS stockout_risk FROM x4),
+scen AS (SELECT name, any_value(m) AS demand_multiplier, any_value(d) AS lead_time_delay, any_value(sl) AS service_level,
+                sum(stock * unit_cost) AS total_inventory_value,
+                coalesce(sum(CASE WHEN recommended_order_qty > 0 THEN recommended_order_qty * unit_cost END), 0.0) AS recommended_order_value,
+                count(CASE WHEN stockout_risk = 'Critical' THEN 1 END) AS critical_skus
+         FROM x5 GROUP BY name)"""
+ORACLES["scenario_grid"] = with_model_ctes(SCEN, f"""
+SELECT name, {r('demand_multiplier', 2)} AS demand_multiplier, {r('lead_time_delay', 2)} AS lead_time_delay,
+       {r('service_level', 2)} AS service_level, {r('total_inventory_value', 2)} AS total_inventory_value,
+       {r('recommended_order_value', 2)} AS recommended_order_value, critical_skus FROM scen""")
+ORACLES["scenario_long"] = with_model_ctes(SCEN, f"""
+SELECT name, 'total_inventory_value' AS metric, {r('total_inventory_value', 2)} AS value FROM scen
+UNION ALL SELECT name, 'recommended_order_value', {r('recommended_order_value', 2)} FROM scen""")
+
+# ---- playbook watches ---------------------------------------------------
+ORACLES["stockout_watch"] = with_model(f"""
+SELECT sku, product, warehouse, supplier_id, stockout_risk, {r('days_of_cover')} AS days_of_cover,
+       {r('recommended_order_qty')} AS recommended_order_qty, {r('recommended_order_value')} AS recommended_order_value
+FROM base WHERE stockout_risk IN ('Critical', 'High')""")
+
+ORACLES["supplier_delay_watch"] = with_model_ctes(SUPPLIER_RISK + """,
+opo AS (SELECT p.*, sr.supplier_risk_score FROM pos p LEFT JOIN sr ON p.supplier_id = sr.supplier_id
+        WHERE p.status NOT IN ('closed', 'cancelled', 'received', 'complete', 'completed')),
+w AS (SELECT *, expected_date < (SELECT hi FROM anchor) AS eta_breached,
+             coalesce(supplier_risk_score > 75, false) AS supplier_risky FROM opo)""", f"""
+SELECT po_id, sku, supplier_id, status, expected_date, {r('ordered_qty')} AS ordered_qty,
+       {r('supplier_risk_score')} AS supplier_risk_score, eta_breached, supplier_risky
+FROM w WHERE eta_breached OR supplier_risky""")
+
+ORACLES["dead_stock_cleanup"] = with_model(f"""
+SELECT sku, product, warehouse, {r('stock')} AS stock, {r('days_of_cover')} AS days_of_cover,
+       {r('avg_daily_demand')} AS avg_daily_demand, {r('inventory_value')} AS inventory_value
+FROM base WHERE days_of_cover > 90 OR avg_daily_demand < 0.2""")
+
+ORACLES["budget_guardrail"] = with_model_ctes("""
+bg AS (SELECT supplier_id, sum(recommended_order_value) AS order_value FROM base WHERE recommended_order_qty > 0 GROUP BY supplier_id
+       UNION ALL SELECT 'ALL', coalesce(sum(recommended_order_value), 0.0) FROM base WHERE recommended_order_qty > 0)""", f"""
+SELECT supplier_id, {r('order_value')} AS order_value, order_value > {dbl(5000.0)} AS needs_finance_approval FROM bg""")
+
+# ---- streaming ----------------------------------------------------------
+ORACLES["streaming_daily_demand"] = f"""
+SELECT CAST(date_trunc('day', ts) AS DATE) AS date, CAST(user_id AS VARCHAR) AS sku,
+       {r("sum(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE))")} AS qty, count(*) AS events
+FROM events WHERE event_type = 'purchase' GROUP BY 1, 2"""
+
+# ---- workspace summary --------------------------------------------------
+BENCH_COLUMNS = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "region": ["r_regionkey", "r_name"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+}
+
+
+def _summary_sql() -> str:
+    from replenish.functions.naming import infer_role, pick_tables
+    picked = {v: k for k, v in pick_tables(BENCH_COLUMNS).items() if v}
+    parts = []
+    for t in sorted(BENCH_COLUMNS):
+        parts.append(f"SELECT {sq(t)} AS \"table\", count(*) AS rows, CAST({len(BENCH_COLUMNS[t])} AS BIGINT) AS columns, "
+                     f"{sq(infer_role(t, BENCH_COLUMNS[t]))} AS inferred_role, {sq(picked.get(t, ''))} AS detected_role FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["table_summary"] = _summary_sql()

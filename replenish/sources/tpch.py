@@ -184,7 +184,7 @@ def sales_events(t: Tables) -> DataFrame:
 
 def purchase_events(ev: DataFrame) -> DataFrame:
     return ev.where(F.col("event_type") == "purchase").select(
-        F.col("ts"),
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").cast("string").alias("sku"),
         F.get_json_object("props", "$.k").try_cast("double").alias("qty"),
     )
