@@ -53,7 +53,7 @@ def model(spark: SparkSession, sf_dir: str, params: PlanParams = PARAMS) -> Supp
         # part exists in ``part``, so it equals the latest sale date
         anchor = t["lineitem"].select(F.max("l_shipdate")).first()[0]
         anchor = anchor.date() if isinstance(anchor, _dt.datetime) else anchor
-        _MODELS[key] = SupplyModel(spark, tpch.role_tables(t), params, anchor=anchor, seed=False)
+        _MODELS[key] = SupplyModel(spark, tpch.role_tables(t), params, anchor=anchor, seed=False).materialize()
     return _MODELS[key]
 
 
@@ -305,8 +305,7 @@ def overall_return_rate(spark, sf_dir):
 # ---- transfers (X1-X5) ----------------------------------------------------
 @query("transfers_whole_units")
 def transfers_whole_units(spark, sf_dir):
-    from replenish.operators.transfers import whole_unit_transfers
-    return finalize(whole_unit_transfers(model(spark, sf_dir).base))
+    return finalize(model(spark, sf_dir).whole_transfers)
 
 
 @query("transfers_exact")
@@ -318,8 +317,7 @@ def transfers_exact(spark, sf_dir):
 @query("transfer_summary")
 def transfer_summary(spark, sf_dir):
     from replenish.operators.transfers import transfer_summary as ts
-    from replenish.operators.transfers import whole_unit_transfers
-    return finalize(ts(whole_unit_transfers(model(spark, sf_dir).base)), 2)
+    return finalize(ts(model(spark, sf_dir).whole_transfers), 2)
 
 
 # ---- economics (O, F, V) --------------------------------------------------
@@ -371,9 +369,8 @@ def portfolio_ratios(spark, sf_dir):
 @query("kpis")
 def kpis(spark, sf_dir):
     from replenish.operators.outputs import kpis as kp
-    from replenish.operators.transfers import whole_unit_transfers
     m = model(spark, sf_dir)
-    k = kp(m.base, m.supplier_risk(), m.returns, whole_unit_transfers(m.base), m.finance(),
+    k = kp(m.base, m.supplier_risk(), m.returns, m.whole_transfers, m.finance(),
            m.params.horizon_days, m.params.service_level)
     return finalize(k, 2)
 
@@ -381,8 +378,7 @@ def kpis(spark, sf_dir):
 # ---- alerts and documents (A2-A6, G1-G3) ----------------------------------
 def _alert_queue(m: SupplyModel) -> DataFrame:
     from replenish.operators.outputs import alerts
-    from replenish.operators.transfers import whole_unit_transfers
-    return alerts(m.base, m.supplier_risk(), whole_unit_transfers(m.base))
+    return alerts(m.base, m.supplier_risk(), m.whole_transfers)
 
 
 @query("alerts")
@@ -408,9 +404,8 @@ def rfq_drafts(spark, sf_dir):
 def report_lines(spark, sf_dir):
     from replenish.operators.outputs import kpis as kp
     from replenish.operators.outputs import report_lines as rl
-    from replenish.operators.transfers import whole_unit_transfers
     m = model(spark, sf_dir)
-    tr = whole_unit_transfers(m.base)
+    tr = m.whole_transfers
     k = kp(m.base, m.supplier_risk(), m.returns, tr, m.finance(), m.params.horizon_days, m.params.service_level)
     plan = m.base.where(F.col("recommended_order_qty") > 0)
     return rl(k, plan, m.supplier_risk(), _alert_queue(m))

@@ -61,6 +61,9 @@ class SupplyModel:
         self.inventory, self.suppliers, self.bom = inv, sup, bom
         self.purchase_orders, self.returns = std["purchase_orders"], std["returns"]
         self._anchor = anchor
+        self._materialized: str | None = None
+        self._stock_demand: DataFrame | None = None
+        self._position_cols: list[str] = []
 
     # ---- demand -------------------------------------------------------
     @cached_property
@@ -87,7 +90,11 @@ class SupplyModel:
     # ---- position -----------------------------------------------------
     def position(self, scaled: bool = True) -> DataFrame:
         """J1-J4 + B1-B3: stock x demand, BOM override, suppliers, incoming."""
-        base = J.stock_demand(self.inventory, self.stats(scaled))
+        if self._materialized is not None and (scaled or self.params.demand_multiplier == 1.0):
+            # reorder maths only adds columns: the position is a projection
+            return self.base.select(*self._position_cols)
+        base = self._stock_demand if scaled and self._stock_demand is not None else \
+            J.stock_demand(self.inventory, self.stats(scaled))
         base = J.apply_bom(base, self.bom, self.params.bom_levels)
         base = J.with_suppliers(base, self.suppliers, self.params.lead_time_delay_days)
         return J.with_incoming(base, self.purchase_orders)
@@ -102,14 +109,25 @@ class SupplyModel:
         """Planning rows with ABC classes."""
         return R.abc_classes(self.base)
 
-    def materialize(self, eager: bool = True) -> "SupplyModel":
-        """Cut the lineage of the planning rows: checkpoint them into the
-        shared checkpoint folder so every consumer reads one copy and a lost
-        executor does not recompute the demand pipeline."""
-        path = scratch_path(self.spark, "health")
-        self.health.write.mode("overwrite").parquet(path)
-        self.__dict__["health"] = self.spark.read.parquet(path)
-        self.__dict__["base"] = self.__dict__["health"].drop("cum_revenue_pct", "abc_class")
+    def materialize(self) -> "SupplyModel":
+        """Cut the lineage of the planning rows: write them once into the
+        shared checkpoint folder so that every consumer (ABC scan, supplier
+        roll-up, transfers, alerts, ...) reads one copy, and a lost executor
+        re-reads files instead of recomputing the demand pipeline."""
+        if self._materialized is None:
+            # stage 1: the sales aggregation joined to stock, written once;
+            # the BOM parent demand and the main branch both read this copy
+            sd_path = scratch_path(self.spark, "stock-demand")
+            J.stock_demand(self.inventory, self.stats()).write.mode("overwrite").parquet(sd_path)
+            self._stock_demand = self.spark.read.parquet(sd_path)
+            self.__dict__.pop("base", None)
+            self._position_cols = self.position().columns
+            # stage 2: BOM, suppliers, incoming and reorder maths
+            path = scratch_path(self.spark, "base")
+            self.base.write.mode("overwrite").parquet(path)
+            self._materialized = path
+            self.__dict__["base"] = self.spark.read.parquet(path)
+            self.__dict__.pop("health", None)
         return self
 
     def persist(self) -> "SupplyModel":
@@ -126,9 +144,19 @@ class SupplyModel:
     def reorder_plan(self) -> DataFrame:
         return R.reorder_plan(self.health)
 
-    def supplier_risk(self) -> DataFrame:
+    @cached_property
+    def _supplier_risk(self) -> DataFrame:
         return SP.supplier_risk(self.base, self.suppliers)
 
+    def supplier_risk(self) -> DataFrame:
+        return self._supplier_risk
+
+    @cached_property
+    def whole_transfers(self) -> DataFrame:
+        """X1-X5 on whole units (built once: its scans checkpoint eagerly)."""
+        from replenish.operators.transfers import whole_unit_transfers
+        return whole_unit_transfers(self.base)
+
     def freight(self) -> DataFrame:
         return E.freight_modes(self.base, self.params.service_level)
 
