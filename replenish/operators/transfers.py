@@ -13,9 +13,11 @@ two-pass scan, so a SKU of any size is spread over many tasks and no pair
 set is ever enumerated.
 
 ``exact_transfers`` reproduces the original fractional greedy, whose "skip
-when the remainder is below one unit" rule is sequential; it runs per SKU
-with ``applyInPandas`` over candidate rows only (rows with a deficit or a
-surplus, of SKUs having both), i.e. one SKU's warehouse rows per group."""
+when the remainder is below one unit" rule is sequential. Candidate rows
+only (rows with a deficit or a surplus, of SKUs having both) are clustered
+by sku, sorted in planning order and walked once per partition with
+``mapInPandas`` -- one Python call per Arrow batch, not per SKU; a SKU's
+rows are its warehouse positions."""
 
 from __future__ import annotations
 
@@ -78,12 +80,11 @@ def whole_unit_transfers(base: DataFrame, partitions: int | None = None) -> Data
         c("D.unit_cost").alias("unit_cost"), (c("q") * c("D.unit_cost")).alias("saved_value"))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["annual_revenue", "product", "warehouse"], ascending=[False, True, True])
-    defs = [[r.warehouse, r.deficit, r.product, r.unit_cost] for r in pdf.itertuples() if r.deficit > 0]
-    surs = [[r.warehouse, r.surplus] for r in pdf.itertuples() if r.surplus > 0]
+def _greedy_rows(sku, rows):
+    """The original greedy on one SKU's rows, already in planning order."""
+    defs = [[r[0], r[1], r[3], r[4]] for r in rows if r[1] > 0]
+    surs = [[r[0], r[2]] for r in rows if r[2] > 0]
     out = []
-    sku = pdf["sku"].iloc[0]
     for dv in defs:
         for sv in surs:
             if dv[1] <= 0 or sv[1] <= 0:
@@ -93,13 +94,36 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
                 out.append((sku, dv[2], sv[0], dv[0], int(round(q)), float(dv[3]), float(q * dv[3])))
                 dv[1] -= q
                 sv[1] -= q
-    return pd.DataFrame(out, columns=["sku", "product", "from_warehouse", "to_warehouse", "qty", "unit_cost",
-                                      "saved_value"])
+    return out
+
+
+_OUT_COLS = ["sku", "product", "from_warehouse", "to_warehouse", "qty", "unit_cost", "saved_value"]
+
+
+def _greedy_partitions(batches):
+    """Rows arrive clustered by sku and sorted in planning order; a SKU may
+    continue into the next Arrow batch, so its rows are carried over."""
+    cur, buf = None, []
+    for pdf in batches:
+        out = []
+        cols = zip(pdf["sku"], pdf["warehouse"], pdf["deficit"], pdf["surplus"], pdf["product"], pdf["unit_cost"])
+        for sku, wh, d, s, prod, uc in cols:
+            if sku != cur:
+                if buf:
+                    out += _greedy_rows(cur, buf)
+                cur, buf = sku, []
+            buf.append((wh, d, s, prod, uc))
+        yield pd.DataFrame(out, columns=_OUT_COLS)
+    if buf:
+        yield pd.DataFrame(_greedy_rows(cur, buf), columns=_OUT_COLS)
 
 
 def exact_transfers(base: DataFrame) -> DataFrame:
     cand = _sides(base).where((F.col("deficit") > 0) | (F.col("surplus") > 0))
-    return cand.groupBy("sku").applyInPandas(_greedy, TRANSFER_SCHEMA)
+    ordered = (cand.repartition("sku")
+               .sortWithinPartitions("sku", F.col("annual_revenue").desc(), "product", "warehouse")
+               .select("sku", "warehouse", "deficit", "surplus", "product", "unit_cost"))
+    return ordered.mapInPandas(_greedy_partitions, TRANSFER_SCHEMA)
 
 
 def transfer_summary(transfers: DataFrame) -> DataFrame:
