@@ -474,3 +474,30 @@ def table_summary(spark, sf_dir):
     for name in ("lineitem", "orders", "part", "supplier", "customer", "nation", "region", "events"):
         ws.add(name, spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
     return ws.summary()
+
+
+@query("demand_daily_series")
+def demand_daily_series(spark, sf_dir):
+    """Daily quantity per SKU over all history (products pooled)."""
+    from replenish.operators.demand import daily_series
+    return finalize(daily_series(model(spark, sf_dir).sales))
+
+
+PENALTY_MULT = 3.0
+
+
+@query("cost_curves_penalty")
+def cost_curves_penalty(spark, sf_dir):
+    """O2: the cost curve under a stock-out penalty of 3 x unit cost."""
+    return finalize(model(spark, sf_dir).cost_curves(PENALTY_MULT), 2)
+
+
+@query("streaming_spike_watch")
+def streaming_spike_watch(spark, sf_dir):
+    """Days of the drained purchase stream above the SKU's upper fence
+    (Q3 + 1.5 IQR of its daily history, SKUs with >= 10 days)."""
+    from replenish.streaming.daily_demand import drain_daily_demand, spike_thresholds, spike_watch_stream
+    daily = drain_daily_demand(spark, sf_dir)
+    view = daily.select(F.struct(F.col("date").cast("timestamp").alias("start")).alias("window"), "sku", "qty")
+    alerts = spike_watch_stream(view, spike_thresholds(daily))
+    return finalize(alerts.select(F.to_date("day").alias("date"), "sku", "qty", "upper", "severity"))

@@ -621,3 +621,19 @@ def _summary_sql() -> str:
 
 
 ORACLES["table_summary"] = _summary_sql()
+
+ORACLES["demand_daily_series"] = with_roles(f"SELECT sku, date, {r('sum(qty)')} AS qty FROM sales GROUP BY sku, date")
+
+ORACLES["cost_curves_penalty"] = with_model_ctes(CURVES.replace(f"unit_cost * {dbl(1.5)}", f"unit_cost * {dbl(3.0)}"), f"""
+SELECT {r('service_level', 2)} AS service_level, {r('carrying_cost', 2)} AS carrying_cost, {r('stockout_cost', 2)} AS stockout_cost,
+       {r('carrying_cost + stockout_cost', 2)} AS total_cost FROM cc""")
+
+ORACLES["streaming_spike_watch"] = f"""
+WITH d AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS date, CAST(user_id AS VARCHAR) AS sku,
+                  sum(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS qty
+           FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
+f AS (SELECT sku, quantile_cont(qty, 0.75) + (quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25)) * {dbl(1.5)} AS upper
+      FROM d GROUP BY sku HAVING count(*) >= 10)
+SELECT d.date, d.sku, {r('d.qty')} AS qty, {r('f.upper')} AS upper,
+       CASE WHEN d.qty < f.upper * {dbl(1.8)} THEN 'Medium' ELSE 'High' END AS severity
+FROM d JOIN f ON d.sku = f.sku WHERE d.qty > f.upper"""

@@ -62,6 +62,14 @@ def drain_daily_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_view(spark, out_dir)
 
 
+def spike_thresholds(daily: DataFrame, min_days: int = 10) -> DataFrame:
+    """Per-sku upper fence Q3 + 1.5 IQR over daily quantities (batch side of
+    the stream-static join)."""
+    q = F.percentile("qty", F.array(F.lit(0.25), F.lit(0.75)))
+    st = daily.groupBy("sku").agg(F.count(F.lit(1)).alias("n"), q.alias("qs")).where(F.col("n") >= min_days)
+    return st.select("sku", (F.col("qs")[1] + (F.col("qs")[1] - F.col("qs")[0]) * 1.5).alias("upper"))
+
+
 def spike_watch_stream(daily: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Stream-static join of daily demand with per-sku spike thresholds
     (the D11 upper fences computed in batch); a day above its fence is an
