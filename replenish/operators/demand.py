@@ -110,15 +110,19 @@ def demand_spikes(sales: DataFrame, min_days: int = 10, keep_last: int = 5) -> D
     last ``keep_last`` hits in (product, date) order. Groups are daily rows,
     so their size is bounded by the calendar, not by the row count."""
     daily = sales.groupBy("sku", "product", "date").agg(F.sum("qty").alias("qty"))
-    stats = daily.groupBy("sku").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("qty", F.array(F.lit(0.25), F.lit(0.75))).alias("qs"),
-        F.avg("qty").alias("mu"),
-        F.stddev_samp("qty").alias("sd"),
+    # fences as window aggregates over the same daily rows (one shuffle by
+    # sku, no self-join, the daily aggregation runs once)
+    per_sku = Window.partitionBy("sku")
+    x = daily.select(
+        "*",
+        F.count(F.lit(1)).over(per_sku).alias("n"),
+        F.percentile("qty", F.array(F.lit(0.25), F.lit(0.75))).over(per_sku).alias("qs"),
+        F.avg("qty").over(per_sku).alias("mu"),
+        F.stddev_samp("qty").over(per_sku).alias("sd"),
     ).where(F.col("n") >= min_days)
     upper = F.col("qs")[1] + (F.col("qs")[1] - F.col("qs")[0]) * 1.5
-    stats = stats.select("sku", upper.alias("upper"), (F.col("mu") + F.col("sd") * 2).alias("two_sigma"))
-    hits = daily.join(stats, "sku").where(F.col("qty") > F.greatest("upper", "two_sigma"))
+    x = x.withColumn("upper", upper).withColumn("two_sigma", F.col("mu") + F.col("sd") * 2)
+    hits = x.where(F.col("qty") > F.greatest("upper", "two_sigma"))
     w = Window.partitionBy("sku").orderBy(F.col("product").desc(), F.col("date").desc())
     tail = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep_last)
     return tail.select(

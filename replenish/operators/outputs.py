@@ -68,13 +68,16 @@ def kpis(base: DataFrame, risk: DataFrame, returns: DataFrame, transfers: DataFr
         F.count(F.when(c("overstock_flag"), 1)).alias("overstock_skus"),
     )
     sup_high = risk.select(F.count(F.when(c("risk_level").isin("Critical", "High"), 1))).scalar()
-    refund = returns.select(F.coalesce(F.sum("refund_amount"), F.lit(0.0))).scalar()
-    ret_qty = returns.select(F.coalesce(F.sum("return_qty"), F.lit(0.0)).cast("long")).scalar()
-    saved = transfers.select(F.coalesce(F.sum("saved_value"), F.lit(0.0))).scalar()
-    n_tr = transfers.select(F.count(F.lit(1))).scalar()
-    cogs = fin.select(F.coalesce(F.sum("annual_cogs"), F.lit(0.0))).scalar()
-    avgv = fin.select(F.coalesce(F.sum("average_inventory_value"), F.lit(0.0))).scalar()
-    carry = fin.select(F.coalesce(F.sum("annual_carrying_cost"), F.lit(0.0))).scalar()
+    ret = returns.select(F.struct(F.coalesce(F.sum("refund_amount"), F.lit(0.0)).alias("refund"),
+                                  F.coalesce(F.sum("return_qty"), F.lit(0.0)).cast("long").alias("qty"))).scalar()
+    tr = transfers.select(F.struct(F.coalesce(F.sum("saved_value"), F.lit(0.0)).alias("saved"),
+                                   F.count(F.lit(1)).alias("n"))).scalar()
+    fn = fin.select(F.struct(F.coalesce(F.sum("annual_cogs"), F.lit(0.0)).alias("cogs"),
+                             F.coalesce(F.sum("average_inventory_value"), F.lit(0.0)).alias("avgv"),
+                             F.coalesce(F.sum("annual_carrying_cost"), F.lit(0.0)).alias("carry"))).scalar()
+    refund, ret_qty = ret.getField("refund"), ret.getField("qty")
+    saved, n_tr = tr.getField("saved"), tr.getField("n")
+    cogs, avgv, carry = fn.getField("cogs"), fn.getField("avgv"), fn.getField("carry")
     return row.select(
         "*",
         sup_high.alias("supplier_high_risk"),

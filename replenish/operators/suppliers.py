@@ -40,14 +40,12 @@ def mcda(risk: DataFrame, w_price: float = 0.3, w_speed: float = 0.2, w_reliabil
     """P5: min-max scaled price and lead-time scores (100 when flat), on-time
     and quality scores, weighted mean; numeric outputs rounded to 2.
 
-    The extremes are scalar subqueries (one combinable aggregation each)."""
+    The extremes come from one scalar subquery (a combinable aggregation)."""
     c = F.col
-    ext = risk.select(F.max("avg_unit_cost").alias("a"), F.min("avg_unit_cost").alias("b"),
-                      F.max("avg_lead_time").alias("c"), F.min("avg_lead_time").alias("d"))
-    max_p = ext.select("a").scalar()
-    min_p = ext.select("b").scalar()
-    max_l = ext.select("c").scalar()
-    min_l = ext.select("d").scalar()
+    # one scalar subquery returning all four extremes
+    ext = risk.select(F.struct(F.max("avg_unit_cost").alias("a"), F.min("avg_unit_cost").alias("b"),
+                               F.max("avg_lead_time").alias("c"), F.min("avg_lead_time").alias("d"))).scalar()
+    max_p, min_p, max_l, min_l = (ext.getField(k) for k in "abcd")
     sp = F.when(max_p != min_p, (max_p - c("avg_unit_cost")) * 100 / (max_p - min_p)).otherwise(F.lit(100.0))
     ss = F.when(max_l != min_l, (max_l - c("avg_lead_time")) * 100 / (max_l - min_l)).otherwise(F.lit(100.0))
     total_w = w_price + w_speed + w_reliability + w_quality
