@@ -178,7 +178,11 @@ def procurement_drafts(plan: DataFrame, max_lines: int = 20) -> DataFrame:
     text = F.concat_ws("\n", *[F.lit(x) for x in DRAFT_HEAD], c("body"), F.lit(""),
                        F.concat(F.lit("Estimated order value: "), fmt_grouped(c("total"), 2)), F.lit(""),
                        F.lit(DRAFT_TAIL_NOTE), *[F.lit(x) for x in DRAFT_SIGN])
-    return j.select("supplier_id", text.alias("draft"))
+    drafts = j.select("supplier_id", text.alias("draft"))
+    # an empty plan still yields the 'All suppliers' draft, in its empty form
+    empty = plan.sparkSession.createDataFrame([("All suppliers", DRAFT_EMPTY)], "supplier_id string, draft string")
+    n = plan.select(F.count(F.lit(1))).scalar()
+    return drafts.unionByName(empty.where(n == 0))
 
 
 def rfq_drafts(first_rows: DataFrame, delivery_date: Column) -> DataFrame:

@@ -171,3 +171,50 @@ class SupplyModel:
 
     def supplier_returns(self) -> DataFrame:
         return T.supplier_returns(self.base, self.returns)
+
+    # ---- exports (K2-K5) ------------------------------------------------
+    def result_tables(self) -> dict[str, DataFrame]:
+        """The model's tables under the original result names."""
+        from replenish.operators.demand import demand_spikes
+        from replenish.operators.economics import cost_curves
+        from replenish.operators.outputs import alerts, kpis, playbooks
+        from replenish.operators.returns import by_reason
+        t = {
+            "inventory_health": self.health,
+            "reorder_plan": self.reorder_plan(),
+            "supplier_risk": self.supplier_risk(),
+            "anomalies": demand_spikes(self.sales),
+            "sku_returns": self.sku_returns(),
+            "supplier_returns": self.supplier_returns(),
+            "transfers": self.whole_transfers,
+            "bom": self.bom,
+            "freight_comparisons": self.freight(),
+            "financial_kpis": self.finance(),
+            "alerts": alerts(self.base, self.supplier_risk(), self.whole_transfers),
+            "automation_playbooks": playbooks(self.spark),
+            "returns_by_reason": by_reason(self.returns),
+            "cost_curves": cost_curves(self.base, self.params.holding_cost_rate),
+        }
+        t["kpis"] = kpis(self.base, t["supplier_risk"], self.returns, t["transfers"], t["financial_kpis"],
+                         self.params.horizon_days, self.params.service_level)
+        return t
+
+    def export_audit(self, path: str, cap: int | None = None) -> None:
+        """K2: every result table as JSON lines (whole tables unless ``cap``)."""
+        from replenish.sinks.export import write_audit
+        write_audit(self.result_tables(), path, cap=cap)
+
+    def export_bundle(self, path: str, fmt: str = "parquet") -> None:
+        """K3: the workbook's tables as one folder per sheet name."""
+        from replenish.sinks.export import write_bundle
+        write_bundle(self.result_tables(), path, fmt)
+
+    def automation(self, path: str, webhook_url: str = "") -> DataFrame:
+        """K4: writes the transfer list under ``path`` and returns the
+        one-row payload frame that points to it."""
+        from replenish.sinks.export import automation_payload, write_audit
+        t = self.result_tables()
+        write_audit({"transfers": t["transfers"]}, path)
+        return automation_payload(t["automation_playbooks"], t["alerts"], f"{path.rstrip('/')}/transfers",
+                                  webhook_url=webhook_url)
+

@@ -57,3 +57,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cluster_conf(input_bytes: float, executors: int, cores_per_executor: int = 4,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Suggested settings for a large run (the cluster may override them).
+
+    Shuffle partitions are sized so that a partition of the largest input
+    (~ the sales table) is about ``target_partition_bytes`` before map-side
+    reduction, never fewer than 2 waves of tasks; AQE coalesces the small
+    ones and splits skewed join partitions at runtime."""
+    slots = max(1, executors * cores_per_executor)
+    parts = max(2 * slots, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 512 << 20)),
+        "spark.sql.session.timeZone": "UTC",
+    }
+

@@ -87,3 +87,30 @@ def test_sinks(spark, tmpdir_path):
     doc = json.loads(automation_payload(playbooks(spark), al, "/x/transfers").first()[0])
     assert doc["approval_policy"]["safe_mode"] is True and len(doc["automation_playbooks"]) == 5
     assert doc["alerts"][0]["type"] == "dead_stock"
+
+
+def test_model_exports(spark, tmpdir_path):
+    from replenish.params import PlanParams
+    from replenish.plans.model import SupplyModel
+    from tests.fixtures import mini_tables
+    m = SupplyModel(spark, mini_tables(spark), PlanParams())
+    m.export_audit(os.path.join(tmpdir_path, "audit"))
+    assert spark.read.json(os.path.join(tmpdir_path, "audit", "inventory_health")).count() == 4
+    m.export_bundle(os.path.join(tmpdir_path, "bundle"))
+    assert os.path.isdir(os.path.join(tmpdir_path, "bundle", "freight_optimization"))
+    doc = json.loads(m.automation(os.path.join(tmpdir_path, "auto")).first()[0])
+    assert doc["transfers_path"].endswith("/transfers") and len(doc["automation_playbooks"]) == 5
+
+
+def test_empty_plan_draft(spark):
+    from replenish.operators.outputs import DRAFT_EMPTY, procurement_drafts
+    plan = spark.createDataFrame([], "supplier_id string, sku string, product string, recommended_order_qty double, "
+                                     "stockout_risk string, recommended_order_value double, annual_revenue double, "
+                                     "warehouse string")
+    assert [tuple(r) for r in procurement_drafts(plan).collect()] == [("All suppliers", DRAFT_EMPTY)]
+
+
+def test_cluster_conf_sizes_partitions():
+    from replenish.session import cluster_conf
+    c = cluster_conf(100 * 2 ** 40, executors=1000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
