@@ -96,8 +96,10 @@ class SupplyModel:
         base = self._stock_demand if scaled and self._stock_demand is not None else \
             J.stock_demand(self.inventory, self.stats(scaled))
         base = J.apply_bom(base, self.bom, self.params.bom_levels)
-        base = J.with_suppliers(base, self.suppliers, self.params.lead_time_delay_days)
-        return J.with_incoming(base, self.purchase_orders)
+        # incoming joins on sku right after the BOM join (same partitioning,
+        # no re-shuffle); the supplier join comes last
+        base = J.with_incoming(base, self.purchase_orders)
+        return J.with_suppliers(base, self.suppliers, self.params.lead_time_delay_days)
 
     @cached_property
     def base(self) -> DataFrame:
