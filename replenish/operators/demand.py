@@ -80,9 +80,16 @@ def demand_stats(daily: DataFrame, hi: _dt.date, params: PlanParams, scaled: boo
     return out.withColumn("forecast_horizon_qty", F.col("avg_daily_demand") * float(params.horizon_days))
 
 
-def daily_series(sales: DataFrame) -> DataFrame:
-    """Per SKU and day over all history (pooled over product names)."""
-    return sales.groupBy("sku", "date").agg(F.sum("qty").alias("qty"))
+def daily_history(sales: DataFrame) -> DataFrame:
+    """All-history sums per (sku, product, date): the one aggregate that the
+    spike watch, daily series, forecast projection and return rates share."""
+    return sales.groupBy("sku", "product", "date").agg(F.sum("qty").alias("qty"))
+
+
+def daily_series(daily: DataFrame) -> DataFrame:
+    """Per SKU and day over all history (pooled over product names).
+    ``daily`` is sales or its (sku, product, date) history."""
+    return daily.groupBy("sku", "date").agg(F.sum("qty").alias("qty"))
 
 
 def forecast_projection(sales: DataFrame, first_rows: DataFrame, horizon_days: int) -> DataFrame:
@@ -102,14 +109,15 @@ def forecast_projection(sales: DataFrame, first_rows: DataFrame, horizon_days: i
     )
 
 
-def demand_spikes(sales: DataFrame, min_days: int = 10, keep_last: int = 5) -> DataFrame:
+def demand_spikes(sales: DataFrame, min_days: int = 10, keep_last: int = 5, daily: DataFrame | None = None) -> DataFrame:
     """IQR / 2-sigma demand spikes over all history.
 
     Per SKU (products pooled): skip SKUs with fewer than ``min_days`` sale
     days; hit when a day's qty > max(Q3 + 1.5 IQR, mean + 2 std); keep the
     last ``keep_last`` hits in (product, date) order. Groups are daily rows,
-    so their size is bounded by the calendar, not by the row count."""
-    daily = sales.groupBy("sku", "product", "date").agg(F.sum("qty").alias("qty"))
+    so their size is bounded by the calendar, not by the row count.
+    Pass ``daily`` (the shared history aggregate) to skip re-aggregating."""
+    daily = daily if daily is not None else daily_history(sales)
     # fences as window aggregates over the same daily rows (one shuffle by
     # sku, no self-join, the daily aggregation runs once)
     per_sku = Window.partitionBy("sku")

@@ -31,7 +31,8 @@ def sku_first(base: DataFrame) -> DataFrame:
 
 def sku_return_rate(base: DataFrame, returns: DataFrame, sales: DataFrame) -> DataFrame:
     """One row per planning sku; return rate = clip(returned / sold, 0, 1),
-    0 without sales (sales over all history)."""
+    0 without sales (sales over all history; ``sales`` may be the shared
+    (sku, product, date) history aggregate)."""
     ret = returns.groupBy("sku").agg(F.sum("return_qty").alias("total_return_qty"),
                                      F.sum("refund_amount").alias("total_refund_amount"))
     sold = sales.groupBy("sku").agg(F.sum("qty").alias("total_sales_qty"))

@@ -174,13 +174,14 @@ def demand_forecast_top20(spark, sf_dir):
 def forecast_projection(spark, sf_dir):
     from replenish.operators.demand import forecast_projection as fp
     m = model(spark, sf_dir)
-    return finalize(fp(m.sales, m.first_rows(), m.params.horizon_days))
+    return finalize(fp(m.history, m.first_rows(), m.params.horizon_days))
 
 
 @query("demand_spikes")
 def demand_spikes(spark, sf_dir):
     from replenish.operators.demand import demand_spikes as ds
-    return finalize(ds(model(spark, sf_dir).sales))
+    m = model(spark, sf_dir)
+    return finalize(ds(m.sales, daily=m.history))
 
 
 @query("seed_inventory_from_sales")
@@ -299,7 +300,7 @@ def supplier_returns(spark, sf_dir):
 def overall_return_rate(spark, sf_dir):
     from replenish.operators.returns import overall_return_rate as orr
     m = model(spark, sf_dir)
-    return finalize(orr(m.returns, m.sales), 8)
+    return finalize(orr(m.returns, m.history), 8)
 
 
 # ---- transfers (X1-X5) ----------------------------------------------------
@@ -480,7 +481,7 @@ def table_summary(spark, sf_dir):
 def demand_daily_series(spark, sf_dir):
     """Daily quantity per SKU over all history (products pooled)."""
     from replenish.operators.demand import daily_series
-    return finalize(daily_series(model(spark, sf_dir).sales))
+    return finalize(daily_series(model(spark, sf_dir).history))
 
 
 PENALTY_MULT = 3.0

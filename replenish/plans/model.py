@@ -83,6 +83,18 @@ class SupplyModel:
             return self.spark.createDataFrame([], STATS_SCHEMA)
         return D.demand_stats(self.daily, hi, self.params, scaled=scaled)
 
+    @cached_property
+    def history(self) -> DataFrame:
+        """All-history (sku, product, date) sums; written once when the model
+        is materialised (the spike watch, daily series, projection and return
+        rates read it instead of re-joining the whole sales history)."""
+        h = D.daily_history(self.sales)
+        if self._materialized is None:
+            return h
+        path = scratch_path(self.spark, "history")
+        h.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def dense_calendar(self) -> DataFrame:
         lo, hi = self.window
         return D.dense_calendar(self.daily, lo, hi)
@@ -169,7 +181,7 @@ class SupplyModel:
         return E.cost_curves(self.base, self.params.holding_cost_rate, penalty_mult)
 
     def sku_returns(self) -> DataFrame:
-        return T.sku_return_rate(self.base, self.returns, self.sales)
+        return T.sku_return_rate(self.base, self.returns, self.history)
 
     def supplier_returns(self) -> DataFrame:
         return T.supplier_returns(self.base, self.returns)
@@ -185,7 +197,7 @@ class SupplyModel:
             "inventory_health": self.health,
             "reorder_plan": self.reorder_plan(),
             "supplier_risk": self.supplier_risk(),
-            "anomalies": demand_spikes(self.sales),
+            "anomalies": demand_spikes(self.sales, daily=self.history),
             "sku_returns": self.sku_returns(),
             "supplier_returns": self.supplier_returns(),
             "transfers": self.whole_transfers,
