@@ -52,16 +52,15 @@ def whole_unit_transfers(base: DataFrame, partitions: int | None = None) -> Data
     c = F.col
     rows = _sides(base).withColumn("d", F.floor("deficit")).withColumn("s", F.floor("surplus"))
     order = [c("annual_revenue").desc(), c("product"), c("warehouse")]
-    # running line positions per SKU, one scan per side
-    d = running(rows.where(c("d") >= 1), order, {"d_hi": (c("d"), "sum")}, segment=["sku"], partitions=partitions)
-    s = running(rows.where(c("s") >= 1), order, {"s_hi": (c("s"), "sum")}, segment=["sku"], partitions=partitions)
-    d = d.select("sku", (c("d_hi") - c("d")).alias("lo"), c("d_hi").alias("hi"), F.lit(1).alias("side"),
-                 F.struct((c("d_hi") - c("d")).alias("lo"), c("d_hi").alias("hi"), "warehouse", "product",
-                          "unit_cost").alias("iv"))
-    s = s.select("sku", (c("s_hi") - c("s")).alias("lo"), c("s_hi").alias("hi"), F.lit(0).alias("side"),
-                 F.struct((c("s_hi") - c("s")).alias("lo"), c("s_hi").alias("hi"), "warehouse", "product",
-                          "unit_cost").alias("iv"))
-    ev = d.unionByName(s)
+    # running line positions per SKU and side in one scan (segment = sku, side)
+    sides = (rows.where(c("d") >= 1).select("sku", "product", "warehouse", "unit_cost", "annual_revenue",
+                                            F.lit(1).alias("side"), c("d").alias("amt"))
+             .unionByName(rows.where(c("s") >= 1).select("sku", "product", "warehouse", "unit_cost", "annual_revenue",
+                                                         F.lit(0).alias("side"), c("s").alias("amt"))))
+    pos = running(sides, order, {"hi": (c("amt"), "sum")}, segment=["sku", "side"], partitions=partitions)
+    ev = pos.select("sku", (c("hi") - c("amt")).alias("lo"), "hi", "side",
+                    F.struct((c("hi") - c("amt")).alias("lo"), c("hi").alias("hi"), "warehouse", "product",
+                             "unit_cost").alias("iv"))
     # surplus starts sort before deficit starts at the same position
     ev_order = [c("lo"), c("side"), c("iv.warehouse"), c("iv.product")]
     swept = running(ev, ev_order, {
