@@ -46,7 +46,11 @@ def tables(spark: SparkSession, sf_dir: str) -> tpch.Tables:
 
 def model(spark: SparkSession, sf_dir: str, params: PlanParams = PARAMS) -> SupplyModel:
     """Planning model over the role views (cached per session and folder)."""
-    key = (id(spark), sf_dir.rstrip("/"), params)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext on this client
+        app = None
+    key = (id(spark), app, sf_dir.rstrip("/"), params)
     if key not in _MODELS:
         t = tables(spark, sf_dir)
         # latest ship date straight from lineitem (one column); every line's
