@@ -211,6 +211,12 @@ class SupplyModel:
         }
         t["kpis"] = kpis(self.base, t["supplier_risk"], self.returns, t["transfers"], t["financial_kpis"],
                          self.params.horizon_days, self.params.service_level)
+        p = self.params
+        t["params"] = self.spark.createDataFrame(
+            [(p.horizon_days, p.service_level, p.order_cost, p.holding_cost_rate, p.demand_multiplier,
+              p.lead_time_delay_days)],
+            "horizon_days int, service_level double, order_cost double, holding_cost_rate double, "
+            "demand_multiplier double, lead_time_delay_days double")
         return t
 
     def export_audit(self, path: str, cap: int | None = None) -> None:
