@@ -322,7 +322,7 @@ def transfers_exact(spark, sf_dir):
 @query("transfer_summary")
 def transfer_summary(spark, sf_dir):
     from replenish.operators.transfers import transfer_summary as ts
-    return finalize(ts(model(spark, sf_dir).whole_transfers), 2)
+    return finalize(ts(model(spark, sf_dir).whole_transfers), 2, GRID_MONEY)
 
 
 # ---- economics (O, F, V) --------------------------------------------------
@@ -362,13 +362,13 @@ def financial_velocity(spark, sf_dir):
 @query("finance_by_class")
 def finance_by_class(spark, sf_dir):
     from replenish.operators.economics import finance_by_class as fc
-    return finalize(fc(model(spark, sf_dir).finance()), 2)
+    return finalize(fc(model(spark, sf_dir).finance()), 3)
 
 
 @query("portfolio_ratios")
 def portfolio_ratios(spark, sf_dir):
     from replenish.operators.economics import portfolio_ratios as pr
-    return finalize(pr(model(spark, sf_dir).finance()), 2)
+    return finalize(pr(model(spark, sf_dir).finance()), 3)
 
 
 @query("kpis")
@@ -377,7 +377,7 @@ def kpis(spark, sf_dir):
     m = model(spark, sf_dir)
     k = kp(m.base, m.supplier_risk(), m.returns, m.whole_transfers, m.finance(),
            m.params.horizon_days, m.params.service_level)
-    return finalize(k, 2)
+    return finalize(k, 2, GRID_MONEY)
 
 
 # ---- alerts and documents (A2-A6, G1-G3) ----------------------------------
@@ -423,15 +423,21 @@ def _scenarios(spark, sf_dir):
     return scenario_summary(scenario_rows(m.position(scaled=False), grid(), m.params))
 
 
+# Sums of (units x 3-decimal unit cost) lie exactly on a 0.001 grid: rounding
+# them to 2 decimals would land on exact ties that summation order decides,
+# so they keep 3 or more decimals.
+GRID_MONEY = {"total_inventory_value": 3, "recommended_order_value": 3, "saved_transfer_value": 3}
+
+
 @query("scenario_grid")
 def scenario_grid(spark, sf_dir):
-    return finalize(_scenarios(spark, sf_dir), 2)
+    return finalize(_scenarios(spark, sf_dir), 2, GRID_MONEY)
 
 
 @query("scenario_long")
 def scenario_long(spark, sf_dir):
     from replenish.operators.scenarios import scenario_long as sl
-    return finalize(sl(_scenarios(spark, sf_dir)), 2)
+    return finalize(sl(_scenarios(spark, sf_dir)), 3)
 
 
 # ---- playbook watches (E1-E5) --------------------------------------------

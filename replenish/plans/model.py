@@ -30,6 +30,23 @@ STATS_SCHEMA = ("sku string, product string, avg_daily_demand double, std_daily_
                 "forecast_horizon_qty double")
 
 
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` at ``path`` (shared folder) as an external table bucketed
+    by ``key`` and return it; falls back to plain Parquet when the session
+    catalog cannot hold tables."""
+    import uuid
+
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"replenish_{uuid.uuid4().hex}"
+    try:
+        df.write.mode("overwrite").bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+        return spark.table(name)
+    except Exception:  # noqa: BLE001 - catalog without table support
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
 class SupplyModel:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | None],
                  params: PlanParams | None = None, standardized: bool = False,
@@ -136,11 +153,14 @@ class SupplyModel:
             self._stock_demand = self.spark.read.parquet(sd_path)
             self.__dict__.pop("base", None)
             self._position_cols = self.position().columns
-            # stage 2: BOM, suppliers, incoming and reorder maths
+            # stage 2: BOM, suppliers, incoming and reorder maths; written as
+            # a table bucketed by sku so consumers that group or join by sku
+            # (first row per sku, return rates, transfers) read it without a
+            # shuffle of the planning rows
             path = scratch_path(self.spark, "base")
-            self.base.write.mode("overwrite").parquet(path)
+            written = write_bucketed(self.base, path, "sku")
             self._materialized = path
-            self.__dict__["base"] = self.spark.read.parquet(path)
+            self.__dict__["base"] = written
             self.__dict__.pop("health", None)
         return self
 

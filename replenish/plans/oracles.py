@@ -299,7 +299,7 @@ SELECT sku, product, from_warehouse, to_warehouse, CAST(q AS BIGINT) AS qty, {r(
        {r('q * unit_cost')} AS saved_value FROM tr""")
 
 ORACLES["transfer_summary"] = with_model_ctes(TRANSFERS, f"""
-SELECT {r('coalesce(sum(q * unit_cost), 0.0)', 2)} AS saved_transfer_value, count(*) AS transfers_count FROM tr""")
+SELECT {r('coalesce(sum(q * unit_cost), 0.0)', 3)} AS saved_transfer_value, count(*) AS transfers_count FROM tr""")
 
 _LEVELS = "(VALUES " + ", ".join(f"({dbl(x)})" for x in (0.80, 0.85, 0.90, 0.95, 0.98, 0.99)) + ") lv(service_level)"
 Z_CASE = ("CASE WHEN service_level >= 0.99 THEN 2.33 WHEN service_level >= 0.98 THEN 2.05 WHEN service_level >= 0.95 THEN 1.65 "
@@ -363,21 +363,21 @@ ORACLES["financial_velocity"] = with_model_ctes(FIN, f"""
 SELECT sku, product, storage_class, warehouse, {r('annual_cogs')} AS annual_cogs, {r('average_inventory_value')} AS average_inventory_value,
        {r('itr')} AS itr, {r('dio')} AS dio, {r('annual_carrying_cost')} AS annual_carrying_cost FROM fin""")
 ORACLES["finance_by_class"] = with_model_ctes(FIN, f"""
-SELECT storage_class, count(sku) AS sku_count, {r('sum(annual_cogs)', 2)} AS annual_cogs,
-       {r('sum(average_inventory_value)', 2)} AS total_avg_inventory_value,
-       {r('sum(annual_carrying_cost)', 2)} AS total_annual_carrying_cost FROM fin GROUP BY storage_class""")
+SELECT storage_class, count(sku) AS sku_count, {r('sum(annual_cogs)', 3)} AS annual_cogs,
+       {r('sum(average_inventory_value)', 3)} AS total_avg_inventory_value,
+       {r('sum(annual_carrying_cost)', 3)} AS total_annual_carrying_cost FROM fin GROUP BY storage_class""")
 PORT = """pt AS (SELECT coalesce(sum(annual_cogs), 0.0) AS total_annual_cogs, coalesce(sum(average_inventory_value), 0.0) AS total_avg_inventory_value,
               coalesce(sum(annual_carrying_cost), 0.0) AS total_annual_carrying_cost FROM fin)"""
 ORACLES["portfolio_ratios"] = with_model_ctes(FIN + ",\n" + PORT, f"""
-SELECT {r('total_annual_cogs', 2)} AS total_annual_cogs, {r('total_avg_inventory_value', 2)} AS total_avg_inventory_value,
-       {r('total_annual_carrying_cost', 2)} AS total_annual_carrying_cost,
-       {r('CASE WHEN total_avg_inventory_value > 0 THEN total_annual_cogs / total_avg_inventory_value ELSE 0.0 END', 2)} AS portfolio_itr,
-       {r('CASE WHEN total_annual_cogs > 0 THEN 365.0 * total_avg_inventory_value / total_annual_cogs ELSE 365.0 END', 2)} AS portfolio_dio
+SELECT {r('total_annual_cogs', 3)} AS total_annual_cogs, {r('total_avg_inventory_value', 3)} AS total_avg_inventory_value,
+       {r('total_annual_carrying_cost', 3)} AS total_annual_carrying_cost,
+       {r('CASE WHEN total_avg_inventory_value > 0 THEN total_annual_cogs / total_avg_inventory_value ELSE 0.0 END', 3)} AS portfolio_itr,
+       {r('CASE WHEN total_annual_cogs > 0 THEN 365.0 * total_avg_inventory_value / total_annual_cogs ELSE 365.0 END', 3)} AS portfolio_dio
 FROM pt""")
 
 ORACLES["kpis"] = with_model_ctes(",\n".join([SUPPLIER_RISK, TRANSFERS, FIN, PORT]), f"""
-SELECT {r('coalesce(sum(inventory_value), 0.0)', 2)} AS total_inventory_value,
-       {r('coalesce(sum(CASE WHEN recommended_order_qty > 0 THEN recommended_order_value END), 0.0)', 2)} AS recommended_order_value,
+SELECT {r('coalesce(sum(inventory_value), 0.0)', 3)} AS total_inventory_value,
+       {r('coalesce(sum(CASE WHEN recommended_order_qty > 0 THEN recommended_order_value END), 0.0)', 3)} AS recommended_order_value,
        count(CASE WHEN stockout_risk = 'Critical' THEN 1 END) AS critical_skus,
        count(CASE WHEN stockout_risk IN ('Critical', 'High') THEN 1 END) AS high_risk_skus,
        count(CASE WHEN dead_stock_flag THEN 1 END) AS dead_stock_skus,
@@ -386,7 +386,7 @@ SELECT {r('coalesce(sum(inventory_value), 0.0)', 2)} AS total_inventory_value,
        CAST(30 AS BIGINT) AS forecast_horizon_days, {r(dbl(0.95), 2)} AS service_level,
        {r('(SELECT coalesce(sum(refund_amount), 0.0) FROM returns)', 2)} AS total_refund_value,
        (SELECT CAST(trunc(coalesce(sum(return_qty), 0.0)) AS BIGINT) FROM returns) AS total_returns_qty,
-       {r('(SELECT coalesce(sum(q * unit_cost), 0.0) FROM tr)', 2)} AS saved_transfer_value,
+       {r('(SELECT coalesce(sum(q * unit_cost), 0.0) FROM tr)', 3)} AS saved_transfer_value,
        (SELECT count(*) FROM tr) AS transfers_count,
        {r('(SELECT total_annual_cogs FROM pt)', 2)} AS total_annual_cogs,
        {r('(SELECT total_avg_inventory_value FROM pt)', 2)} AS total_avg_inventory_value,
@@ -559,11 +559,11 @@ scen AS (SELECT name, any_value(m) AS demand_multiplier, any_value(d) AS lead_ti
          FROM x5 GROUP BY name)"""
 ORACLES["scenario_grid"] = with_model_ctes(SCEN, f"""
 SELECT name, {r('demand_multiplier', 2)} AS demand_multiplier, {r('lead_time_delay', 2)} AS lead_time_delay,
-       {r('service_level', 2)} AS service_level, {r('total_inventory_value', 2)} AS total_inventory_value,
-       {r('recommended_order_value', 2)} AS recommended_order_value, critical_skus FROM scen""")
+       {r('service_level', 2)} AS service_level, {r('total_inventory_value', 3)} AS total_inventory_value,
+       {r('recommended_order_value', 3)} AS recommended_order_value, critical_skus FROM scen""")
 ORACLES["scenario_long"] = with_model_ctes(SCEN, f"""
-SELECT name, 'total_inventory_value' AS metric, {r('total_inventory_value', 2)} AS value FROM scen
-UNION ALL SELECT name, 'recommended_order_value', {r('recommended_order_value', 2)} FROM scen""")
+SELECT name, 'total_inventory_value' AS metric, {r('total_inventory_value', 3)} AS value FROM scen
+UNION ALL SELECT name, 'recommended_order_value', {r('recommended_order_value', 3)} FROM scen""")
 
 # ---- playbook watches ---------------------------------------------------
 ORACLES["stockout_watch"] = with_model(f"""
