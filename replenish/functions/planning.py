@@ -29,6 +29,44 @@ QUALITY_REASONS = ("quality_issue", "damaged")
 RISK_DEAD, RISK_CRITICAL, RISK_HIGH, RISK_MEDIUM, RISK_LOW = (
     "Dead-stock risk", "Critical", "High", "Medium", "Low")
 
+# Planning thresholds, weights and rates.
+DEFAULT_LEAD_TIME_DAYS = 10.0       # supplier lead time when unknown
+DEFAULT_LEAD_TIME_STD_DAYS = 3.0
+DEFAULT_ON_TIME_RATE = 0.85
+DEFAULT_DEFECT_RATE = 0.02
+MIN_ORDER_COST = 0.01               # floor of the order cost in EOQ
+MIN_ANNUAL_HOLDING = 0.01           # floor of holding rate x unit cost in EOQ
+CRITICAL_COVER_FLOOR_DAYS = 3.0     # Critical: cover <= max(3, 0.35 x lead time)
+CRITICAL_COVER_LEAD_SHARE = 0.35
+MEDIUM_COVER_EXTRA_DAYS = 7         # Medium: cover <= lead time + 7
+DEAD_STOCK_MAX_DEMAND = 0.2         # dead stock: mean daily demand < 0.2 with stock
+OVERSTOCK_COVER_DAYS = 90           # overstock: cover > 90 days with stock
+ABC_A_SHARE = 0.80                  # running revenue share limits of classes A and B
+ABC_B_SHARE = 0.95
+SCORE_ON_TIME_WEIGHT = 45           # supplier risk score terms
+SCORE_DEFECT_WEIGHT = 250
+SCORE_LEAD_CAP_DAYS = 60
+SCORE_LEAD_WEIGHT = 25
+SCORE_LEAD_STD_CAP_DAYS = 20
+SCORE_LEAD_STD_WEIGHT = 15
+SCORE_HIGH_RISK_CAP = 5
+SCORE_HIGH_RISK_WEIGHT = 3
+RISK_BANDS = ((-1, 25, "Low"), (25, 50, "Medium"), (50, 75, "High"), (75, 100, "Critical"))  # (lo, hi]
+MCDA_WEIGHTS = (0.3, 0.2, 0.3, 0.2)  # price, speed, reliability, quality
+STOCKOUT_PENALTY_MULT = 1.5         # cost curve: penalty = max(1, 1.5 x unit cost)
+OCEAN_FREIGHT = (0.08, 0.50)        # unit freight = rate x unit cost + fixed
+AIR_FREIGHT = (0.30, 4.00)
+AIR_LEAD_SHARE = 0.25               # air lead time = max(3, 0.25 x lead time)
+AIR_LEAD_FLOOR_DAYS = 3.0
+SPIKE_MIN_DAYS = 10                 # demand spikes: SKUs with >= 10 sale days
+SPIKE_IQR_FACTOR = 1.5              # upper fence Q3 + 1.5 IQR
+SPIKE_SIGMA_FACTOR = 2              # or mean + 2 std, whichever is higher
+SPIKE_HIGH_FACTOR = 1.8             # High when qty >= 1.8 x fence
+SPIKE_KEEP_LAST = 5
+SEED_LAST_ROWS = 30                 # seeded stock: mean of the last 30 sale rows
+SEED_COVER_DAYS = 15                # ... times 15 days
+ALERT_CAPS = (40, 20, 20)           # stock-out, supplier, dead-stock alerts
+
 
 def dround(c: Column, n: int) -> Column:
     """Half-even rounding decided on the value's decimal digits.
@@ -76,10 +114,10 @@ def days_of_cover(stock: Column, avg: Column) -> Column:
 
 
 def eoq(annual_demand: Column, unit_cost: Column, holding: Column, order_cost) -> Column:
-    oc = order_cost if isinstance(order_cost, Column) else F.lit(max(float(order_cost), 0.01))
+    oc = order_cost if isinstance(order_cost, Column) else F.lit(max(float(order_cost), MIN_ORDER_COST))
     a = F.greatest(annual_demand, F.lit(0.0))
     uc = F.when(unit_cost == 0, F.lit(1.0)).otherwise(unit_cost)
-    ah = F.greatest(holding * uc, F.lit(0.01))
+    ah = F.greatest(holding * uc, F.lit(MIN_ANNUAL_HOLDING))
     return F.sqrt(F.lit(2.0) * a * oc / ah)
 
 
@@ -92,9 +130,10 @@ def stockout_risk(avg: Column, stock: Column, cover: Column, lead_time: Column,
                   net: Column, rop: Column) -> Column:
     return (
         F.when((avg <= 0) & (stock > 0), F.lit(RISK_DEAD))
-        .when(cover <= F.greatest(F.lit(3.0), lead_time * 0.35), F.lit(RISK_CRITICAL))
+        .when(cover <= F.greatest(F.lit(CRITICAL_COVER_FLOOR_DAYS), lead_time * CRITICAL_COVER_LEAD_SHARE),
+              F.lit(RISK_CRITICAL))
         .when(net < rop, F.lit(RISK_HIGH))
-        .when(cover <= lead_time + 7, F.lit(RISK_MEDIUM))
+        .when(cover <= lead_time + MEDIUM_COVER_EXTRA_DAYS, F.lit(RISK_MEDIUM))
         .otherwise(F.lit(RISK_LOW))
     )
 
@@ -109,20 +148,20 @@ def clip(c: Column, lo=None, hi=None) -> Column:
 
 def supplier_risk_score(on_time: Column, defect: Column, lead: Column, lead_std: Column,
                         high_risk: Column) -> Column:
-    raw = ((F.lit(1.0) - clip(on_time, 0.0, 1.0)) * 45
-           + clip(defect, 0.0, 1.0) * 250
-           + clip(lead, 0.0, 60.0) / 60 * 25
-           + clip(lead_std, 0.0, 20.0) / 20 * 15
-           + F.least(high_risk, F.lit(5)) * 3)
+    raw = ((F.lit(1.0) - clip(on_time, 0.0, 1.0)) * SCORE_ON_TIME_WEIGHT
+           + clip(defect, 0.0, 1.0) * SCORE_DEFECT_WEIGHT
+           + clip(lead, 0.0, float(SCORE_LEAD_CAP_DAYS)) / SCORE_LEAD_CAP_DAYS * SCORE_LEAD_WEIGHT
+           + clip(lead_std, 0.0, float(SCORE_LEAD_STD_CAP_DAYS)) / SCORE_LEAD_STD_CAP_DAYS * SCORE_LEAD_STD_WEIGHT
+           + F.least(high_risk, F.lit(SCORE_HIGH_RISK_CAP)) * SCORE_HIGH_RISK_WEIGHT)
     return dround(clip(raw, 0.0, 100.0), 1)
 
 
 def risk_band(score: Column) -> Column:
     """Right-closed bins (-1,25] (25,50] (50,75] (75,100]."""
-    return (F.when((score > -1) & (score <= 25), F.lit("Low"))
-            .when((score > 25) & (score <= 50), F.lit("Medium"))
-            .when((score > 50) & (score <= 75), F.lit("High"))
-            .when((score > 75) & (score <= 100), F.lit("Critical")))
+    expr = F.lit(None).cast("string")
+    for lo, hi, label in reversed(RISK_BANDS):
+        expr = F.when((score > lo) & (score <= hi), F.lit(label)).otherwise(expr)
+    return expr
 
 
 def inf_to_null(c: Column) -> Column:

@@ -14,6 +14,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from replenish.functions import planning as P
 from replenish.params import PlanParams
 
 
@@ -109,7 +110,8 @@ def forecast_projection(sales: DataFrame, first_rows: DataFrame, horizon_days: i
     )
 
 
-def demand_spikes(sales: DataFrame, min_days: int = 10, keep_last: int = 5, daily: DataFrame | None = None) -> DataFrame:
+def demand_spikes(sales: DataFrame, min_days: int = P.SPIKE_MIN_DAYS, keep_last: int = P.SPIKE_KEEP_LAST,
+                  daily: DataFrame | None = None) -> DataFrame:
     """IQR / 2-sigma demand spikes over all history.
 
     Per SKU (products pooled): skip SKUs with fewer than ``min_days`` sale
@@ -128,8 +130,8 @@ def demand_spikes(sales: DataFrame, min_days: int = 10, keep_last: int = 5, dail
         F.avg("qty").over(per_sku).alias("mu"),
         F.stddev_samp("qty").over(per_sku).alias("sd"),
     ).where(F.col("n") >= min_days)
-    upper = F.col("qs")[1] + (F.col("qs")[1] - F.col("qs")[0]) * 1.5
-    x = x.withColumn("upper", upper).withColumn("two_sigma", F.col("mu") + F.col("sd") * 2)
+    upper = F.col("qs")[1] + (F.col("qs")[1] - F.col("qs")[0]) * P.SPIKE_IQR_FACTOR
+    x = x.withColumn("upper", upper).withColumn("two_sigma", F.col("mu") + F.col("sd") * P.SPIKE_SIGMA_FACTOR)
     hits = x.where(F.col("qty") > F.greatest("upper", "two_sigma"))
     w = Window.partitionBy("sku").orderBy(F.col("product").desc(), F.col("date").desc())
     tail = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep_last)
@@ -139,11 +141,12 @@ def demand_spikes(sales: DataFrame, min_days: int = 10, keep_last: int = 5, dail
         F.lit("demand_spike").alias("metric"),
         F.col("qty").alias("value"),
         F.greatest(F.col("upper"), F.lit(0.0)).alias("expected_upper"),
-        F.when(F.col("qty") < F.col("upper") * 1.8, F.lit("Medium")).otherwise(F.lit("High")).alias("severity"),
+        F.when(F.col("qty") < F.col("upper") * P.SPIKE_HIGH_FACTOR, F.lit("Medium")).otherwise(F.lit("High"))
+        .alias("severity"),
     )
 
 
-def seed_inventory(sales: DataFrame, last_n: int = 30, cover_days: int = 15) -> DataFrame:
+def seed_inventory(sales: DataFrame, last_n: int = P.SEED_LAST_ROWS, cover_days: int = P.SEED_COVER_DAYS) -> DataFrame:
     """Stock positions seeded from sales when no inventory is given.
 
     stock = max(0, int(mean qty of the last ``last_n`` sale rows x

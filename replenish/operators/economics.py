@@ -10,7 +10,7 @@ from replenish.functions import planning as P
 from replenish.functions.planning import dround
 
 
-def cost_curves(base: DataFrame, holding_rate: float, penalty_mult: float = 1.5,
+def cost_curves(base: DataFrame, holding_rate: float, penalty_mult: float = P.STOCKOUT_PENALTY_MULT,
                 levels=P.CURVE_SERVICE_LEVELS) -> DataFrame:
     """O1 (+O2 penalty multiplier): carrying vs stock-out cost per service level.
 
@@ -41,9 +41,9 @@ def freight_modes(base: DataFrame, service_level: float) -> DataFrame:
     z = P.z_for_service(service_level)
     annual = F.greatest(c("annual_demand_qty"), F.lit(0.0))
     lt_o = F.greatest(c("lead_time_days"), F.lit(1.0))
-    lt_a = dround(F.greatest(F.lit(3.0), c("lead_time_days") * 0.25), 1)
-    fo = dround(c("unit_cost") * 0.08 + 0.50, 2)
-    fa = dround(c("unit_cost") * 0.30 + 4.00, 2)
+    lt_a = dround(F.greatest(F.lit(P.AIR_LEAD_FLOOR_DAYS), c("lead_time_days") * P.AIR_LEAD_SHARE), 1)
+    fo = dround(c("unit_cost") * P.OCEAN_FREIGHT[0] + P.OCEAN_FREIGHT[1], 2)
+    fa = dround(c("unit_cost") * P.AIR_FREIGHT[0] + P.AIR_FREIGHT[1], 2)
     df = base.select("sku", "product", annual.alias("annual_demand"), "unit_cost",
                      lt_o.alias("lead_time_ocean"), lt_a.alias("lead_time_air"),
                      fo.alias("freight_cost_ocean_unit"), fa.alias("freight_cost_air_unit"),

@@ -104,7 +104,7 @@ def ranked(df: DataFrame, order: list[Column], cap: int | None, name: str = "ran
     return running(df, order, {name: (F.lit(1).cast("long"), "sum")})
 
 
-def alerts(base: DataFrame, risk: DataFrame, transfers: DataFrame, caps=(40, 20, 20)) -> DataFrame:
+def alerts(base: DataFrame, risk: DataFrame, transfers: DataFrame, caps=P.ALERT_CAPS) -> DataFrame:
     """A2-A5 as one queue: (alert_group, rank) gives the original order."""
     c = F.col
     so = ranked(base.where(c("stockout_risk").isin(P.RISK_CRITICAL, P.RISK_HIGH)), revenue_order(), caps[0])

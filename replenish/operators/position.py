@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replenish import schemas
+from replenish.functions import planning as P
 from replenish.functions.planning import CLOSED_PO_STATUSES, dround
 
 DEMAND_COLS = ("avg_daily_demand", "std_daily_demand", "forecast_horizon_qty", "annual_demand_qty")
@@ -62,10 +63,10 @@ def seed_suppliers(inv: DataFrame) -> DataFrame:
     return ids.select(
         "supplier_id",
         F.col("supplier_id").alias("supplier_name"),
-        F.lit(10.0).alias("lead_time_days"),
-        F.lit(3.0).alias("lead_time_std_days"),
-        F.lit(0.85).alias("on_time_rate"),
-        F.lit(0.02).alias("defect_rate"),
+        F.lit(P.DEFAULT_LEAD_TIME_DAYS).alias("lead_time_days"),
+        F.lit(P.DEFAULT_LEAD_TIME_STD_DAYS).alias("lead_time_std_days"),
+        F.lit(P.DEFAULT_ON_TIME_RATE).alias("on_time_rate"),
+        F.lit(P.DEFAULT_DEFECT_RATE).alias("defect_rate"),
         F.lit("Unknown").alias("country"),
         F.lit("Unknown").alias("payment_terms"),
         F.lit(0.0).alias("min_order_value"),
@@ -130,10 +131,11 @@ def with_suppliers(base: DataFrame, suppliers: DataFrame, delay_days: float = 0.
     sup = suppliers.select("supplier_id", "supplier_name", "lead_time_days", "lead_time_std_days",
                            "on_time_rate", "defect_rate", "country", "payment_terms", "min_order_value")
     j = base.join(sup, "supplier_id", "left")
-    return (j.withColumn("lead_time_days", F.coalesce("lead_time_days", F.lit(10.0)) + F.lit(float(delay_days)))
-            .withColumn("lead_time_std_days", F.coalesce("lead_time_std_days", F.lit(3.0)))
-            .withColumn("on_time_rate", F.coalesce("on_time_rate", F.lit(0.85)))
-            .withColumn("defect_rate", F.coalesce("defect_rate", F.lit(0.02))))
+    return (j.withColumn("lead_time_days", F.coalesce("lead_time_days", F.lit(P.DEFAULT_LEAD_TIME_DAYS))
+                         + F.lit(float(delay_days)))
+            .withColumn("lead_time_std_days", F.coalesce("lead_time_std_days", F.lit(P.DEFAULT_LEAD_TIME_STD_DAYS)))
+            .withColumn("on_time_rate", F.coalesce("on_time_rate", F.lit(P.DEFAULT_ON_TIME_RATE)))
+            .withColumn("defect_rate", F.coalesce("defect_rate", F.lit(P.DEFAULT_DEFECT_RATE))))
 
 
 def open_po_filter(pos: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def reorder_columns(df: DataFrame, params: PlanParams, z=None, order_cost=None)
     Expects demand columns, stock, unit_cost, min_order_qty, storage_class,
     lead_time_days and incoming_qty."""
     z = P.z_for_service(params.service_level) if z is None else z
-    oc = max(float(params.order_cost), 0.01) if order_cost is None else order_cost
+    oc = max(float(params.order_cost), P.MIN_ORDER_COST) if order_cost is None else order_cost
     c = F.col
     df = df.withColumn("holding_cost_rate", P.holding_rate(c("storage_class"), float(params.holding_cost_rate)))
     df = df.withColumn("safety_stock", P.safety_stock(z, c("std_daily_demand"), c("lead_time_days")))
@@ -37,8 +37,8 @@ def reorder_columns(df: DataFrame, params: PlanParams, z=None, order_cost=None)
     df = df.withColumn("recommended_order_value", c("recommended_order_qty") * c("unit_cost"))
     df = df.withColumn("stockout_risk", P.stockout_risk(c("avg_daily_demand"), c("stock"), c("days_of_cover"),
                                                         c("lead_time_days"), c("net_position"), c("reorder_point")))
-    df = df.withColumn("dead_stock_flag", (c("avg_daily_demand") < 0.2) & (c("stock") > 0))
-    df = df.withColumn("overstock_flag", (c("days_of_cover") > 90) & (c("stock") > 0))
+    df = df.withColumn("dead_stock_flag", (c("avg_daily_demand") < P.DEAD_STOCK_MAX_DEMAND) & (c("stock") > 0))
+    df = df.withColumn("overstock_flag", (c("days_of_cover") > P.OVERSTOCK_COVER_DAYS) & (c("stock") > 0))
     return df
 
 
@@ -56,8 +56,8 @@ def abc_classes(df: DataFrame, partitions: int | None = None) -> DataFrame:
     share = F.when(tot > 0, F.col("_cum_rev") / tot).otherwise(F.lit(0.0))
     out = scanned.withColumn("cum_revenue_pct", share)
     cls = (F.when(tot <= 0, F.lit("C"))
-           .when(F.col("cum_revenue_pct") <= 0.80, F.lit("A"))
-           .when(F.col("cum_revenue_pct") <= 0.95, F.lit("B"))
+           .when(F.col("cum_revenue_pct") <= P.ABC_A_SHARE, F.lit("A"))
+           .when(F.col("cum_revenue_pct") <= P.ABC_B_SHARE, F.lit("B"))
            .otherwise(F.lit("C")))
     return out.withColumn("abc_class", cls).drop("_cum_rev")
 

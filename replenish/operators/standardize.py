@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replenish import schemas
+from replenish.functions import planning as P
 from replenish.functions.columns import as_date, as_double, as_double_or, as_text
 from replenish.functions.naming import find_col
 
@@ -151,10 +152,10 @@ def standardize_suppliers(df: DataFrame, match: str = "compat") -> DataFrame:
     return df.select(
         sid.alias("supplier_id"),
         (as_text(m["supplier_name"], "") if m["supplier_name"] else sid).alias("supplier_name"),
-        as_double_or(df, m["lead_time_days"], 10.0).alias("lead_time_days"),
-        as_double_or(df, m["lead_time_std_days"], 3.0).alias("lead_time_std_days"),
-        _rate(as_double_or(df, m["on_time_rate"], 0.85)).alias("on_time_rate"),
-        _rate(as_double_or(df, m["defect_rate"], 0.02)).alias("defect_rate"),
+        as_double_or(df, m["lead_time_days"], P.DEFAULT_LEAD_TIME_DAYS).alias("lead_time_days"),
+        as_double_or(df, m["lead_time_std_days"], P.DEFAULT_LEAD_TIME_STD_DAYS).alias("lead_time_std_days"),
+        _rate(as_double_or(df, m["on_time_rate"], P.DEFAULT_ON_TIME_RATE)).alias("on_time_rate"),
+        _rate(as_double_or(df, m["defect_rate"], P.DEFAULT_DEFECT_RATE)).alias("defect_rate"),
         as_text(m["country"], "Unknown").alias("country"),
         as_text(m["payment_terms"], "Unknown").alias("payment_terms"),
         as_double_or(df, m["min_order_value"], 0.0).alias("min_order_value"),

@@ -35,8 +35,8 @@ def supplier_risk(base: DataFrame, suppliers: DataFrame) -> DataFrame:
     return out.withColumn("risk_level", P.risk_band(c("supplier_risk_score")))
 
 
-def mcda(risk: DataFrame, w_price: float = 0.3, w_speed: float = 0.2, w_reliability: float = 0.3,
-         w_quality: float = 0.2) -> DataFrame:
+def mcda(risk: DataFrame, w_price: float = P.MCDA_WEIGHTS[0], w_speed: float = P.MCDA_WEIGHTS[1],
+         w_reliability: float = P.MCDA_WEIGHTS[2], w_quality: float = P.MCDA_WEIGHTS[3]) -> DataFrame:
     """P5: min-max scaled price and lead-time scores (100 when flat), on-time
     and quality scores, weighted mean; numeric outputs rounded to 2.
 
