@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from replenish.plans.oracle import r, with_model, with_roles
+from replenish.plans.oracle import dbl, dr, model_sql, r, roles_sql, with_model, with_roles
+
+
+def with_model_ctes(ctes: str, select: str) -> str:
+    return "WITH " + model_sql() + ",\n" + ctes + "\n" + select
+
+
+def with_roles_ctes(ctes: str, select: str) -> str:
+    return "WITH " + roles_sql() + ",\n" + ctes + "\n" + select
 
 ORACLES: dict[str, str] = {}
 AM = {"annual_revenue": 6, "annual_profit": 6}
@@ -96,7 +104,6 @@ ORACLES["inventory_health"] = with_model(f"""
 SELECT {cols(_IH, {'cum_revenue_pct': 6}, 4, ['stock', 'avg_daily_demand', 'days_of_cover', 'inventory_value'])}
 FROM health_abc""")
 
-from replenish.plans.oracle import dbl, dr  # noqa: E402
 
 # first planning row per sku in inventory-health order
 FIRST_ROWS = """fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY stockout_risk,
@@ -110,23 +117,16 @@ SELECT sku, product, warehouse, {r('forecast_horizon_qty')} AS forecast_horizon_
        {r('avg_daily_demand')} AS avg_daily_demand, stockout_risk
 FROM base ORDER BY forecast_horizon_qty DESC, sku, product, warehouse LIMIT 20""")
 
-ORACLES["forecast_projection"] = "WITH " + __import__("replenish.plans.oracle", fromlist=["model_sql"]).model_sql() + f""",
-{FIRST_ROWS},
+ORACLES["forecast_projection"] = with_model_ctes(f"""{FIRST_ROWS},
 lastd AS (SELECT sku, max(date) AS last_date FROM sales GROUP BY sku),
 proj AS (SELECT l.sku, CAST(unnest(generate_series(l.last_date + 1, l.last_date + 30, INTERVAL 1 DAY)) AS DATE) AS date,
                 fr.avg_daily_demand, fr.reorder_point, fr.safety_stock
          FROM lastd l JOIN fr ON l.sku = fr.sku)
 SELECT sku, date, {r('avg_daily_demand')} AS forecast_qty, {r('reorder_point')} AS reorder_point,
-       {r('safety_stock')} AS safety_stock FROM proj"""
+       {r('safety_stock')} AS safety_stock FROM proj""", "")
 
 
-def with_model_ctes(ctes: str, select: str) -> str:
-    from replenish.plans.oracle import model_sql
-    return "WITH " + model_sql() + ",\n" + ctes + "\n" + select
-
-
-ORACLES["demand_spikes"] = "WITH " + __import__("replenish.plans.oracle", fromlist=["roles_sql"]).roles_sql() + f""",
-dsku AS (SELECT sku, product, date, sum(qty) AS qty FROM sales GROUP BY sku, product, date),
+ORACLES["demand_spikes"] = with_roles_ctes(f"""dsku AS (SELECT sku, product, date, sum(qty) AS qty FROM sales GROUP BY sku, product, date),
 st AS (SELECT sku, quantile_cont(qty, 0.75) + (quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25)) * {dbl(1.5)} AS upper,
               avg(qty) + stddev_samp(qty) * 2 AS two_sigma
        FROM dsku GROUP BY sku HAVING count(*) >= 10),
@@ -135,12 +135,7 @@ hits AS (SELECT d.*, upper, row_number() OVER (PARTITION BY d.sku ORDER BY produ
 SELECT sku, product, strftime(date, '%Y-%m-%d') AS date, 'demand_spike' AS metric, {r('qty')} AS value,
        {r('greatest(upper, 0.0)')} AS expected_upper,
        CASE WHEN qty < upper * {dbl(1.8)} THEN 'Medium' ELSE 'High' END AS severity
-FROM hits WHERE rn <= 5"""
-
-
-def with_roles_ctes(ctes: str, select: str) -> str:
-    from replenish.plans.oracle import roles_sql
-    return "WITH " + roles_sql() + ",\n" + ctes + "\n" + select
+FROM hits WHERE rn <= 5""", "")
 
 
 ORACLES["seed_inventory_from_sales"] = with_roles_ctes("""
