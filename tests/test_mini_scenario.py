@@ -108,3 +108,15 @@ def test_scenario_row_equals_single_run(spark, mini):
                                                                   F.col("recommended_order_value")))).first()
     assert summ[("x1.5",)]["total_inventory_value"] == pytest.approx(exp[0])
     assert summ[("x1.5",)]["recommended_order_value"] == pytest.approx(exp[1] or 0.0)
+
+
+def test_seeding_without_stock_and_suppliers(spark):
+    t = mini_tables(spark)
+    m = SupplyModel(spark, {"sales": t["sales"]}, P)
+    inv = by_key(m.inventory, "sku")
+    # A: last rows 10, 20, 7 -> mean 37/3 -> int(185) ; B: 90 -> 1350
+    assert inv[("A",)]["stock"] == 185.0 and inv[("B",)]["stock"] == 1350.0
+    assert inv[("A",)]["supplier_id"] == "UNKNOWN"
+    sup = m.suppliers.collect()
+    assert [(r["supplier_id"], r["lead_time_days"]) for r in sup] == [("UNKNOWN", 10.0)]
+    assert m.base.count() == 2

@@ -48,3 +48,30 @@ def test_batch_form_equals_stream_form(spark):
     df = _events(spark, [(1, t, 7, "purchase", 1.0, '{"k": 3}'), (2, t, 7, "purchase", 1.0, '{"k": 4}')])
     r = daily_demand_stream(df).select(F.to_date("window.start").alias("d"), "sku", "qty").collect()
     assert [(x["d"], x["sku"], x["qty"]) for x in r] == [(dt.date(2024, 1, 10), "7", 7.0)]
+
+
+def test_spike_watch_runs_as_stream_static_join(spark, tmpdir_path):
+    import shutil
+    from replenish.streaming.daily_demand import daily_demand_stream, spike_watch_stream
+    src = os.path.join(tmpdir_path, "ev")
+    t = dt.datetime(2024, 1, 10, 12, 0)
+    rows = [(i, t + dt.timedelta(days=i), 7, "purchase", 1.0, '{"k": %d}' % (50 if i == 3 else 2)) for i in range(6)]
+    tmp = os.path.join(tmpdir_path, "w")
+    _events(spark, rows).coalesce(1).write.parquet(tmp)
+    os.makedirs(src)
+    part = [n for n in os.listdir(tmp) if n.endswith(".parquet")][0]
+    shutil.copy(os.path.join(tmp, part), os.path.join(src, "events_0.parquet"))
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).parquet(src)
+    thresholds = spark.createDataFrame([("7", 10.0)], "sku string, upper double")
+    alerts = spike_watch_stream(daily_demand_stream(stream), thresholds)
+    out = os.path.join(tmpdir_path, "alerts")
+
+    def sink(df, batch_id):
+        df.write.mode("append").parquet(out)
+
+    q = (alerts.writeStream.outputMode("append").foreachBatch(sink)
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert [(r["sku"], r["qty"], r["severity"]) for r in got] == [("7", 50.0, "High")]
