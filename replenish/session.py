@@ -39,12 +39,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; we only create our own
     folder when that setting is absent (local tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - client sessions have no SparkContext
+        sc = None
+    if not d and sc is not None and hasattr(sc, "getCheckpointDir"):
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="replenish-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc is not None:
+        sc.setCheckpointDir(d)
     return d
 
 
