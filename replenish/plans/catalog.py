@@ -57,7 +57,8 @@ def model(spark: SparkSession, sf_dir: str, params: PlanParams = PARAMS) -> Supp
         # part exists in ``part``, so it equals the latest sale date
         anchor = t["lineitem"].select(F.max("l_shipdate")).first()[0]
         anchor = anchor.date() if isinstance(anchor, _dt.datetime) else anchor
-        _MODELS[key] = SupplyModel(spark, tpch.role_tables(t), params, anchor=anchor, seed=False).materialize()
+        _MODELS[key] = SupplyModel(spark, tpch.role_tables(t), params, anchor=anchor, seed=False,
+                                   sales_daily=tpch.sales_daily(t)).materialize()
     return _MODELS[key]
 
 

@@ -50,7 +50,7 @@ def write_bucketed(df: DataFrame, path: str, key: str, buckets: int | None = Non
 class SupplyModel:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | None],
                  params: PlanParams | None = None, standardized: bool = False,
-                 anchor: _dt.date | None = None, seed: bool = True):
+                 anchor: _dt.date | None = None, seed: bool = True, sales_daily: DataFrame | None = None):
         self.spark = spark
         self.params = params or PlanParams()
         p = self.params
@@ -78,6 +78,10 @@ class SupplyModel:
         self.inventory, self.suppliers, self.bom = inv, sup, bom
         self.purchase_orders, self.returns = std["purchase_orders"], std["returns"]
         self._anchor = anchor
+        # optional daily sales source: (sku, product, date, qty, revenue,
+        # profit), unique per (sku, product, date), aggregated before any
+        # dimension join; used for every day-level demand computation
+        self._sales_daily = sales_daily
         self._materialized: str | None = None
         self._stock_demand: DataFrame | None = None
         self._position_cols: list[str] = []
@@ -92,6 +96,9 @@ class SupplyModel:
         lo, hi = self.window
         if hi is None:
             return self.spark.createDataFrame([], "sku string, product string, date date, qty double, revenue double, profit double")
+        if self._sales_daily is not None:
+            return self._sales_daily.where((F.col("date") >= F.lit(lo)) & (F.col("date") <= F.lit(hi))).select(
+                "sku", "product", "date", "qty", "revenue", "profit")
         return D.daily_demand(self.sales, lo, hi)
 
     def stats(self, scaled: bool = True) -> DataFrame:
@@ -105,7 +112,8 @@ class SupplyModel:
         """All-history (sku, product, date) sums; written once when the model
         is materialised (the spike watch, daily series, projection and return
         rates read it instead of re-joining the whole sales history)."""
-        h = D.daily_history(self.sales)
+        h = (self._sales_daily.select("sku", "product", "date", "qty") if self._sales_daily is not None
+             else D.daily_history(self.sales))
         if self._materialized is None:
             return h
         path = scratch_path(self.spark, "history")

@@ -71,6 +71,25 @@ def sales(t: Tables, enrich: bool = False) -> DataFrame:
                      F.col("c_mktsegment").alias("segment"))
 
 
+def sales_daily(t: Tables) -> DataFrame:
+    """Daily sales per (sku, product, date) in the standard units.
+
+    Lines are summed per (part, ship day) first -- a combinable aggregation,
+    so a part holding a large share of the lines shrinks to one row per day
+    per task -- and only then joined to ``part`` for the name and list price;
+    line cost is qty x price / 100, so the day's cost is its qty sum times
+    the same factor."""
+    li = t["lineitem"].select("l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+    revenue = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
+    day = li.groupBy("l_partkey", F.to_date("l_shipdate").alias("date")).agg(
+        F.sum("l_quantity").alias("qty"), F.sum(revenue).alias("revenue"))
+    part = t["part"].select("p_partkey", "p_name", "p_retailprice")
+    j = day.join(part, day.l_partkey == part.p_partkey)
+    cost = F.col("qty") * F.col("p_retailprice") / 100
+    return j.select(_sku("l_partkey").alias("sku"), F.col("p_name").alias("product"), "date",
+                    F.greatest(F.col("qty"), F.lit(0.0)).alias("qty"), "revenue", (F.col("revenue") - cost).alias("profit"))
+
+
 def storage_class(p_type: Column) -> Column:
     expr = F.lit("standard")
     for typ, cls in reversed(STORAGE_BY_TYPE):
