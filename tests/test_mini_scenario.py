@@ -120,3 +120,26 @@ def test_seeding_without_stock_and_suppliers(spark):
     sup = m.suppliers.collect()
     assert [(r["supplier_id"], r["lead_time_days"]) for r in sup] == [("UNKNOWN", 10.0)]
     assert m.base.count() == 2
+
+
+def test_multi_warehouse_parent_counts_demand_per_row(spark):
+    """Trap kept from the original: a parent stocked in two warehouses
+    carries its full demand in each row, so a component gets it twice."""
+    t = mini_tables(spark)
+    t["bom"] = spark.createDataFrame([("A", "X", "Xcomp", 1.0)], "parent_sku string, component_sku string, "
+                                                                  "component_name string, qty_required double")
+    t["inventory"] = t["inventory"].unionByName(spark.createDataFrame(
+        [("X", "Xcomp", 1.0, 1.0, "S1", "W1")], t["inventory"].schema))
+    m = SupplyModel(spark, t, P)
+    x = by_key(m.base, "sku")[("X",)]
+    assert x["is_component"] and x["avg_daily_demand"] == pytest.approx(2 * 30 / 90)
+
+
+def test_null_keys_become_defaults_not_dropped(spark):
+    from replenish.operators.standardize import standardize_inventory, standardize_returns
+    inv = spark.createDataFrame([(None, "thing", "3", None)], "sku string, product string, stock string, supplier_id string")
+    r = standardize_inventory(inv).first()
+    assert r["sku"] == "" and r["supplier_id"] == "UNKNOWN" and r["stock"] == 3.0
+    ret = spark.createDataFrame([("2024-01-01", None, None, None)], "date string, sku string, qty string, reason string")
+    rr = standardize_returns(ret).first()
+    assert rr["sku"] == "UNKNOWN" and rr["reason"] == "Unassigned" and rr["return_qty"] == 1.0
