@@ -201,9 +201,20 @@ def sales_events(t: Tables) -> DataFrame:
     return purchase_events(t["events"])
 
 
+def utc_instant(ts: Column) -> Column:
+    """A wall-clock timestamp (no zone) read as UTC, whatever the session
+    time zone; an event-time column for watermarks and day windows."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
+
+
+def utc_date(instant: Column) -> Column:
+    """The UTC calendar date of an instant, whatever the session time zone."""
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant))
+
+
 def purchase_events(ev: DataFrame) -> DataFrame:
     return ev.where(F.col("event_type") == "purchase").select(
-        F.col("ts").cast("timestamp").alias("ts"),
+        utc_instant(F.col("ts")).alias("ts"),
         F.col("user_id").cast("string").alias("sku"),
         F.get_json_object("props", "$.k").try_cast("double").alias("qty"),
     )

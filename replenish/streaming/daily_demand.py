@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replenish.session import scratch_path
-from replenish.sources.tpch import purchase_events
+from replenish.sources.tpch import purchase_events, utc_date
 
 DAILY_SCHEMA = "window struct<start:timestamp,end:timestamp>, sku string, qty double, events long, batch_id long"
 
@@ -49,7 +49,7 @@ def current_view(spark: SparkSession, out_dir: str) -> DataFrame:
     except Exception:  # noqa: BLE001 - empty log folder
         log = spark.createDataFrame([], DAILY_SCHEMA)
     latest = log.groupBy("window", "sku").agg(F.max_by(F.struct("qty", "events"), "batch_id").alias("v"))
-    return latest.select(F.to_date(F.col("window.start")).alias("date"), "sku", F.col("v.qty").alias("qty"),
+    return latest.select(utc_date(F.col("window.start")).alias("date"), "sku", F.col("v.qty").alias("qty"),
                          F.col("v.events").alias("events"))
 
 

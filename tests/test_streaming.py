@@ -46,10 +46,26 @@ def test_batch_form_equals_stream_form(spark):
     from replenish.streaming.daily_demand import daily_demand_stream
     t = dt.datetime(2024, 1, 10, 12, 0)
     df = _events(spark, [(1, t, 7, "purchase", 1.0, '{"k": 3}'), (2, t, 7, "purchase", 1.0, '{"k": 4}')])
-    r = daily_demand_stream(df).select(F.to_date("window.start").alias("d"), "sku", "qty").collect()
+    from replenish.sources.tpch import utc_date
+    r = daily_demand_stream(df).select(utc_date(F.col("window.start")).alias("d"), "sku", "qty").collect()
     assert [(x["d"], x["sku"], x["qty"]) for x in r] == [(dt.date(2024, 1, 10), "7", 7.0)]
 
 
+def test_day_windows_do_not_depend_on_session_time_zone(spark):
+    from replenish.sources.tpch import utc_date
+    from replenish.streaming.daily_demand import daily_demand_stream
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        late_evening = dt.datetime(2024, 1, 10, 23, 30)
+        df = _events(spark, [(1, late_evening, 7, "purchase", 1.0, '{"k": 3}'),
+                             (2, dt.datetime(2024, 1, 10, 0, 30), 7, "purchase", 1.0, '{"k": 4}')])
+        r = daily_demand_stream(df).select(utc_date(F.col("window.start")).alias("d"), "qty").collect()
+        assert [(x["d"], x["qty"]) for x in r] == [(dt.date(2024, 1, 10), 7.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_spike_watch_runs_as_stream_static_join(spark, tmpdir_path):
     import shutil
     from replenish.streaming.daily_demand import daily_demand_stream, spike_watch_stream
