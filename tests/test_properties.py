@@ -104,3 +104,21 @@ def test_abc_share_monotone_and_ends_at_one(spark):
     assert all(a <= b + 1e-12 for a, b in zip(shares, shares[1:]))
     assert shares[-1] == pytest.approx(1.0)
     assert {r["abc_class"] for r in out} <= {"A", "B", "C"}
+
+
+def test_salted_top_k_equals_plain_window(spark):
+    from replenish.operators.outputs import ranked, top_k_per_group
+    rnd = random.Random(11)
+    # one hot group holding most rows
+    rows = [(("hot" if rnd.random() < 0.7 else f"g{rnd.randint(0, 9)}"), i, float(rnd.randint(0, 1000)))
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, id long, v double")
+    order = [F.col("v").desc(), F.col("id")]
+    got = {(r["g"], r["rank"], r["id"]) for r in top_k_per_group(df, ["g"], order, 7, salt=8).collect()}
+    w = Window.partitionBy("g").orderBy(*order)
+    exp = {(r["g"], r["rank"], r["id"]) for r in
+           df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 7).collect()}
+    assert got == exp
+    capped = [(r["rank"], r["id"]) for r in ranked(df, order, 5).orderBy("rank").collect()]
+    full = [(r["rank"], r["id"]) for r in ranked(df, order, None).orderBy("rank").limit(5).collect()]
+    assert capped == full and [x[0] for x in capped] == [1, 2, 3, 4, 5]
