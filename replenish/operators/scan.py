@@ -67,8 +67,3 @@ def running(df: DataFrame, order: Sequence[Column], values: dict[str, tuple[Colu
         out = out.withColumn(name, comb)
     drop = [_PID] + [f"_{p}_{name}" for name in values for p in ("v", "l", "o")]
     return out.drop(*drop)
-
-
-def total(df: DataFrame, c: Column) -> Column:
-    """Scalar-subquery total of a column (one combinable aggregation)."""
-    return df.select(F.sum(c)).scalar()
