@@ -143,3 +143,16 @@ def test_null_keys_become_defaults_not_dropped(spark):
     ret = spark.createDataFrame([("2024-01-01", None, None, None)], "date string, sku string, qty string, reason string")
     rr = standardize_returns(ret).first()
     assert rr["sku"] == "UNKNOWN" and rr["reason"] == "Unassigned" and rr["return_qty"] == 1.0
+
+
+def test_materialized_model_equals_lazy(spark):
+    lazy = SupplyModel(spark, mini_tables(spark, with_bom=True), P)
+    mat = SupplyModel(spark, mini_tables(spark, with_bom=True), P).materialize()
+    cols = ["sku", "warehouse", "avg_daily_demand", "safety_stock", "recommended_order_qty", "stockout_risk",
+            "is_component", "incoming_qty"]
+    a = sorted(tuple(r) for r in lazy.base.select(*cols).collect())
+    b = sorted(tuple(r) for r in mat.base.select(*cols).collect())
+    assert a == b
+    assert sorted(tuple(r) for r in lazy.health.select("sku", "warehouse", "abc_class").collect()) == \
+        sorted(tuple(r) for r in mat.health.select("sku", "warehouse", "abc_class").collect())
+    assert mat.history.count() == lazy.history.count() == 4
