@@ -89,10 +89,11 @@ def likeness(na: Column, a: Column, nb: Column, b: Column) -> Column:
 
     def products(x, y):
         pairs = [(signed(x, na, k).cast("double"), signed(y, nb, k).cast("double")) for k in range(LANES)]
-        return F.struct(sum(p * q for p, q in pairs).alias("ab"), sum(p * p + q * q for p, q in pairs).alias("sq"))
+        return dots(sum(p * q for p, q in pairs), sum(p * p + q * q for p, q in pairs))
 
-    none = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("sq"))
-    t = F.aggregate(F.zip_with(a, b, products), none, lambda s, x: F.struct((s["ab"] + x["ab"]).alias("ab"), (s["sq"] + x["sq"]).alias("sq")),
+    dots = lambda ab, sq: F.named_struct(F.lit("ab"), ab, F.lit("sq"), sq)
+    none = dots(F.lit(0.0), F.lit(0.0))
+    t = F.aggregate(F.zip_with(a, b, products), none, lambda s, x: dots(s["ab"] + x["ab"], s["sq"] + x["sq"]),
                     lambda s: F.when(s["sq"] == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 2 * s["ab"] / s["sq"])))
     return F.when((na == 0) & (nb == 0), F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(t)
 
