@@ -26,6 +26,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of this application, once (they needn't have it installed). The archive
+    stays in the driver's temp folder until the driver ends, as Spark serves it from there."""
+    import atexit
+    import os
+    import shutil
+    import tempfile
+    import zipfile
+
+    import replenish
+
+    home, sc = os.path.dirname(replenish.__file__), spark.sparkContext
+    if sc.applicationId in _shipped or not os.path.isdir(home):
+        return
+    folder = tempfile.mkdtemp(prefix="replenish-workers-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(path := os.path.join(folder, "replenish_workers.zip"), "w") as z:
+        for at, _, names in os.walk(home):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.join("replenish", os.path.relpath(os.path.join(at, n), home)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def split_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """Left join on a unique right key with hot keys split off: rows whose key is in ``hot`` (a table of bounded size)
     meet their right rows in a broadcast join and never move; only the others are shuffled."""
