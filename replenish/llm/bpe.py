@@ -15,6 +15,7 @@ repeated rows are encoded each; an empty table gives an empty result; columns ot
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
@@ -29,6 +30,15 @@ from replenish.llm.common import ship
 #: Words in the automaton; occurrences in a task before a word is reported; words of a worker's memo.
 LEXICON, LEAST_LOCAL, MEMO = 50_000, 3, 400_000
 
+# Fixed values of Unicode that this Python's tables may not have yet: letters of version 16, which the files' library cuts
+# as letters (it takes younger ones for symbols), and lower-case letters up to version 17, which it knows.
+LETTERS_16 = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+              (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+              (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+              (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+LOWER_17 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+            **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+
 
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 stands for itself,
@@ -38,6 +48,14 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+@functools.cache
+def _rare():
+    """Finds characters outside the scripts that are old and common."""
+    import regex
+
+    return regex.compile("[^\0-\u0557]")
+
+
 @dataclass
 class Scheme:
     """What a tokenizer file says."""
@@ -66,7 +84,8 @@ class Scheme:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # a capital sigma is lowered without regard to its place
-                return "".join(c.lower() for c in text)
+                text = "".join(c.lower() for c in text)
+            return text.lower().translate(LOWER_17) if _rare().search(text) else text.lower()
         return text.lower()
 
     def merge(self, word: str) -> list[int]:
@@ -243,17 +262,28 @@ class Encoder:
             ids = self.scheme.merge(word)
         return len(ids), " ".join(map(str, ids)), self.scheme.decode(ids)
 
-    def parts(self, text: str):
-        """Runs of looked-up words of a text, in order; PIECE words at most at once."""
+    def words(self, text: str):
+        """Lists of the words of a text without special tokens."""
         from replenish.llm.token_counts import pieces_of
 
+        text = self.scheme.normal(text)
+        if _rare().search(text):
+            young = lambda c: unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in LETTERS_16)
+            masked = "".join("\u00a6" if young(c) else c for c in text)
+            if masked != text:
+                yield [text[m.start():m.end()] for m in self.cut.finditer(masked)]
+                return
+        yield from pieces_of(self.cut, text)
+
+    def parts(self, text: str):
+        """Runs of looked-up words of a text, in order."""
         at = 0
         for m in self.special.finditer(text) if self.special else ():
-            yield from ([self.memo[w] for w in some] for some in pieces_of(self.cut, self.scheme.normal(text[at:m.start()])))
+            yield from ([self.memo[w] for w in some] for some in self.words(text[at:m.start()]))
             i = self.scheme.special[m.group()]
             yield [(1, str(i), self.scheme.strings[i])]
             at = m.end()
-        yield from ([self.memo[w] for w in some] for some in pieces_of(self.cut, self.scheme.normal(text[at:] if at else text)))
+        yield from ([self.memo[w] for w in some] for some in self.words(text[at:] if at else text))
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """(ids, sha256 of the ids joined by spaces, sha256 of the decoded text)"""
