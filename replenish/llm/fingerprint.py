@@ -29,7 +29,7 @@ WORDS, SEEDS, LANES, LONGS = 5, (0, 1), 3, 20
 LANE_BITS = 20
 _MASK = sum(1 << (LANE_BITS * k) for k in range(LANES))
 _PHRASE = rf"((?:\S*[^\s.!?,;:][ \t]+){{0,{WORDS - 1}}}\S+)"
-_SUMS = [f"s{k}" for k in range(len(SEEDS) * LONGS)]
+_SUMS = len(SEEDS) * LONGS
 
 
 def _hash(c: Column, seed: int) -> Column:
@@ -45,13 +45,18 @@ def paragraph_lanes(text: Column) -> Column:
     return F.array(*[lane(s, k) for s in SEEDS for k in (0, 1)])
 
 
-def phrase_sums(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Sums over the phrases of ``text`` by ``keys``: n and the packed lanes. Texts without a phrase have no row."""
-    phrases = (texts.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(_PHRASE), 1)).alias("phrase"))
-               .select(*keys, *[_hash(F.col("phrase"), s).alias(f"h{i}") for i, s in enumerate(SEEDS)]))
-    sums = [F.sum(F.shiftrightunsigned(F.col(f"h{i}"), k).bitwiseAND(_MASK)).alias(f"s{i * LONGS + k}")
-            for i in range(len(SEEDS)) for k in range(LONGS)]
-    return phrases.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+def phrase_hashes(text: Column) -> Column:
+    """The phrases' hashes under both seeds: array<struct<h0, h1>>."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_PHRASE), 1),
+                       lambda p: F.struct(*[_hash(p, s).alias(f"h{i}") for i, s in enumerate(SEEDS)]))
+
+
+def phrase_sums(hashes: Column) -> Column:
+    """The packed lanes' sums over the phrases: array of longs."""
+    def lane(i, k):
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h[f"h{i}"], k).bitwiseAND(_MASK))
+
+    return F.array(*[lane(i, k) for i in range(len(SEEDS)) for k in range(LONGS)])
 
 
 def encode(paragraphs: Column, n: Column, sums: Column) -> Column:
@@ -71,7 +76,7 @@ def phrase_count(fp: Column) -> Column:
 
 def packed(fp: Column) -> Column:
     """The packed phrase lanes of a fingerprint."""
-    return F.transform(F.sequence(F.lit(0), F.lit(len(_SUMS) - 1)),
+    return F.transform(F.sequence(F.lit(0), F.lit(_SUMS - 1)),
                        lambda k: F.conv(F.substring(fp, 49 + 16 * k, 16), 16, 10).cast("long"))
 
 
@@ -99,58 +104,46 @@ def likeness(na: Column, a: Column, nb: Column, b: Column) -> Column:
 
 
 def followers(keys: DataFrame) -> DataFrame:
-    """For distinct rows (id, h, n): adds nid, nh of the next row by (id, h), nulls first; the last is followed by the first.
+    """For distinct rows (id, key, h, n): adds nkey, nh of the next row by (id, h), nulls first; the last is followed by the
+    first.
 
     The small key rows are range-partitioned and each range looks ahead on its own; the first row of each range (one
     row per partition) closes the gaps."""
-    spark = keys.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(keys.repartitionByRange(parts, F.col("id").asc_nulls_first(), F.col("h")).withColumn("part", F.spark_partition_id()), "ranges")
     here = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "h")
-    ahead = ranged.withColumns({"next": F.lead(F.struct("id", "h")).over(here)})
-    firsts = ranged.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("set"), "id", "h")).alias("f"))
+    ahead = ranged.withColumn("next", F.lead(F.struct("key", "h")).over(here))
+    firsts = ranged.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("set"), "id", "h", "key")).alias("f"))
     order = Window.orderBy("part")
     first = F.first("f").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     gaps = firsts.select("part", F.coalesce(F.lead("f").over(order), first).alias("gap"))  # a row per partition
     return (ahead.join(F.broadcast(gaps), "part")
-            .select("id", "h", "n", F.when(F.col("next").isNull(), F.col("gap.id")).otherwise(F.col("next.id")).alias("nid"),
-                    F.coalesce("next.h", "gap.h").alias("nh")))
+            .select("id", "key", "h", "n", F.coalesce("next.key", "gap.key").alias("nkey"), F.coalesce("next.h", "gap.h").alias("nh")))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of ``docs``
     (doc_id, text): its text, and its text with the last quarter replaced by the start of the next document's."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").alias("id"), text.alias("text"))
-    # one text per distinct row, partitioned by (id, h): this shuffle serves all joins below
-    texts = (base.withColumn("h", F.xxhash64("text")).groupBy("id", "h")
-             .agg(F.first("text").alias("text"), F.count("*").alias("copies")))
-    keys = base.select("id", F.xxhash64("text").alias("h"), F.char_length("text").cast("long").alias("n")).distinct()
+    # key: doc_id without nulls, so that all joins and groupings share one partitioning
+    base = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), text.alias("text")) \
+        .withColumn("h", F.xxhash64("text"))
+    # one text per distinct row, partitioned by (key, h): this shuffle serves both uses below (copies > 0 keeps them equal)
+    texts = base.groupBy("key", "h").agg(F.first("text").alias("text"), F.count("*").alias("copies")).where("copies > 0")
+    keys = base.select("id", "key", "h", F.char_length("text").cast("long").alias("n")).distinct()
     nexts = stored(followers(keys), "followers")
-    same = lambda a, i, j: a["id"].eqNullSafe(i) & (a["h"] == j)
-    starts = (texts.join(nexts.select(F.col("id").alias("pid"), F.col("h").alias("ph"), F.expr("n div 4").alias("q"), "nid", "nh"),
-                         same(texts, F.col("nid"), F.col("nh")))
-              .select("pid", "ph", F.substring("text", F.lit(1), F.col("q").cast("int")).alias("start")))
-    pairs = (texts.join(starts, same(texts, F.col("pid"), F.col("ph")))
-             .select("id", "h", "copies", "text", F.concat(
-                 F.substring("text", F.lit(1), (F.char_length("text") - F.expr("char_length(text) div 4")).cast("int")), "start").alias("edited")))
-    both = pairs.select("id", "h", F.explode(F.array(
-        F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x")) \
-        .select("id", "h", "x.which", F.col("x.t").alias("t"))
-    sums = phrase_sums(both, ["id", "h", "which"], "t").select("id", "h", F.struct("which", "n", F.array(*_SUMS).alias("sums")).alias("s"))
-    meta = pairs.select("id", "h", F.struct(
-        F.lit(2).alias("which"), F.char_length("text").cast("long").alias("n"), F.array(F.col("copies")).alias("sums"), F.sha2("edited", 256).alias("sha"),
-        paragraph_lanes(F.col("text")).alias("p0"), paragraph_lanes(F.col("edited")).alias("p1")).alias("m"))
-    none = F.array(*[F.lit(0).cast("long")] * len(_SUMS))
-    got = sums.groupBy("id", "h").agg(*[F.max(F.when(F.col("s.which") == w, F.col(f"s.{c}"))).alias(f"{c}{w}") for w in (0, 1) for c in ("n", "sums")])
-    m, g = meta, got.withColumnsRenamed({"id": "gid", "h": "gh"})
-    done = stored(m.join(g, same(m, F.col("gid"), F.col("gh")), "left").select(
-        "id", "h", F.col("m.n").alias("n_chars"), F.col("m.sums")[0].alias("copies"), F.col("m.sha").alias("sha"), "m.p0", "m.p1",
-        *[F.coalesce(f"n{w}", F.lit(0).cast("long")).alias(f"n{w}") for w in (0, 1)],
-        *[F.coalesce(f"sums{w}", none).alias(f"sums{w}") for w in (0, 1)]), "fingerprints")
-    after = done.select(F.col("id").alias("aid"), F.col("h").alias("ah"), F.col("n0").alias("na"), F.col("sums0").alias("sa"))
-    linked = (done.join(nexts.select(F.col("id").alias("pid"), F.col("h").alias("ph"), "nid", "nh"), same(done, F.col("pid"), F.col("ph")))
-              .join(after, F.col("nid").eqNullSafe(F.col("aid")) & (F.col("nh") == F.col("ah"))))
+    # what each row's start is wanted for: the row before it, and a quarter of its length
+    wanted = nexts.select(F.col("key").alias("pkey"), F.col("h").alias("ph"), F.expr("int(n div 4)").alias("q"), F.col("nkey").alias("key"), F.col("nh").alias("h"))
+    starts = texts.join(wanted, ["key", "h"]).select(F.col("pkey").alias("key"), F.col("ph").alias("h"), F.substring("text", F.lit(1), F.col("q")).alias("start"))
+    head = F.substring("text", F.lit(1), (F.char_length("text") - F.expr("char_length(text) div 4")).cast("int"))
+    both = texts.join(starts, ["key", "h"]).select("key", "h", "copies", "text", F.concat(head, "start").alias("edited"))
+    hashed = both.select("*", phrase_hashes(F.col("text")).alias("f0"), phrase_hashes(F.col("edited")).alias("f1"))
+    done = stored(hashed.select(
+        "key", "h", "copies", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha"),
+        *[paragraph_lanes(F.col(c)).alias(f"p{w}") for w, c in enumerate(("text", "edited"))],
+        *[F.size(f"f{w}").cast("long").alias(f"n{w}") for w in (0, 1)], *[phrase_sums(F.col(f"f{w}")).alias(f"sums{w}") for w in (0, 1)]), "fingerprints")
+    after = done.select(F.col("key").alias("nkey"), F.col("h").alias("nh"), F.col("n0").alias("na"), F.col("sums0").alias("sa"))
+    linked = nexts.select("id", "key", "h", "nkey", "nh").join(after, ["nkey", "nh"]).join(done, ["key", "h"])
     return linked.select(
         F.col("id").alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"),
         encode(F.col("p0"), F.col("n0"), F.col("sums0")).alias("fingerprint"),
