@@ -104,8 +104,9 @@ def ranked(df: DataFrame, order: list[Column], cap: int | None, name: str = "ran
     return running(df, order, {name: (F.lit(1).cast("long"), "sum")})
 
 
-def alerts(base: DataFrame, risk: DataFrame, transfers: DataFrame, caps=P.ALERT_CAPS) -> DataFrame:
-    """A2-A5 as one queue: (alert_group, rank) gives the original order."""
+def alerts(base: DataFrame, risk: DataFrame, transfers: DataFrame, caps=(None, None, None)) -> DataFrame:
+    """A2-A5 as one queue: (alert_group, rank) gives the original order. ``caps`` keeps the first rows of the stock-out,
+    supplier and dead-stock groups (``P.ALERT_CAPS`` gives the original's short queue)."""
     c = F.col
     so = ranked(base.where(c("stockout_risk").isin(P.RISK_CRITICAL, P.RISK_HIGH)), revenue_order(), caps[0])
     so = so.select(
@@ -148,24 +149,32 @@ def _plan_line(c=F.col) -> Column:
                     fmt_grouped(c("recommended_order_value"), 2))
 
 
-def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, salt: int = 32) -> DataFrame:
-    """First k rows per group in ``order`` without a whole-group sort in one
-    task: a first pass keeps k rows per (group, salt bucket), the second pass
-    ranks at most k x salt survivors per group."""
-    key = F.abs(F.xxhash64(*[F.col(x) for x in df.columns])) % salt
-    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
-    pre = df.withColumn("_salt", key).withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
-    w2 = Window.partitionBy(*group).orderBy(*order)
-    return pre.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("_salt", "_r1")
+def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
+    """First k rows per group in ``order``. Spark keeps k rows per group and
+    task below the shuffle (a rank limit), so a hot group is k x tasks rows."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def draft_lines(plan: DataFrame) -> DataFrame:
+    """G1, all lines: (supplier_id, rank, line) for every plan row, ranked in
+    plan order within its supplier by the range-partitioned scan."""
+    c = F.col
+    lines = plan.select("supplier_id", _plan_line().alias("line"), "stockout_risk", "recommended_order_value", "annual_revenue",
+                        "sku", "product", "warehouse")
+    ranks = running(lines, plan_order(), {"rank": (F.lit(1).cast("long"), "sum")}, segment=["supplier_id"])
+    return ranks.select("supplier_id", c("rank").cast("long").alias("rank"), "line")
 
 
 def procurement_drafts(plan: DataFrame, max_lines: int = 20) -> DataFrame:
     """G1: one approval draft per supplier of the plan, plus 'All suppliers'.
 
-    Lines are the first ``max_lines`` plan rows in plan order; the total
-    covers all of the supplier's plan rows."""
+    Lines are the first ``max_lines`` plan rows in plan order (the letter's
+    top-N; ``draft_lines`` has all); the total covers all of the supplier's
+    plan rows."""
     c = F.col
-    lines = plan.select("supplier_id", _plan_line().alias("line"), *[x for x in plan.columns if x != "supplier_id"])
+    lines = plan.select("supplier_id", _plan_line().alias("line"), "stockout_risk", "recommended_order_value", "annual_revenue",
+                        "sku", "product", "warehouse")
     per = top_k_per_group(lines, ["supplier_id"], plan_order(), max_lines)
     glob = ranked(lines, plan_order(), max_lines).withColumn("supplier_id", F.lit("All suppliers"))
     top = per.select("supplier_id", "rank", "line").unionByName(glob.select("supplier_id", "rank", "line"))
@@ -204,9 +213,10 @@ def rfq_drafts(first_rows: DataFrame, delivery_date: Column) -> DataFrame:
     return first_rows.select("sku", supplier.alias("supplier_name"), qty.alias("qty"), text.alias("rfq"))
 
 
-def report_lines(kpi: DataFrame, plan: DataFrame, risk: DataFrame, alert_q: DataFrame,
-                 narrative: str = "") -> DataFrame:
-    """The executive report as (section, item, text) rows."""
+def report_lines(kpi: DataFrame, plan: DataFrame, risk: DataFrame, alert_q: DataFrame, narrative: str = "",
+                 top_orders: int = 10, top_suppliers: int = 8, top_alerts: int = 15) -> DataFrame:
+    """The executive report as (section, item, text) rows, with the first
+    ``top_*`` rows of the plan, the watch list and the alert queue."""
     c = F.col
     spark = kpi.sparkSession
     k = kpi.select(
@@ -229,21 +239,21 @@ def report_lines(kpi: DataFrame, plan: DataFrame, risk: DataFrame, alert_q: Data
     if narrative:
         parts.append(const(3, ["## AI Operations Narrative", narrative.strip(), ""]))
     parts.append(const(4, ["## Top Reorder Recommendations"]))
-    top = ranked(plan, plan_order(), 10).select(
+    top = ranked(plan, plan_order(), top_orders).select(
         F.lit(5).alias("section"), c("rank").alias("item"),
         F.concat(F.lit("- **"), c("sku"), F.lit(" / "), c("product"), F.lit("**: order **"),
                  fmt_int(c("recommended_order_qty")), F.lit("** units; risk: **"), c("stockout_risk"),
                  F.lit("**; estimated value: **"), fmt_grouped(c("recommended_order_value"), 2), F.lit("**.")).alias("text"))
     parts.append(_or_else(top, 5, "No reorder recommendations were generated."))
     parts.append(const(6, ["", "## Supplier Risk Watchlist"]))
-    sup = ranked(risk, [c("supplier_risk_score").desc(), c("supplier_id")], 8).select(
+    sup = ranked(risk, [c("supplier_risk_score").desc(), c("supplier_id")], top_suppliers).select(
         F.lit(7).alias("section"), c("rank").alias("item"),
         F.concat(F.lit("- **"), F.coalesce(c("supplier_name"), c("supplier_id")), F.lit("**: risk score **"),
                  py_float_str(c("supplier_risk_score")), F.lit("** ("), F.coalesce(c("risk_level"), F.lit("nan")),
                  F.lit("); high-risk SKUs: **"), c("high_risk_skus").cast("string"), F.lit("**.")).alias("text"))
     parts.append(_or_else(sup, 7, "No supplier risk data available."))
     parts.append(const(8, ["", "## Recommended Operating Actions"]))
-    al = ranked(alert_q, [c("alert_group"), c("rank")], 15, "pos").select(
+    al = ranked(alert_q, [c("alert_group"), c("rank")], top_alerts, "pos").select(
         F.lit(9).alias("section"), c("pos").alias("item"),
         F.concat(F.lit("- **"), c("priority"), F.lit(" / "), c("type"), F.lit("**: "), c("message"),
                  F.lit(" Action: "), c("recommended_action")).alias("text"))

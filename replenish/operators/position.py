@@ -74,12 +74,16 @@ def seed_suppliers(inv: DataFrame) -> DataFrame:
 
 
 def stock_demand(inv: DataFrame, stats: DataFrame) -> DataFrame:
-    """Full outer join on (sku, product) + documented fills.
+    """All stock rows and all demand rows, matched on (sku, product),
+    with the documented fills.
 
-    ``stats`` is already hash-partitioned on (sku, product) by its own
-    aggregation, so only the stock side is exchanged for this join."""
-    j = inv.join(stats, ["sku", "product"], "full_outer")
-    return j.fillna(BASE_FILL)
+    A left join plus the demand rows without stock, rather than one full
+    outer join: adaptive execution can split a left join's hot key (a SKU
+    with a large share of the stock rows), a full outer join's it can't."""
+    keys = ["sku", "product"]
+    matched = inv.join(stats, keys, "left")
+    only_demand = stats.join(inv.select(*keys).distinct(), keys, "left_anti")
+    return matched.unionByName(only_demand, allowMissingColumns=True).fillna(BASE_FILL)
 
 
 def dependent_demand(base: DataFrame, bom: DataFrame) -> DataFrame:
@@ -125,28 +129,13 @@ def apply_bom(base: DataFrame, bom: DataFrame, levels: int = 1) -> DataFrame:
     })
 
 
-# Largest supplier table broadcast to every task (rows; ~100 bytes each).
-SUPPLIER_BROADCAST_MAX_ROWS = 500_000
-
-
-def has_at_most(df: DataFrame, n: int) -> bool:
-    """Proven row bound: one job that stops after n + 1 rows."""
-    return df.limit(n + 1).count() <= n
-
-
-def with_suppliers(base: DataFrame, suppliers: DataFrame, delay_days: float = 0.0,
-                   broadcast_max_rows: int | None = SUPPLIER_BROADCAST_MAX_ROWS) -> DataFrame:
+def with_suppliers(base: DataFrame, suppliers: DataFrame, delay_days: float = 0.0) -> DataFrame:
     """J2 + R3: supplier attributes (left join, duplicates kept as in the
-    original) and lead time = coalesce(lead, 10) + delay.
-
-    The supplier side is broadcast only after a bounded probe proves it has
-    at most ``broadcast_max_rows`` rows, so the planning rows are not
-    shuffled by supplier; above the bound it stays a sort-merge join that AQE
-    can split when one supplier holds many SKUs."""
+    original) and lead time = coalesce(lead, 10) + delay. Whether the
+    supplier side is broadcast is left to adaptive execution, which decides
+    by its bytes."""
     sup = suppliers.select("supplier_id", "supplier_name", "lead_time_days", "lead_time_std_days",
                            "on_time_rate", "defect_rate", "country", "payment_terms", "min_order_value")
-    if broadcast_max_rows and has_at_most(sup, broadcast_max_rows):
-        sup = F.broadcast(sup)
     j = base.join(sup, "supplier_id", "left")
     return (j.withColumn("lead_time_days", F.coalesce("lead_time_days", F.lit(P.DEFAULT_LEAD_TIME_DAYS))
                          + F.lit(float(delay_days)))

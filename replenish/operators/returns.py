@@ -30,7 +30,8 @@ def sku_first(base: DataFrame) -> DataFrame:
 
 
 def sku_return_rate(base: DataFrame, returns: DataFrame, sales: DataFrame) -> DataFrame:
-    """One row per planning sku; return rate = clip(returned / sold, 0, 1),
+    """One row per planning sku, none at all without any returns, as in
+    the original; return rate = clip(returned / sold, 0, 1),
     0 without sales (sales over all history; ``sales`` may be the shared
     (sku, product, date) history aggregate)."""
     ret = returns.groupBy("sku").agg(F.sum("return_qty").alias("total_return_qty"),
@@ -41,7 +42,7 @@ def sku_return_rate(base: DataFrame, returns: DataFrame, sales: DataFrame) -> Da
     rate = F.when(F.col("total_sales_qty") > 0,
                   F.least(F.greatest(F.col("total_return_qty") / F.col("total_sales_qty"), F.lit(0.0)), F.lit(1.0))
                   ).otherwise(F.lit(0.0))
-    return j.withColumn("return_rate", rate)
+    return j.withColumn("return_rate", rate).where(returns.select(F.count(F.lit(1))).scalar() > 0)
 
 
 def supplier_returns(base: DataFrame, returns: DataFrame) -> DataFrame:

@@ -38,7 +38,8 @@ def scenario_rows(position_unscaled: DataFrame, scenarios: list[Scenario], param
     x = position_unscaled.select("*", F.explode(arr).alias("sc"))
     x = (x.withColumn("avg_daily_demand", c("avg_daily_demand") * c("sc.m"))
          .withColumn("std_daily_demand", c("std_daily_demand") * c("sc.m"))
-         .withColumn("lead_time_days", c("lead_time_days") + c("sc.d")))
+         # the scenario's delay replaces the one the position was built with
+         .withColumn("lead_time_days", c("lead_time_days") + (c("sc.d") - F.lit(float(params.lead_time_delay_days)))))
     return reorder_columns(x, params, z=P.z_col(c("sc.sl")))
 
 

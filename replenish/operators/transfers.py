@@ -16,11 +16,15 @@ set is ever enumerated.
 when the remainder is below one unit" rule is sequential. Candidate rows
 only (rows with a deficit or a surplus, of SKUs having both) are clustered
 by sku, sorted in planning order and walked once per partition with
-``mapInPandas`` -- one Python call per Arrow batch, not per SKU; a SKU's
-rows are its warehouse positions."""
+``mapInPandas``: a linear walk with two pointers. A SKU's rows are its
+warehouse positions. It is the model's transfer list; the whole-unit plan
+is an option for SKUs with very many positions."""
 
 from __future__ import annotations
 
+from collections import deque
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,42 +83,48 @@ def whole_unit_transfers(base: DataFrame, partitions: int | None = None) -> Data
         c("D.unit_cost").alias("unit_cost"), (c("q") * c("D.unit_cost")).alias("saved_value"))
 
 
-def _greedy_rows(sku, rows):
-    """The original greedy on one SKU's rows, already in planning order."""
-    defs = [[r[0], r[1], r[3], r[4]] for r in rows if r[1] > 0]
-    surs = [[r[0], r[2]] for r in rows if r[2] > 0]
-    out = []
-    for dv in defs:
-        for sv in surs:
-            if dv[1] <= 0 or sv[1] <= 0:
-                continue
-            q = min(dv[1], sv[1])
-            if q >= 1:
-                out.append((sku, dv[2], sv[0], dv[0], int(round(q)), float(dv[3]), float(q * dv[3])))
-                dv[1] -= q
-                sv[1] -= q
-    return out
-
-
 _OUT_COLS = ["sku", "product", "from_warehouse", "to_warehouse", "qty", "unit_cost", "saved_value"]
 
 
-def _greedy_partitions(batches):
-    """Rows arrive clustered by sku and sorted in planning order; a SKU may
-    continue into the next Arrow batch, so its rows are carried over."""
-    cur, buf = None, []
-    for pdf in batches:
-        out = []
-        cols = zip(pdf["sku"], pdf["warehouse"], pdf["deficit"], pdf["surplus"], pdf["product"], pdf["unit_cost"])
-        for sku, wh, d, s, prod, uc in cols:
-            if sku != cur:
-                if buf:
-                    out += _greedy_rows(cur, buf)
-                cur, buf = sku, []
-            buf.append((wh, d, s, prod, uc))
+def _walk(rows):
+    """Rows (sku, warehouse, deficit, surplus, product, unit_cost), clustered
+    by sku and in planning order, to transfers.
+
+    An amount below one unit can never move again, so only the first open
+    deficit and the first open surplus matter: each meets the other until
+    one of them falls below a unit and makes room for the next. Linear in
+    the rows; what waits is the side that has nothing to meet yet."""
+    current, deficits, surpluses = None, deque(), deque()
+    for sku, warehouse, deficit, surplus, product, unit_cost in rows:
+        if sku != current:
+            current = sku
+            deficits.clear()
+            surpluses.clear()
+        if deficit >= 1:
+            deficits.append([deficit, warehouse, product, unit_cost])
+        if surplus >= 1:
+            surpluses.append([surplus, warehouse])
+        while deficits and surpluses:
+            need, give = deficits[0], surpluses[0]
+            q = min(need[0], give[0])
+            yield sku, need[2], give[1], need[1], int(round(q)), float(need[3]), float(q * need[3])
+            need[0] -= q
+            give[0] -= q
+            if need[0] < 1:
+                deficits.popleft()
+            if give[0] < 1:
+                surpluses.popleft()
+
+
+def _walk_partitions(batches):
+    """One walk over all Arrow batches of a partition."""
+    def rows():
+        for pdf in batches:
+            yield from zip(pdf["sku"], pdf["warehouse"], pdf["deficit"], pdf["surplus"], pdf["product"], pdf["unit_cost"])
+
+    moves = _walk(rows())
+    while out := list(islice(moves, 10_000)):
         yield pd.DataFrame(out, columns=_OUT_COLS)
-    if buf:
-        yield pd.DataFrame(_greedy_rows(cur, buf), columns=_OUT_COLS)
 
 
 def exact_transfers(base: DataFrame) -> DataFrame:
@@ -122,7 +132,7 @@ def exact_transfers(base: DataFrame) -> DataFrame:
     ordered = (cand.repartition("sku")
                .sortWithinPartitions("sku", F.col("annual_revenue").desc(), "product", "warehouse")
                .select("sku", "warehouse", "deficit", "surplus", "product", "unit_cost"))
-    return ordered.mapInPandas(_greedy_partitions, TRANSFER_SCHEMA)
+    return ordered.mapInPandas(_walk_partitions, TRANSFER_SCHEMA)
 
 
 def transfer_summary(transfers: DataFrame) -> DataFrame:

@@ -26,13 +26,15 @@ class PlanParams:
     demo_bom: bool = False
     # Levels of dependent-demand propagation through the BOM (1 = original).
     bom_levels: int = 1
-    # Alert caps; None means no cap.
-    stockout_alert_cap: int | None = 40
-    supplier_alert_cap: int | None = 20
-    dead_stock_alert_cap: int | None = 20
+    # Alert caps by group; None means no cap (the original keeps 40 / 20 / 20,
+    # see ``functions.planning.ALERT_CAPS``).
+    stockout_alert_cap: int | None = None
+    supplier_alert_cap: int | None = None
+    dead_stock_alert_cap: int | None = None
 
     def with_(self, **kw) -> "PlanParams":
         return replace(self, **kw)
 
-    def as_of_date(self) -> _dt.date:
-        return self.as_of or _dt.date.today()
+    @property
+    def alert_caps(self) -> tuple[int | None, int | None, int | None]:
+        return self.stockout_alert_cap, self.supplier_alert_cap, self.dead_stock_alert_cap

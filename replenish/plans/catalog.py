@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from replenish.functions.planning import dround
+from replenish.functions.planning import ALERT_CAPS, dround
 from replenish.params import PlanParams
 from replenish.plans.model import SupplyModel
 from replenish.sources import tpch
@@ -46,11 +46,7 @@ def tables(spark: SparkSession, sf_dir: str) -> tpch.Tables:
 
 def model(spark: SparkSession, sf_dir: str, params: PlanParams = PARAMS) -> SupplyModel:
     """Planning model over the role views (cached per session and folder)."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - no SparkContext on this client
-        app = None
-    key = (id(spark), app, sf_dir.rstrip("/"), params)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), params)
     if key not in _MODELS:
         t = tables(spark, sf_dir)
         # latest ship date straight from lineitem (one column); every line's
@@ -87,29 +83,35 @@ def std_sales(spark, sf_dir):
     return finalize(out)
 
 
+def _role(spark, sf_dir, role: str, view) -> DataFrame:
+    """One standardised role, read from its own view only."""
+    from replenish.operators.standardize import standardize
+    return finalize(standardize(role, view(tables(spark, sf_dir)), spark, match="exact"))
+
+
 @query("std_inventory")
 def std_inventory(spark, sf_dir):
-    return finalize(model(spark, sf_dir).inventory)
+    return _role(spark, sf_dir, "inventory", tpch.inventory)
 
 
 @query("std_suppliers")
 def std_suppliers(spark, sf_dir):
-    return finalize(model(spark, sf_dir).suppliers)
+    return _role(spark, sf_dir, "suppliers", tpch.suppliers)
 
 
 @query("std_pos")
 def std_pos(spark, sf_dir):
-    return finalize(model(spark, sf_dir).purchase_orders)
+    return _role(spark, sf_dir, "purchase_orders", tpch.purchase_orders)
 
 
 @query("std_returns")
 def std_returns(spark, sf_dir):
-    return finalize(model(spark, sf_dir).returns)
+    return _role(spark, sf_dir, "returns", tpch.returns)
 
 
 @query("std_bom")
 def std_bom(spark, sf_dir):
-    return finalize(model(spark, sf_dir).bom)
+    return _role(spark, sf_dir, "bom", tpch.bom)
 
 
 # ---- demand (D1-D12) ----------------------------------------------------
@@ -316,14 +318,20 @@ def transfers_whole_units(spark, sf_dir):
 
 @query("transfers_exact")
 def transfers_exact(spark, sf_dir):
-    from replenish.operators.transfers import exact_transfers
-    return finalize(exact_transfers(model(spark, sf_dir).base))
+    return finalize(model(spark, sf_dir).transfers)
+
+
+@query("top_transfers")
+def top_transfers(spark, sf_dir):
+    """The 15 transfers that save most."""
+    from replenish.operators.transfers import top_transfers as tt
+    return finalize(tt(model(spark, sf_dir).transfers))
 
 
 @query("transfer_summary")
 def transfer_summary(spark, sf_dir):
     from replenish.operators.transfers import transfer_summary as ts
-    return finalize(ts(model(spark, sf_dir).whole_transfers), 2, GRID_MONEY)
+    return finalize(ts(model(spark, sf_dir).transfers), 2, GRID_MONEY)
 
 
 # ---- economics (O, F, V) --------------------------------------------------
@@ -376,22 +384,36 @@ def portfolio_ratios(spark, sf_dir):
 def kpis(spark, sf_dir):
     from replenish.operators.outputs import kpis as kp
     m = model(spark, sf_dir)
-    k = kp(m.base, m.supplier_risk(), m.returns, m.whole_transfers, m.finance(),
+    k = kp(m.base, m.supplier_risk(), m.returns, m.transfers, m.finance(),
            m.params.horizon_days, m.params.service_level)
     return finalize(k, 2, GRID_MONEY)
 
 
 # ---- alerts and documents (A2-A6, G1-G3) ----------------------------------
-def _alert_queue(m: SupplyModel) -> DataFrame:
+def _alert_queue(m: SupplyModel, caps=None) -> DataFrame:
     from replenish.operators.outputs import alerts
-    return alerts(m.base, m.supplier_risk(), m.whole_transfers)
+    return alerts(m.base, m.supplier_risk(), m.transfers, caps or m.params.alert_caps)
 
 
 @query("alerts")
 def alerts_q(spark, sf_dir):
+    """A2-A5: the whole queue."""
     return _alert_queue(model(spark, sf_dir))
 
 
+@query("alerts_top")
+def alerts_top(spark, sf_dir):
+    """A2-A5 as the original's short queue: 40 / 20 / 20 rows."""
+    return _alert_queue(model(spark, sf_dir), ALERT_CAPS)
+
+
+@query("procurement_draft_lines")
+def procurement_draft_lines(spark, sf_dir):
+    """G1: every plan row as a draft line, ranked within its supplier."""
+    from replenish.operators.outputs import draft_lines
+    return draft_lines(model(spark, sf_dir).base.where(F.col("recommended_order_qty") > 0))
+
+
 @query("procurement_drafts")
 def procurement_drafts(spark, sf_dir):
     from replenish.operators.outputs import procurement_drafts as pd_
@@ -411,10 +433,10 @@ def report_lines(spark, sf_dir):
     from replenish.operators.outputs import kpis as kp
     from replenish.operators.outputs import report_lines as rl
     m = model(spark, sf_dir)
-    tr = m.whole_transfers
+    tr = m.transfers
     k = kp(m.base, m.supplier_risk(), m.returns, tr, m.finance(), m.params.horizon_days, m.params.service_level)
     plan = m.base.where(F.col("recommended_order_qty") > 0)
-    return rl(k, plan, m.supplier_risk(), _alert_queue(m))
+    return rl(k, plan, m.supplier_risk(), _alert_queue(m, ALERT_CAPS))
 
 
 # ---- scenarios (W1-W3) ----------------------------------------------------
@@ -479,11 +501,15 @@ def streaming_daily_demand(spark, sf_dir):
 
 
 # ---- workspace metadata (N5-N8) ------------------------------------------
+BENCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+                "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 @query("table_summary")
 def table_summary(spark, sf_dir):
     from replenish.sources.workspace import Workspace
     ws = Workspace(spark)
-    for name in ("lineitem", "orders", "part", "supplier", "customer", "nation", "region", "events"):
+    for name in BENCH_TABLES:
         ws.add(name, spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
     return ws.summary()
 
@@ -508,8 +534,64 @@ def cost_curves_penalty(spark, sf_dir):
 def streaming_spike_watch(spark, sf_dir):
     """Days of the drained purchase stream above the SKU's upper fence
     (Q3 + 1.5 IQR of its daily history, SKUs with >= 10 days)."""
-    from replenish.streaming.daily_demand import drain_daily_demand, spike_thresholds, spike_watch_stream
-    daily = drain_daily_demand(spark, sf_dir)
-    view = daily.select(F.struct(F.col("date").cast("timestamp").alias("start")).alias("window"), "sku", "qty")
-    alerts = spike_watch_stream(view, spike_thresholds(daily))
-    return finalize(alerts.select(F.to_date("day").alias("date"), "sku", "qty", "upper", "severity"))
+    from replenish.streaming.daily_demand import drain_spike_watch
+    return finalize(drain_spike_watch(spark, sf_dir))
+
+
+# ---- listings and pick lists (B4, R17, R19, P7, F4, V4, K6) --------------
+@query("bom_parents")
+def bom_parents(spark, sf_dir):
+    from replenish.operators.listings import parents
+    return parents(model(spark, sf_dir).bom)
+
+
+@query("risk_listing")
+def risk_listing(spark, sf_dir):
+    from replenish.operators.listings import risk_listing as rl
+    return finalize(rl(model(spark, sf_dir).base))
+
+
+@query("scenario_listing")
+def scenario_listing(spark, sf_dir):
+    from replenish.operators.listings import scenario_listing as sl
+    return finalize(sl(model(spark, sf_dir).base))
+
+
+@query("supplier_names")
+def supplier_names(spark, sf_dir):
+    from replenish.operators.listings import supplier_names as sn
+    return sn(model(spark, sf_dir).supplier_risk())
+
+
+@query("sku_list")
+def sku_list(spark, sf_dir):
+    from replenish.operators.listings import sku_list as sk
+    return sk(model(spark, sf_dir).base)
+
+
+@query("plan_suppliers")
+def plan_suppliers(spark, sf_dir):
+    from replenish.operators.listings import plan_suppliers as ps
+    return ps(model(spark, sf_dir).base.where(F.col("recommended_order_qty") > 0))
+
+
+@query("freight_listing")
+def freight_listing(spark, sf_dir):
+    from replenish.operators.listings import freight_listing as fl
+    return finalize(fl(model(spark, sf_dir).freight()))
+
+
+@query("finance_listing")
+def finance_listing(spark, sf_dir):
+    from replenish.operators.listings import finance_listing as fl
+    return finalize(fl(model(spark, sf_dir).finance()))
+
+
+@query("stock_preview")
+def stock_preview(spark, sf_dir):
+    """K6: the first 500 rows of a table in its order, as shown on screen."""
+    from replenish.sinks.export import preview
+    shown = finalize(model(spark, sf_dir).base.select("sku", "product", "warehouse", "stock", "days_of_cover", "next_eta"), 1)
+    out = preview(shown, ["sku", "product", "warehouse"])
+    return out.select("sku", "product", "warehouse", F.col("days_of_cover") == "\u221e", "next_eta").toDF(
+        "sku", "product", "warehouse", "endless_cover", "next_eta")

@@ -30,23 +30,6 @@ STATS_SCHEMA = ("sku string, product string, avg_daily_demand double, std_daily_
                 "forecast_horizon_qty double")
 
 
-def write_bucketed(df: DataFrame, path: str, key: str, buckets: int | None = None) -> DataFrame:
-    """Write ``df`` at ``path`` (shared folder) as an external table bucketed
-    by ``key`` and return it; falls back to plain Parquet when the session
-    catalog cannot hold tables."""
-    import uuid
-
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"replenish_{uuid.uuid4().hex}"
-    try:
-        df.write.mode("overwrite").bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
-        return spark.table(name)
-    except Exception:  # noqa: BLE001 - catalog without table support
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-
 class SupplyModel:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | None],
                  params: PlanParams | None = None, standardized: bool = False,
@@ -161,14 +144,13 @@ class SupplyModel:
             self._stock_demand = self.spark.read.parquet(sd_path)
             self.__dict__.pop("base", None)
             self._position_cols = self.position().columns
-            # stage 2: BOM, suppliers, incoming and reorder maths; written as
-            # a table bucketed by sku so consumers that group or join by sku
-            # (first row per sku, return rates, transfers) read it without a
-            # shuffle of the planning rows
+            # stage 2: BOM, suppliers, incoming and reorder maths, as plain
+            # Parquet: buckets by sku would put a hot SKU into one task of
+            # every consumer
             path = scratch_path(self.spark, "base")
-            written = write_bucketed(self.base, path, "sku")
+            self.base.write.mode("overwrite").parquet(path)
             self._materialized = path
-            self.__dict__["base"] = written
+            self.__dict__["base"] = self.spark.read.parquet(path)
             self.__dict__.pop("health", None)
         return self
 
@@ -193,6 +175,18 @@ class SupplyModel:
     def supplier_risk(self) -> DataFrame:
         return self._supplier_risk
 
+    @cached_property
+    def transfers(self) -> DataFrame:
+        """X1-X5, the original greedy; written once when the model is
+        materialised (KPIs, alerts and the report all read it)."""
+        from replenish.operators.transfers import exact_transfers
+        t = exact_transfers(self.base)
+        if self._materialized is None:
+            return t
+        path = scratch_path(self.spark, "transfers")
+        t.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def whole_transfers(self) -> DataFrame:
         """X1-X5 on whole units (built once: its scans checkpoint eagerly)."""
@@ -219,7 +213,7 @@ class SupplyModel:
         """The model's tables under the original result names."""
         from replenish.operators.demand import demand_spikes
         from replenish.operators.economics import cost_curves
-        from replenish.operators.outputs import alerts, kpis, playbooks
+        from replenish.operators.outputs import alerts, kpis, playbooks, report_lines
         from replenish.operators.returns import by_reason
         t = {
             "inventory_health": self.health,
@@ -228,17 +222,18 @@ class SupplyModel:
             "anomalies": demand_spikes(self.sales, daily=self.history),
             "sku_returns": self.sku_returns(),
             "supplier_returns": self.supplier_returns(),
-            "transfers": self.whole_transfers,
+            "transfers": self.transfers,
             "bom": self.bom,
             "freight_comparisons": self.freight(),
             "financial_kpis": self.finance(),
-            "alerts": alerts(self.base, self.supplier_risk(), self.whole_transfers),
+            "alerts": alerts(self.base, self.supplier_risk(), self.transfers, self.params.alert_caps),
             "automation_playbooks": playbooks(self.spark),
             "returns_by_reason": by_reason(self.returns),
             "cost_curves": cost_curves(self.base, self.params.holding_cost_rate),
         }
         t["kpis"] = kpis(self.base, t["supplier_risk"], self.returns, t["transfers"], t["financial_kpis"],
                          self.params.horizon_days, self.params.service_level)
+        t["report"] = report_lines(t["kpis"], self.base.where(F.col("recommended_order_qty") > 0), t["supplier_risk"], t["alerts"])
         p = self.params
         t["params"] = self.spark.createDataFrame(
             [(p.horizon_days, p.service_level, p.order_cost, p.holding_cost_rate, p.demand_multiplier,
@@ -247,10 +242,25 @@ class SupplyModel:
             "demand_multiplier double, lead_time_delay_days double")
         return t
 
+    @staticmethod
+    def table_orders() -> dict[str, list]:
+        """The order of the tables that have one (a capped audit keeps their first rows)."""
+        from replenish.operators.reorder import plan_order, revenue_order
+        c = F.col
+        return {
+            "inventory_health": revenue_order(), "reorder_plan": plan_order(),
+            "supplier_risk": [c("supplier_risk_score").desc(), c("supplier_id")],
+            "transfers": [c("saved_value").desc(), c("sku"), c("from_warehouse"), c("to_warehouse")],
+            "freight_comparisons": [c("cost_difference").desc(), c("sku")],
+            "financial_kpis": [c("annual_carrying_cost").desc(), c("sku")],
+            "alerts": [c("alert_group"), c("rank")], "report": [c("section"), c("item")],
+            "cost_curves": [c("service_level")], "sku_returns": [c("return_rate").desc(), c("sku")],
+        }
+
     def export_audit(self, path: str, cap: int | None = None) -> None:
         """K2: every result table as JSON lines (whole tables unless ``cap``)."""
         from replenish.sinks.export import write_audit
-        write_audit(self.result_tables(), path, cap=cap)
+        write_audit(self.result_tables(), path, cap=cap, orders=self.table_orders())
 
     def export_bundle(self, path: str, fmt: str = "parquet") -> None:
         """K3: the workbook's tables as one folder per sheet name."""

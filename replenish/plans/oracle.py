@@ -8,10 +8,30 @@ only to check the Spark plans."""
 
 from __future__ import annotations
 
-from replenish.params import PlanParams
-from replenish.functions.planning import z_for_service
+from dataclasses import dataclass
 
-P0 = PlanParams()
+
+@dataclass(frozen=True)
+class Settings:
+    """The planning settings that the catalogue runs with, written out."""
+
+    horizon_days: int = 30
+    window_days: int = 90
+    service_level: float = 0.95
+    order_cost: float = 35.0
+    holding_cost_rate: float = 0.22
+    demand_multiplier: float = 1.0
+    lead_time_delay_days: float = 0.0
+
+
+P0 = Settings()
+
+
+def z_for_service(level: float) -> float:
+    for least, z in ((0.99, 2.33), (0.98, 2.05), (0.95, 1.65), (0.90, 1.28), (0.85, 1.04)):
+        if level >= least:
+            return z
+    return 0.84
 
 
 def dbl(x) -> str:
@@ -34,7 +54,7 @@ def roles_sql() -> str:
     return f"""
 sales AS (
   SELECT CAST(l.l_shipdate AS DATE) AS date, CAST(l.l_partkey AS VARCHAR) AS sku, p.p_name AS product,
-         l.l_quantity AS qty,
+         greatest(l.l_quantity, {dbl(0)}) AS qty,
          l.l_extendedprice * ({dbl(1)} - l.l_discount) AS revenue,
          l.l_quantity * p.p_retailprice / 100 AS cost,
          l.l_extendedprice * ({dbl(1)} - l.l_discount) - l.l_quantity * p.p_retailprice / 100 AS profit
@@ -63,11 +83,11 @@ pos AS (
   SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS po_id,
          CAST(l_partkey AS VARCHAR) AS sku, CAST(l_suppkey AS VARCHAR) AS supplier_id,
          l_quantity AS ordered_qty,
-         CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'in_transit' WHEN 'F' THEN 'received' END AS status,
+         CASE WHEN o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 60 DAY THEN 'received'
+              ELSE CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'in_transit' WHEN 'F' THEN 'received' END END AS status,
          CAST(o_orderdate AS DATE) AS order_date, CAST(l_shipdate AS DATE) AS expected_date,
          l_extendedprice / l_quantity / 100 AS unit_cost
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 60 DAY),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 returns AS (
   SELECT CAST(l_shipdate AS DATE) + 7 AS date, CAST(l_partkey AS VARCHAR) AS sku,
          CAST(1 + l_linenumber % 3 AS DOUBLE) AS return_qty,
@@ -84,7 +104,7 @@ bom AS (
   JOIN part c ON c.p_partkey = rr.comp)"""
 
 
-def model_sql(p: PlanParams = P0, mult_in_stats: bool = True) -> str:
+def model_sql(p: Settings = P0, mult_in_stats: bool = True) -> str:
     n = float(p.window_days)
     mult = dbl(p.demand_multiplier) if mult_in_stats else dbl(1.0)
     z = z_for_service(p.service_level)
@@ -195,7 +215,7 @@ health_abc AS (
   FROM health)"""
 
 
-def with_model(select: str, p: PlanParams = P0) -> str:
+def with_model(select: str, p: Settings = P0) -> str:
     return "WITH " + model_sql(p) + "\n" + select
 
 

@@ -293,7 +293,33 @@ ORACLES["transfers_whole_units"] = with_model_ctes(TRANSFERS, f"""
 SELECT sku, product, from_warehouse, to_warehouse, CAST(q AS BIGINT) AS qty, {r('unit_cost')} AS unit_cost,
        {r('q * unit_cost')} AS saved_value FROM tr""")
 
-ORACLES["transfer_summary"] = with_model_ctes(TRANSFERS, f"""
+# the greedy as a recursion: the first open deficit meets the first open
+# surplus; an amount below one unit is passed over for good
+WALK = TRANSFERS[:TRANSFERS.index("dl AS (")] + """dq AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY annual_revenue DESC, product, warehouse) AS k FROM cand WHERE deficit >= 1),
+sq_ AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY annual_revenue DESC, product, warehouse) AS k FROM cand WHERE surplus >= 1),
+walk AS (
+  SELECT dq.sku, dq.k AS i, sq_.k AS j, dq.deficit AS d, sq_.surplus AS s FROM dq JOIN sq_ ON dq.sku = sq_.sku AND dq.k = 1 AND sq_.k = 1
+  UNION ALL
+  SELECT w.sku, a.k, b.k, CASE WHEN a.k = w.i THEN w.d - least(w.d, w.s) ELSE a.deficit END,
+         CASE WHEN b.k = w.j THEN w.s - least(w.d, w.s) ELSE b.surplus END
+  FROM walk w
+  JOIN dq a ON a.sku = w.sku AND a.k = w.i + CASE WHEN w.d - least(w.d, w.s) < 1 THEN 1 ELSE 0 END
+  JOIN sq_ b ON b.sku = w.sku AND b.k = w.j + CASE WHEN w.s - least(w.d, w.s) < 1 THEN 1 ELSE 0 END),
+tr AS (SELECT w.sku, dq.product, sq_.warehouse AS from_warehouse, dq.warehouse AS to_warehouse, least(w.d, w.s) AS q, dq.unit_cost
+       FROM walk w JOIN dq ON dq.sku = w.sku AND dq.k = w.i JOIN sq_ ON sq_.sku = w.sku AND sq_.k = w.j)"""
+
+
+def with_walk(ctes: list[str], select: str) -> str:
+    return "WITH RECURSIVE " + model_sql() + ",\n" + ",\n".join(ctes) + "\n" + select
+
+
+_MOVED = f"""
+SELECT sku, product, from_warehouse, to_warehouse, CAST(round_even(q, 0) AS BIGINT) AS qty, {r('unit_cost')} AS unit_cost,
+       {r('q * unit_cost')} AS saved_value FROM tr"""
+ORACLES["transfers_exact"] = with_walk([WALK], _MOVED)
+ORACLES["top_transfers"] = with_walk([WALK], _MOVED + " ORDER BY q * unit_cost DESC, sku, from_warehouse, to_warehouse LIMIT 15")
+
+ORACLES["transfer_summary"] = with_walk([WALK], f"""
 SELECT {r('coalesce(sum(q * unit_cost), 0.0)', 3)} AS saved_transfer_value, count(*) AS transfers_count FROM tr""")
 
 _LEVELS = "(VALUES " + ", ".join(f"({dbl(x)})" for x in (0.80, 0.85, 0.90, 0.95, 0.98, 0.99)) + ") lv(service_level)"
@@ -370,7 +396,7 @@ SELECT {r('total_annual_cogs', 3)} AS total_annual_cogs, {r('total_avg_inventory
        {r('CASE WHEN total_annual_cogs > 0 THEN 365.0 * total_avg_inventory_value / total_annual_cogs ELSE 365.0 END', 3)} AS portfolio_dio
 FROM pt""")
 
-ORACLES["kpis"] = with_model_ctes(",\n".join([SUPPLIER_RISK, TRANSFERS, FIN, PORT]), f"""
+ORACLES["kpis"] = with_walk([SUPPLIER_RISK, WALK, FIN, PORT], f"""
 SELECT {r('coalesce(sum(inventory_value), 0.0)', 3)} AS total_inventory_value,
        {r('coalesce(sum(CASE WHEN recommended_order_qty > 0 THEN recommended_order_value END), 0.0)', 3)} AS recommended_order_value,
        count(CASE WHEN stockout_risk = 'Critical' THEN 1 END) AS critical_skus,
@@ -421,19 +447,19 @@ alerts AS (
          CASE WHEN stockout_risk = 'Critical' THEN 'P1' ELSE 'P2' END AS priority, sku, CAST(NULL AS VARCHAR) AS supplier_id,
          product || ' has ' || stockout_risk || ' stockout risk with ' || {fmt1('days_of_cover')} || ' days of cover.' AS message,
          'Order ' || {int_s('recommended_order_qty')} || ' units from ' || coalesce(supplier_name, supplier_id) || '.' AS recommended_action
-  FROM so WHERE rk <= 40
+  FROM so
   UNION ALL
   SELECT 2, CAST(rk AS BIGINT), 'supplier_risk', CASE WHEN risk_level = 'Critical' THEN 'P1' ELSE 'P2' END, CAST(NULL AS VARCHAR),
          supplier_id,
          'Supplier ' || coalesce(supplier_name, supplier_id) || ' has ' || risk_level || ' risk score '
            || CAST(supplier_risk_score AS VARCHAR) || '.',
          {sq("Review alternate suppliers, open PO ETAs, and quality issues before new large orders.")}
-  FROM sa WHERE rk <= 20
+  FROM sa
   UNION ALL
   SELECT 3, CAST(rk AS BIGINT), 'dead_stock', 'P3', sku, CAST(NULL AS VARCHAR),
          product || ' has stock but almost no recent demand.',
          {sq("Consider markdown, bundle, ad campaign, or stop replenishment.")}
-  FROM da WHERE rk <= 20
+  FROM da
   UNION ALL
   SELECT 4, CAST(1 AS BIGINT), 'warehouse_transfer', 'P3', 'Multiple', CAST(NULL AS VARCHAR),
          'Found ' || CAST(n AS VARCHAR) || ' internal stock transfer opportunities to reduce purchasing cost by '
@@ -441,7 +467,9 @@ alerts AS (
          {sq("Review the Inter-DC Transfer Advisor tab to approve internal inventory routing.")}
   FROM ta WHERE n > 0)"""
 
-ORACLES["alerts"] = with_model_ctes(",\n".join([SUPPLIER_RISK, TRANSFERS, ALERT_CTES]), "SELECT * FROM alerts")
+ORACLES["alerts"] = with_walk([SUPPLIER_RISK, WALK, ALERT_CTES], "SELECT * FROM alerts")
+ORACLES["alerts_top"] = with_walk([SUPPLIER_RISK, WALK, ALERT_CTES], """SELECT * FROM alerts
+WHERE rank <= CASE alert_group WHEN 1 THEN 40 WHEN 2 THEN 20 WHEN 3 THEN 20 ELSE 1 END""")
 
 PLAN_ORDER = "stockout_risk, recommended_order_value DESC, annual_revenue DESC, sku, product, warehouse"
 _HEAD = NL.join(sq(x) for x in ["Subject: Reorder Approval Request", "", "Hi team,", "",
@@ -463,6 +491,12 @@ tot AS (SELECT supplier_id, sum(recommended_order_value) AS total FROM plan GROU
 SELECT b.supplier_id, {_HEAD}{NL}b.body{NL}''{NL}'Estimated order value: ' || {fmt2('t.total')}{NL}''{NL}{_TAIL} AS draft
 FROM body b JOIN tot t ON b.supplier_id = t.supplier_id""")
 
+ORACLES["procurement_draft_lines"] = with_model(f"""
+SELECT supplier_id, CAST(row_number() OVER (PARTITION BY supplier_id ORDER BY {PLAN_ORDER}) AS BIGINT) AS rank,
+       '- ' || sku || ' / ' || product || ': ' || {int_s('recommended_order_qty')} || ' units, risk ' || stockout_risk
+         || ', estimated value ' || {fmt2('recommended_order_value')} AS line
+FROM base WHERE recommended_order_qty > 0""")
+
 _RFQ = NL.join([
     "'Subject: Request for Quote (RFQ) - ' || product || ' (' || sku || ')'", "''",
     "'Dear ' || coalesce(supplier_name, supplier_id) || ' Team,'", "''",
@@ -491,7 +525,7 @@ KPI_LINES = [
     "'- Dead-stock candidates: **' || CAST(dead_stock_skus AS VARCHAR) || '**.'",
     "'- High-risk suppliers: **' || CAST(supplier_high_risk AS VARCHAR) || '**.'",
 ]
-ORACLES["report_lines"] = with_model_ctes(",\n".join([SUPPLIER_RISK, TRANSFERS, ALERT_CTES]) + f""",
+ORACLES["report_lines"] = with_walk([SUPPLIER_RISK, WALK, ALERT_CTES, f"""
 kk AS (SELECT coalesce(sum(inventory_value), 0.0) AS total_inventory_value,
               coalesce(sum(CASE WHEN recommended_order_qty > 0 THEN recommended_order_value END), 0.0) AS recommended_order_value,
               count(CASE WHEN stockout_risk = 'Critical' THEN 1 END) AS critical_skus,
@@ -500,7 +534,8 @@ kk AS (SELECT coalesce(sum(inventory_value), 0.0) AS total_inventory_value,
               (SELECT count(CASE WHEN risk_level IN ('Critical', 'High') THEN 1 END) FROM sr) AS supplier_high_risk FROM base),
 tp AS (SELECT *, row_number() OVER (ORDER BY {PLAN_ORDER}) AS rk FROM base WHERE recommended_order_qty > 0),
 ts AS (SELECT *, row_number() OVER (ORDER BY supplier_risk_score DESC, supplier_id) AS rk FROM sr),
-ta2 AS (SELECT *, row_number() OVER (ORDER BY alert_group, rank) AS pos FROM alerts)""", f"""
+ta2 AS (SELECT *, row_number() OVER (ORDER BY alert_group, rank) AS pos FROM alerts
+        WHERE rank <= CASE alert_group WHEN 1 THEN 40 WHEN 2 THEN 20 WHEN 3 THEN 20 ELSE 1 END)"""], f"""
 {_const(0, ["# Supply Chain Executive Report", "", "## Executive Summary"])}
 UNION ALL {" UNION ALL ".join(f"SELECT 1, CAST({i + 1} AS BIGINT), {t} FROM kk" for i, t in enumerate(KPI_LINES))}
 UNION ALL {_const(2, [""])}
@@ -601,6 +636,12 @@ BENCH_COLUMNS = {
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
     "region": ["r_regionkey", "r_name"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
     "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
 }
 
@@ -632,3 +673,28 @@ f AS (SELECT sku, quantile_cont(qty, 0.75) + (quantile_cont(qty, 0.75) - quantil
 SELECT d.date, d.sku, {r('d.qty')} AS qty, {r('f.upper')} AS upper,
        CASE WHEN d.qty < f.upper * {dbl(1.8)} THEN 'Medium' ELSE 'High' END AS severity
 FROM d JOIN f ON d.sku = f.sku WHERE d.qty > f.upper"""
+
+# ---- listings ------------------------------------------------------------
+_COVER = r("CASE WHEN isinf(days_of_cover) OR isnan(days_of_cover) THEN NULL ELSE days_of_cover END")
+ORACLES["bom_parents"] = with_roles("SELECT DISTINCT parent_sku FROM bom WHERE parent_sku IS NOT NULL")
+ORACLES["risk_listing"] = with_model(f"""
+SELECT sku, product, warehouse, {r('stock')} AS stock, {r('incoming_qty')} AS incoming_qty, {_COVER} AS days_of_cover,
+       {r('lead_time_days')} AS lead_time_days, {r('reorder_point')} AS reorder_point, {r('shortage_qty')} AS shortage_qty,
+       stockout_risk, supplier_name FROM base""")
+ORACLES["scenario_listing"] = with_model(f"""
+SELECT sku, product, warehouse, {r('stock')} AS stock, {r('avg_daily_demand')} AS avg_daily_demand, {r('lead_time_days')} AS lead_time_days,
+       {_COVER} AS days_of_cover, {r('reorder_point')} AS reorder_point, {r('recommended_order_qty')} AS recommended_order_qty,
+       stockout_risk FROM base""")
+ORACLES["supplier_names"] = with_model_ctes(SUPPLIER_RISK, "SELECT DISTINCT supplier_name FROM sr WHERE supplier_name IS NOT NULL")
+ORACLES["sku_list"] = with_model("SELECT DISTINCT sku FROM base")
+ORACLES["plan_suppliers"] = with_model("""
+SELECT 'All suppliers' AS supplier_id
+UNION ALL SELECT DISTINCT supplier_id FROM base WHERE recommended_order_qty > 0 AND supplier_id IS NOT NULL""")
+ORACLES["freight_listing"] = with_model_ctes(FREIGHT, "SELECT sku, product, " + ", ".join(
+    f"{r(n)} AS {n}" for n in ("annual_demand", "unit_cost", "lead_time_ocean", "lead_time_air", "total_cost_ocean", "total_cost_air",
+                               "cost_difference")) + ", recommended_mode FROM fr2")
+ORACLES["finance_listing"] = with_model_ctes(FIN, "SELECT sku, product, storage_class, " + ", ".join(
+    f"{r(n)} AS {n}" for n in ("annual_cogs", "average_inventory_value", "itr", "dio", "annual_carrying_cost")) + " FROM fin")
+ORACLES["stock_preview"] = with_model("""
+SELECT sku, product, warehouse, isinf(days_of_cover) AS endless_cover, CAST(next_eta AS VARCHAR) AS next_eta
+FROM base ORDER BY sku, product, warehouse LIMIT 500""")

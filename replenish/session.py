@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,32 +36,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only create our own
-    folder when that setting is absent (local tests)."""
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master
+    gets a folder of our own where the setting is absent (tests); on a
+    cluster such a folder would be a different one on every machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - client sessions have no SparkContext
-        sc = None
-    if not d and sc is not None and hasattr(sc, "getCheckpointDir"):
+    sc = spark.sparkContext
+    if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="replenish-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if sc is not None:
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    if "://" not in base:
-        os.makedirs(base, exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-    import uuid
-
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh sub-folder of the shared checkpoint folder (Spark makes it
+    when it writes there)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cluster_conf(input_bytes: float, executors: int, cores_per_executor: int = 4,

@@ -15,7 +15,7 @@ BUNDLE_NAMES = {
     "inventory_health": "inventory_health", "reorder_plan": "reorder_plan", "supplier_risk": "supplier_risk",
     "anomalies": "anomalies", "sku_returns": "sku_returns", "supplier_returns": "supplier_returns",
     "transfers": "transfers", "bom": "bom_recipes", "freight_comparisons": "freight_optimization",
-    "financial_kpis": "financial_kpis",
+    "financial_kpis": "financial_kpis", "automation_playbooks": "automation", "report": "report",
 }
 # Approval policy block of the automation payload.
 APPROVAL_POLICY = (("auto_create_po", False), ("auto_send_supplier_email", False),
@@ -52,8 +52,11 @@ def write_audit(tables: dict[str, DataFrame], path: str, cap: int | None = None,
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """K3 (re-aimed from a workbook): one folder per sheet name."""
+    """K3 (re-aimed from a workbook): one folder per sheet name; a table
+    without rows gets none."""
     for key, df in tables.items():
+        if df.isEmpty():
+            continue
         name = BUNDLE_NAMES.get(key, key)
         w = json_safe(df).write.mode("overwrite")
         (w.option("header", True).csv if fmt == "csv" else w.parquet)(f"{path.rstrip('/')}/{name}")

@@ -1,14 +1,15 @@
-"""File sources (S1-S3, S6 dispatch): CSV, JSON, Parquet, SQLite by suffix.
+"""File sources (S1-S3): CSV, JSON, Parquet by suffix.
 
 CSV is read with every column as a string; standardisation then applies
 ``try_cast`` per field, so key columns with gaps never turn into floats."""
 
 from __future__ import annotations
 
-import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from replenish.functions.naming import normalize_columns, normalize_name
 
@@ -28,9 +29,13 @@ def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     A column-oriented object ({"col": {"0": v, ...}}) is not a record
     layout and is rejected."""
     if multi_line is None:
-        first = spark.read.text(path).limit(1).collect()
-        multi_line = bool(first) and first[0][0].lstrip().startswith("[")
+        # one character reaches the driver, however long the first line is
+        first = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).where("c != ''").first()
+        multi_line = first is not None and first[0] == "["
     df = spark.read.option("multiLine", multi_line).json(path)
+    nested = [f.dataType.fieldNames() for f in df.schema.fields if isinstance(f.dataType, T.StructType)]
+    if df.columns and len(nested) == len(df.columns) and all(n.isdigit() for names in nested for n in names):
+        raise ValueError(f"{path}: column-oriented JSON is not a record layout")
     if df.columns == ["_corrupt_record"] or not df.columns:
         raise ValueError(f"{path}: not a JSON array of records or JSON lines")
     return _norm(df)
@@ -42,17 +47,17 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def load_dir(spark: SparkSession, base_dir: str, pattern: str = "*.csv") -> dict[str, DataFrame]:
     """One table per file of a folder, named by the normalised stem,
-    visited in sorted order."""
+    visited in sorted order. Spark lists the folder (names only, nothing is
+    read), so it may lie in any store."""
     out = {}
-    for p in sorted(glob.glob(os.path.join(base_dir, pattern))):
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(base_dir).select("path")
+    for p in sorted(r[0] for r in listed.collect()):
         out[normalize_name(os.path.splitext(os.path.basename(p))[0])] = read_csv(spark, p)
     return out
 
 
 def load_files(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
-    """Files by suffix; SQLite tables are named ``<stem>_<table>``."""
-    from replenish.sources.sqlite import sqlite_tables
-
+    """Files by suffix."""
     out: dict[str, DataFrame] = {}
     for p in paths:
         stem = normalize_name(os.path.splitext(os.path.basename(p))[0])
@@ -63,7 +68,4 @@ def load_files(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
             out[stem] = read_json(spark, p)
         elif suffix == ".parquet":
             out[stem] = read_parquet(spark, p)
-        elif suffix in (".sqlite", ".db", ".sqlite3"):
-            for k, v in sqlite_tables(spark, p).items():
-                out[f"{stem}_{k}"] = v
     return out

@@ -41,6 +41,6 @@ def jdbc_tables(spark: SparkSession, url: str, tables_csv: str, row_limit: int |
     for name in [x.strip() for x in tables_csv.split(",") if x.strip()]:
         df = jdbc_reader(spark, url, name, **partitioning).load()
         if row_limit is not None:
-            df = df.limit(int(row_limit))
+            df = df.orderBy(*df.columns).limit(int(row_limit))  # the same rows each time
         out[table_key(name)] = df.toDF(*normalize_columns(df.columns))
     return out

@@ -78,16 +78,17 @@ def sales_daily(t: Tables) -> DataFrame:
     so a part holding a large share of the lines shrinks to one row per day
     per task -- and only then joined to ``part`` for the name and list price;
     line cost is qty x price / 100, so the day's cost is its qty sum times
-    the same factor."""
+    the same factor. Negative line quantities count as 0 in the quantity, as
+    in the line standardisation, but not in the cost."""
     li = t["lineitem"].select("l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     revenue = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
     day = li.groupBy("l_partkey", F.to_date("l_shipdate").alias("date")).agg(
-        F.sum("l_quantity").alias("qty"), F.sum(revenue).alias("revenue"))
+        F.sum(F.greatest(F.col("l_quantity"), F.lit(0.0))).alias("qty"), F.sum("l_quantity").alias("net_qty"),
+        F.sum(revenue).alias("revenue"))
     part = t["part"].select("p_partkey", "p_name", "p_retailprice")
     j = day.join(part, day.l_partkey == part.p_partkey)
-    cost = F.col("qty") * F.col("p_retailprice") / 100
-    return j.select(_sku("l_partkey").alias("sku"), F.col("p_name").alias("product"), "date",
-                    F.greatest(F.col("qty"), F.lit(0.0)).alias("qty"), "revenue", (F.col("revenue") - cost).alias("profit"))
+    cost = F.col("net_qty") * F.col("p_retailprice") / 100
+    return j.select(_sku("l_partkey").alias("sku"), F.col("p_name").alias("product"), "date", "qty", "revenue", (F.col("revenue") - cost).alias("profit"))
 
 
 def storage_class(p_type: Column) -> Column:
@@ -135,22 +136,23 @@ def suppliers(t: Tables) -> DataFrame:
 
 
 def purchase_orders(t: Tables) -> DataFrame:
-    """Order lines placed in the last PO_LOOKBACK_DAYS days of the order
-    history are the purchase orders still in the pipeline."""
+    """Every order line is a purchase order. Orders of the last
+    PO_LOOKBACK_DAYS days carry their own status; older ones have long been
+    received, so the open-status filter of J3 leaves them out."""
     o = t["orders"].select("o_orderkey", "o_orderstatus", "o_orderdate")
     latest = t["orders"].select(F.max("o_orderdate")).scalar()
-    o = o.where(F.col("o_orderdate") >= latest - F.expr(f"INTERVAL {PO_LOOKBACK_DAYS} DAYS"))
     li = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                               "l_extendedprice", "l_shipdate")
     status = F.lit(None).cast("string")
     for code, text in reversed(PO_STATUS):
         status = F.when(F.col("o_orderstatus") == F.lit(code), F.lit(text)).otherwise(status)
+    old = F.col("o_orderdate") < latest - F.expr(f"INTERVAL {PO_LOOKBACK_DAYS} DAYS")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("po_id"),
         _sku("l_partkey").alias("sku"),
         _sku("l_suppkey").alias("supplier_id"),
         F.col("l_quantity").alias("ordered_qty"),
-        status.alias("status"),
+        F.when(old, F.lit("received")).otherwise(status).alias("status"),
         F.to_date("o_orderdate").alias("order_date"),
         F.to_date("l_shipdate").alias("expected_date"),
         (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("unit_cost"),
@@ -196,11 +198,6 @@ def bom(t: Tables) -> DataFrame:
     )
 
 
-def sales_events(t: Tables) -> DataFrame:
-    """Purchase events as a sales feed (sku = user id, qty = props.k)."""
-    return purchase_events(t["events"])
-
-
 def utc_instant(ts: Column) -> Column:
     """A wall-clock timestamp (no zone) read as UTC, whatever the session
     time zone; an event-time column for watermarks and day windows."""

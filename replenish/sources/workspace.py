@@ -12,7 +12,7 @@ from replenish.params import PlanParams
 
 class Workspace:
     """Tables by normalised name; a later source overwrites an equal name
-    (sample -> upload -> sqlite -> database, as the caller adds them)."""
+    (sample -> upload -> database, as the caller adds them)."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark

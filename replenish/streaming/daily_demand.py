@@ -11,11 +11,13 @@ checkpoint."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from replenish.session import scratch_path
 from replenish.sources.tpch import purchase_events, utc_date
 
+SPIKE_SCHEMA = "day timestamp, sku string, qty double, upper double, severity string, batch_id long"
 DAILY_SCHEMA = "window struct<start:timestamp,end:timestamp>, sku string, qty double, events long, batch_id long"
 
 
@@ -28,11 +30,16 @@ def daily_demand_stream(events: DataFrame, watermark: str = "1 day") -> DataFram
 
 
 def start_daily_demand(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                       file_glob: str = "events*.parquet", available_now: bool = True, watermark: str = "1 day"):
+                       file_glob: str = "events*.parquet", available_now: bool = True, watermark: str = "1 day",
+                       files_per_batch: int = 1000, thresholds: DataFrame | None = None):
+    """Start the stream; with ``thresholds`` (sku, upper) its rows are the
+    days above their fence (E7, a stream-static join) rather than all."""
     schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{file_glob}").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-              .option("maxFilesPerTrigger", 1).parquet(source_dir))
+              .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
     agg = daily_demand_stream(stream, watermark)
+    if thresholds is not None:
+        agg = spike_watch_stream(agg, thresholds)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out_dir)
@@ -42,12 +49,24 @@ def start_daily_demand(spark: SparkSession, source_dir: str, out_dir: str, check
     return w.start()
 
 
+def read_log(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
+    """The sink's log; empty only if no batch has written yet."""
+    try:
+        return spark.read.schema(schema).parquet(out_dir)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def late_rows(query) -> int:
+    """Rows that a drained or running query has dropped behind its watermark."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def current_view(spark: SparkSession, out_dir: str) -> DataFrame:
     """Newest row per (window, sku) of the upsert log."""
-    try:
-        log = spark.read.schema(DAILY_SCHEMA).parquet(out_dir)
-    except Exception:  # noqa: BLE001 - empty log folder
-        log = spark.createDataFrame([], DAILY_SCHEMA)
+    log = read_log(spark, out_dir, DAILY_SCHEMA)
     latest = log.groupBy("window", "sku").agg(F.max_by(F.struct("qty", "events"), "batch_id").alias("v"))
     return latest.select(utc_date(F.col("window.start")).alias("date"), "sku", F.col("v.qty").alias("qty"),
                          F.col("v.events").alias("events"))
@@ -62,6 +81,18 @@ def drain_daily_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_view(spark, out_dir)
 
 
+def drain_spike_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E7 as a stream: the fences come from the batch history of the events,
+    the stream is drained against them, newest row per (day, sku)."""
+    history = daily_demand_stream(spark.read.parquet(f"{sf_dir.rstrip('/')}/events*.parquet"))
+    out_dir = scratch_path(spark, "spike-watch")
+    fences = spike_thresholds(history)
+    start_daily_demand(spark, sf_dir, out_dir, scratch_path(spark, "spike-watch-ckpt"), thresholds=fences).awaitTermination()
+    log = read_log(spark, out_dir, SPIKE_SCHEMA)
+    latest = log.groupBy("day", "sku").agg(F.max_by(F.struct("qty", "upper", "severity"), "batch_id").alias("v"))
+    return latest.select(utc_date(F.col("day")).alias("date"), "sku", "v.qty", "v.upper", "v.severity")
+
+
 def spike_thresholds(daily: DataFrame, min_days: int = 10) -> DataFrame:
     """Per-sku upper fence Q3 + 1.5 IQR over daily quantities (batch side of
     the stream-static join)."""

@@ -1,14 +1,11 @@
 import json
 import os
-import sqlite3
 
 import pytest
-from pyspark.sql import functions as F
 
 from replenish.operators.standardize import standardize_inventory, standardize_sales
-from replenish.sources.files import load_files, read_csv, read_json
+from replenish.sources.files import load_dir, load_files, read_csv, read_json
 from replenish.sources.jdbc import jdbc_tables
-from replenish.sources.sqlite import sqlite_tables
 
 
 def test_csv_reads_strings_and_standardizes(spark, tmpdir_path):
@@ -50,24 +47,27 @@ def test_json_array_and_lines(spark, tmpdir_path):
     assert read_json(spark, b).columns == ["sku"]
 
 
-def test_sqlite_source_partitions(spark, tmpdir_path):
-    p = os.path.join(tmpdir_path, "shop.db")
-    con = sqlite3.connect(p)
-    con.execute("CREATE TABLE suppliers (supplier_id TEXT, lead_time_days INTEGER, on_time_rate REAL)")
-    con.executemany("INSERT INTO suppliers VALUES (?, ?, ?)", [(f"S{i}", i, 0.9) for i in range(50)])
-    con.commit()
-    con.close()
-    t = sqlite_tables(spark, p, num_partitions=4)
-    df = t["suppliers"]
-    assert df.count() == 50 and df.agg(F.sum("lead_time_days")).first()[0] == sum(range(50))
-    assert df.rdd.getNumPartitions() >= 2
-    with pytest.raises(FileNotFoundError):
-        sqlite_tables(spark, os.path.join(tmpdir_path, "missing.db"))
+def test_column_oriented_json_is_rejected(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "c.json")
+    with open(p, "w") as f:
+        json.dump({"sku": {"0": "A", "1": "B"}, "qty": {"0": 1, "1": 2}}, f)
+    with pytest.raises(ValueError):
+        read_json(spark, p)
+
+
+def test_folder_is_listed_in_order(spark, tmpdir_path):
+    for name in ("b Sales", "a", "skip"):
+        with open(os.path.join(tmpdir_path, f"{name}.{'txt' if name == 'skip' else 'csv'}"), "w") as f:
+            f.write("sku,qty\nx,1\n")
+    assert list(load_dir(spark, tmpdir_path)) == ["a", "b_sales"]
 
 
 def test_jdbc_whitelist(spark):
     with pytest.raises(ValueError):
         jdbc_tables(spark, "jdbc:sqlite:x", "bad name;")
+    from replenish.functions.naming import check_identifier
+    with pytest.raises(ValueError):
+        check_identifier("foo\n")
     assert jdbc_tables(spark, "", "a") == {}
 
 
