@@ -294,21 +294,23 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> Dat
 
     def scan(batches):
         m = known.value
-        weights = [m.weights, m.without_clean, m.without_toxic]
+
+        def scored(texts, weights, which):
+            raw, at = text_bytes(texts)
+            for i, j in slices(at):
+                yield from text_segments(m, weights, raw[at[i]:at[j]], at[i:j + 1] - at[i], which[i:j])
+
         for batch in batches:
             label = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw, at = text_bytes(batch.column(1))
-            n, scores, apart = [], [], []
-            for i, j in slices(at):
-                part, off = raw[at[i]:at[j]], at[i:j + 1] - at[i]
-                whole = [(x[0], [s for _, _, s in x[3]]) for x in text_segments(m, weights, part, off, np.zeros(j - i, np.int64))]
-                n += [x for x, _ in whole]
-                scores += [x for _, x in whole]
-                if (label[i:j] >= 0).any():
-                    without = [[s for _, _, s in x[3]] for x in text_segments(m, weights, part, off, label[i:j] + 1)]
-                else:
-                    without = [[]] * (j - i)
-                apart += [x if y >= 0 else [] for x, y in zip(without, label[i:j])]
+            n, scores = [], []
+            for x in scored(batch.column(1), [m.weights], np.zeros(len(label), np.int64)):
+                n.append(x[0])
+                scores.append([s for _, _, s in x[3]])
+            apart = [[] for _ in label]
+            marked = np.flatnonzero(label >= 0)  # labelled texts once more, without their own part in the weights
+            own = scored(batch.column(1).take(pa.array(marked)), [m.without_clean, m.without_toxic], label[marked])
+            for i, x in zip(marked.tolist(), own):
+                apart[i] = [s for _, _, s in x[3]]
             kind = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(n, pa.int64()), pa.array(scores, kind), pa.array(apart, kind)],
                                              [*batch.schema.names[2:], "tokens", "scores", "apart"])
@@ -319,17 +321,18 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> Dat
                     F.col("__toxic").alias("toxic"), *extra))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     found = stored(rows.mapInArrow(scan, f"{kept}, tokens long, scores array<double>, apart array<double>"), "segments")
-    fit = found.where("toxic is not null").select("toxic", "tokens", "apart").toArrow()  # LABELS_MOST documents at most
-    toxic, tokens = fit["toxic"].to_numpy(), fit["tokens"].to_numpy()
-    apart = fit["apart"].to_pylist()
-    best = np.array([max(x, default=0.0) for x in apart])
-    lam, k = fit_extremes(best[toxic == 0], tokens[toxic == 0])
-    a, b = fit_logistic(np.array([evidence(x, n, lam, k) for x, n in zip(apart, tokens)]), toxic.astype(float))
+    # two numbers for each of LABELS_MOST documents at most reach the driver, then two more
+    fit = found.where("toxic is not null")
+    best = fit.select("toxic", F.greatest("tokens", F.lit(1)).alias("tokens"), F.coalesce(F.array_max("apart"), F.lit(0.0)).alias("best")).toArrow()
+    clean = best["toxic"].to_numpy() == 0
+    lam, k = fit_extremes(best["best"].to_numpy()[clean], best["tokens"].to_numpy()[clean])
     bar = F.log(F.lit(k) * F.greatest(F.col("tokens"), F.lit(1)))
-    worth = F.filter(F.transform("scores", lambda s: s * lam - bar), lambda s: s > 0)
-    total = F.aggregate(worth, F.lit(0.0), lambda s, x: s + x)
-    chance = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * total)))
-    return (found.withColumns({"__score": chance, "__n": F.size(worth).cast("long")})
+    worth = lambda c: F.filter(F.transform(c, lambda s: s * lam - bar), lambda s: s > 0)
+    total = lambda c: F.aggregate(worth(c), F.lit(0.0), lambda s, x: s + x)
+    own_ = fit.select("toxic", total("apart").alias("x")).toArrow()
+    a, b = fit_logistic(own_["x"].to_numpy(), own_["toxic"].to_numpy().astype(float))
+    chance = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * total("scores"))))
+    return (found.withColumns({"__score": chance, "__n": F.size(worth("scores")).cast("long")})
             .select(F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
                     F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__n").alias("n_passages"),
                     *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]))
