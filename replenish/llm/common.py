@@ -55,12 +55,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def split_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Left join on a unique right key with hot keys split off: rows whose key is in ``hot`` (a table of bounded size)
-    meet their right rows in a broadcast join and never move; only the others are shuffled."""
-    hot_right = F.broadcast(right.join(F.broadcast(hot.select(key)), key, "left_semi"))
-    near = left.join(F.broadcast(hot.select(key)), key, "left_semi").join(hot_right, key, "left")
-    far = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key, "left")
-    return near.unionByName(far)
+    """Left join on a unique right key with hot keys split off: rows whose key is in ``hot`` (a table of bounded size) meet
+    their right rows in a broadcast join; in the shuffle of the others they are dealt out evenly by a salt that no right
+    row has."""
+    names = [c for c in right.columns if c != key]
+    hot_right = F.broadcast(right.join(F.broadcast(hot.select(key)), key, "left_semi").select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in names]))
+    spread = 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1000))
+    marked = (left.join(hot_right, left[key] == F.col("__key"), "left")
+              .withColumn("__salt", F.when(F.col("__key").isNull(), F.lit(0).cast("long")).otherwise(spread)))
+    return (marked.join(right.withColumn("__salt", F.lit(0).cast("long")), [key, "__salt"], "left")
+            .select(*left.columns, *[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) for c in names]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -130,7 +134,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def slices(at: np.ndarray, most: int = 1 << 22):
+def slices(at: np.ndarray, most: int = 1 << 20):
     """Runs [i, j) of rows with about ``most`` bytes together (a single longer row stays whole)."""
     i = 0
     while i < len(at) - 1:

@@ -42,7 +42,9 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP, _DOWN = _powers(_BASE, (1 << 22) + 4096), _powers(_INVERSE, (1 << 22) + 4096)
+#: Bytes that are hashed at once.
+PIECE = 1 << 20
+_UP, _DOWN = _powers(_BASE, PIECE), _powers(_INVERSE, PIECE)
 _BYTES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 
 
@@ -72,9 +74,9 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def anchors(raw: np.ndarray, at: np.ndarray, span: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place in it, seed hash) of the anchors of some texts: the winner of every window inside one text."""
     places, hashes = [], []
-    w, piece = span - seed + 1, 1 << 22
-    for lo in range(0, max(len(raw) - span + 1, 0), piece - span + 1):
-        hi = min(len(raw), lo + piece)
+    w = span - seed + 1
+    for lo in range(0, max(len(raw) - span + 1, 0), PIECE - span + 1):
+        hi = min(len(raw), lo + PIECE)
         h = seed_hashes(raw[lo:hi], seed)
         # the low bits hold the place, so the least key is the leftmost of the least hashes
         key = (h & ~np.uint64((1 << 23) - 1)) | np.arange(len(h), dtype=np.uint64)
@@ -234,14 +236,21 @@ def _hashed_spans(contexts: DataFrame, span: int) -> DataFrame:
 
 
 def _pick(batches, span: int, seed: int):
-    """(digest, text) to (seed, digest, place)."""
+    """(digest, text) to (seed, digest, place); of the copies of a text that a task meets only the first counts."""
     import pyarrow as pa
 
+    seen: set[bytes] = set()
     for batch in batches:
-        raw, at = text_bytes(batch.column(1))
-        for i, j in slices(at):
+        new = []
+        for i, d in enumerate(batch.column(0).to_pylist()):
+            if d not in seen:
+                seen.add(d)
+                new.append(i)
+        digests, texts = (batch.column(c).take(pa.array(new, pa.int64())) for c in (0, 1))
+        raw, at = text_bytes(texts)
+        for i, j in slices(at, PIECE):
             text, place, h = anchors(raw[at[i]:at[j]], at[i:j + 1] - at[i], span, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(text + i)), pa.array(place)],
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), digests.take(pa.array(text + i)), pa.array(place)],
                                              ["seed", "digest", "place"])
 
 
@@ -293,7 +302,7 @@ def repeat_spans(docs: DataFrame, span: int = SPAN, seed: int = SEED, group_most
     text = F.coalesce(F.col("text"), F.lit(""))
     spots = stored(docs.where(F.octet_length("text") >= span).select(_digest(text).alias("digest"), "text")
                    .mapInArrow(lambda b: _pick(b, span, seed), "seed long, digest binary, place long"), "anchors")
-    # copies of a text give the same anchors: a seed counts when it has two different ones
+    # copies of a text (one in each task) give the same anchors: a seed counts when it has two different ones
     spot = F.xxhash64("digest", "place")
     seeds = stored(spots.select("seed", spot.alias("spot")).groupBy("seed")
                    .agg(F.min("spot").alias("a"), F.max("spot").alias("b"), F.count("*").alias("n")).where("a != b").select("seed", "n"), "seeds")
