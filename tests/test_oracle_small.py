@@ -9,7 +9,8 @@ import pytest
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables not present")
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+          "conversations").split()
 
 
 def _digest(cols, rows):

@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from replenish.streaming.daily_demand import current_view, start_daily_demand
+from replenish.streaming.daily_demand import current_view, late_rows, start_daily_demand
 
 
 def _events(spark, rows):
@@ -40,6 +40,7 @@ def test_stream_daily_demand_and_late_rows(spark, tmpdir_path):
     v = {(r["date"], r["sku"]): r["qty"] for r in current_view(spark, out).collect()}
     assert v[(dt.date(2024, 1, 13), "8")] == 3.0
     assert (dt.date(2024, 1, 5), "7") not in v
+    assert late_rows(q) == 1
 
 
 def test_batch_form_equals_stream_form(spark):
