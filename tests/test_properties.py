@@ -106,7 +106,7 @@ def test_abc_share_monotone_and_ends_at_one(spark):
     assert {r["abc_class"] for r in out} <= {"A", "B", "C"}
 
 
-def test_salted_top_k_equals_plain_window(spark):
+def test_top_k_per_group_equals_plain_window(spark):
     from replenish.operators.outputs import ranked, top_k_per_group
     rnd = random.Random(11)
     # one hot group holding most rows
@@ -114,7 +114,7 @@ def test_salted_top_k_equals_plain_window(spark):
             for i in range(2000)]
     df = spark.createDataFrame(rows, "g string, id long, v double")
     order = [F.col("v").desc(), F.col("id")]
-    got = {(r["g"], r["rank"], r["id"]) for r in top_k_per_group(df, ["g"], order, 7, salt=8).collect()}
+    got = {(r["g"], r["rank"], r["id"]) for r in top_k_per_group(df, ["g"], order, 7).collect()}
     w = Window.partitionBy("g").orderBy(*order)
     exp = {(r["g"], r["rank"], r["id"]) for r in
            df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 7).collect()}
