@@ -4,6 +4,7 @@ word hashing over byte buffers, fixed-size id bitmaps."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,3 +214,23 @@ def collect_bitmap(df: DataFrame, col: str) -> np.ndarray:
 
 def in_bitmap(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Hash of a row's id and text."""
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` isn't in ``gone`` (key), all columns as they were. Rows that miss the
+    fixed-size bitmap of the keys stay where they are; only the others, all that go among them, are shuffled and joined."""
+    ship(docs.sparkSession)
+    bits = docs.sparkSession.sparkContext.broadcast(collect_bitmap(gone, "key"))
+
+    @F.pandas_udf("boolean")
+    def hit(bit: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits.value, bit.to_numpy()))
+
+    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text"))).withColumn("__hit", hit(bitmap(F.col("__key"))))
+    far = keyed.where("__hit").join(gone.select(F.col("key").alias("__gone")), F.col("__key") == F.col("__gone"), "left_anti")
+    return keyed.where("not __hit").select(docs.columns).unionByName(far.select(docs.columns))

@@ -2,8 +2,8 @@
 
 A token is a run of letters, digits and non-ASCII bytes, lower-cased; its features are the whole token and its proper
 prefixes of ``PREFIXES`` bytes. A feature's weight is its log-odds between toxic and clean labelled documents (document
-frequencies) under a Dirichlet prior drawn from its frequency in the whole corpus, less two standard errors; a token's
-score is its best feature's weight (a fraction of it where the token comes again), or ``-DRIFT`` if none is above zero. A linear-time scan (Ruzzo and Tompa) finds all
+frequencies) under a Dirichlet prior drawn from its frequency in the whole corpus, less two standard errors and a margin; a
+token's score is its best feature's weight (a fraction of it where the token comes again), or ``-DRIFT`` if none is above zero. A linear-time scan (Ruzzo and Tompa) finds all
 maximal-scoring segments of a document. Segment scores of clean texts follow an extreme-value law, P(max > x) = 1 -
 exp(-K n exp(-lambda x)), whose lambda and K are fitted to the clean labelled documents; a segment of score S in n tokens
 is worth lambda S - log(K n) and is significant above zero. The sum over a document's significant segments goes through
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replenish.llm.common import _BYTE, _LOWER, _ODD, mix, ship, slices, stored, text_bytes
+from replenish.llm.common import _BYTE, _LOWER, _ODD, mix, row_key, ship, slices, stored, text_bytes, without
 
 #: Bytes of the prefixes that are features; a token's cost where nothing speaks for toxicity.
 PREFIXES, DRIFT = (4, 5, 6, 7, 8, 9, 10), 0.05
@@ -36,8 +36,9 @@ PREFIXES, DRIFT = (4, 5, 6, 7, 8, 9, 10), 0.05
 LABELS_MOST, FEATURES_MOST, LEAST_TOXIC = 200_000, 200_000, 3
 #: Prior strength in documents, and the uniform part of a feature's prior count.
 PRIOR, UNIFORM = 20.0, 0.25
-#: Standard errors that are taken off a weight.
-ERRORS = 2.0
+#: Standard errors, and log-odds besides, that are taken off a weight: what is but a little commoner in toxic documents (as
+#: they are longer, say) is no evidence however often it has been seen, and clean text has to score below zero on average.
+ERRORS, MARGIN = 2.0, 1.0
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 
@@ -129,11 +130,11 @@ def segments(position: np.ndarray, score: np.ndarray, drift: float) -> list[tupl
 
 
 def _rates(toxic, clean, n_toxic, n_clean, prior):
-    """Log-odds less ERRORS standard errors."""
+    """Log-odds less ERRORS standard errors and the margin."""
     a, b = toxic + prior, clean + prior
     rest_a, rest_b = np.maximum(n_toxic - toxic, 0) + PRIOR, np.maximum(n_clean - clean, 0) + PRIOR
     odds = np.log(a / rest_a) - np.log(b / rest_b)
-    return odds - ERRORS * np.sqrt(1 / a + 1 / b + 1 / rest_a + 1 / rest_b)
+    return odds - ERRORS * np.sqrt(1 / a + 1 / b + 1 / rest_a + 1 / rest_b) - MARGIN
 
 
 def fit_labels(labels: DataFrame) -> DataFrame:
@@ -276,20 +277,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, max(b, 0.0)
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted, n_passages (significant segments); with ``keep``,
-    these columns of ``docs`` as well."""
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, n_passages (significant segments), key (a hash of id
+    and text)."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     taught = stored(fit_labels(labels), "labels")
     model = fit_model(docs.select("doc_id", "text"), taught)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    own = [F.col(c) for c in keep]
     if model is None:
         share = taught.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
         return docs.select("doc_id", held.alias("held_out"), F.lit(float(share)).alias("score"), F.lit(int(share >= THRESHOLD)).alias("predicted"),
-                           F.lit(0).cast("long").alias("n_passages"), *own)
+                           F.lit(0).cast("long").alias("n_passages"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
     known = spark.sparkContext.broadcast(model)
 
     def scan(batches):
@@ -315,10 +315,9 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(n, pa.int64()), pa.array(scores, kind), pa.array(apart, kind)],
                                              [*batch.schema.names[2:], "tokens", "scores", "apart"])
 
-    extra = [c.alias(f"k{i}") for i, c in enumerate(own)]
     rows = (docs.join(F.broadcast(taught.withColumnsRenamed({"id": "__id", "toxic": "__toxic"})), F.col("doc_id") == F.col("__id"), "left")
             .select(F.col("__toxic").alias("label"), F.coalesce(F.col("text"), F.lit("")).alias("t"), F.col("doc_id").alias("id"),
-                    F.col("__toxic").alias("toxic"), *extra))
+                    F.col("__toxic").alias("toxic"), row_key(F.col("doc_id"), F.col("text")).alias("key")))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     found = stored(rows.mapInArrow(scan, f"{kept}, tokens long, scores array<double>, apart array<double>"), "segments")
     # two numbers for each of LABELS_MOST documents at most reach the driver, then two more
@@ -334,15 +333,13 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> Dat
     chance = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * total("scores"))))
     return (found.withColumns({"__score": chance, "__n": F.size(worth("scores")).cast("long")})
             .select(F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
-                    F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__n").alias("n_passages"),
-                    *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]))
+                    F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__n").alias("n_passages"), "key"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, all columns as they were."""
-    names = [f"kept_{i}" for i in range(len(docs.columns))]  # the table's own names may clash with the result's
-    shadow = docs.select("*", *[F.col(c).alias(n) for c, n in zip(docs.columns, names)])
-    return score(shadow, labels, tuple(names)).where("predicted = 0").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    gone = stored(score(docs, labels).where("predicted = 1").select("key").distinct(), "rejected")
+    return without(docs, gone)
 
 
 def passages(docs: DataFrame, model: Model, lam: float, k: float) -> DataFrame:
