@@ -10,7 +10,7 @@ checkpoint."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -31,12 +31,16 @@ def daily_demand_stream(events: DataFrame, watermark: str = "1 day") -> DataFram
 
 def start_daily_demand(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
                        file_glob: str = "events*.parquet", available_now: bool = True, watermark: str = "1 day",
-                       files_per_batch: int = 1000, thresholds: DataFrame | None = None):
+                       files_per_batch: int | None = 1000, thresholds: DataFrame | None = None):
     """Start the stream; with ``thresholds`` (sku, upper) its rows are the
-    days above their fence (E7, a stream-static join) rather than all."""
-    schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{file_glob}").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-              .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
+    days above their fence (E7, a stream-static join) rather than all.
+    Files and folders that match ``file_glob`` are read; without
+    ``files_per_batch`` a micro-batch takes all files there are."""
+    path = f"{source_dir.rstrip('/')}/{file_glob}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(path).observe("drained", F.count_if(_counted()).alias("rows"))
     agg = daily_demand_stream(stream, watermark)
     if thresholds is not None:
         agg = spike_watch_stream(agg, thresholds)
@@ -49,6 +53,23 @@ def start_daily_demand(spark: SparkSession, source_dir: str, out_dir: str, check
     return w.start()
 
 
+def _counted() -> Column:
+    """Events that daily demand counts."""
+    return (F.col("event_type") == "purchase") & F.col("ts").isNotNull()
+
+
+def drain(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint: str, thresholds: DataFrame | None = None) -> None:
+    """Drain the whole events table in one micro-batch: between several the
+    watermark would move and drop rows of files that aren't in event-time
+    order. Fails if the stream counted other rows than a batch read."""
+    q = start_daily_demand(spark, sf_dir, out_dir, checkpoint, files_per_batch=None, thresholds=thresholds)
+    q.awaitTermination()
+    got = sum(p.observedMetrics["drained"]["rows"] for p in q.recentProgress if "drained" in p.observedMetrics)
+    want = spark.read.parquet(f"{sf_dir.rstrip('/')}/events*.parquet").where(_counted()).count()
+    if got != want or late_rows(q):
+        raise RuntimeError(f"{sf_dir}: the stream counted {got} of {want} purchase events and dropped {late_rows(q)} as late")
+
+
 def read_log(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
     """The sink's log; empty only if no batch has written yet."""
     try:
@@ -76,8 +97,7 @@ def drain_daily_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the stream over the events table until drained; return the view."""
     out_dir = scratch_path(spark, "daily-demand")
     ckpt = scratch_path(spark, "daily-demand-ckpt")
-    q = start_daily_demand(spark, sf_dir, out_dir, ckpt)
-    q.awaitTermination()
+    drain(spark, sf_dir, out_dir, ckpt)
     return current_view(spark, out_dir)
 
 
@@ -87,7 +107,7 @@ def drain_spike_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = daily_demand_stream(spark.read.parquet(f"{sf_dir.rstrip('/')}/events*.parquet"))
     out_dir = scratch_path(spark, "spike-watch")
     fences = spike_thresholds(history)
-    start_daily_demand(spark, sf_dir, out_dir, scratch_path(spark, "spike-watch-ckpt"), thresholds=fences).awaitTermination()
+    drain(spark, sf_dir, out_dir, scratch_path(spark, "spike-watch-ckpt"), thresholds=fences)
     log = read_log(spark, out_dir, SPIKE_SCHEMA)
     latest = log.groupBy("day", "sku").agg(F.max_by(F.struct("qty", "upper", "severity"), "batch_id").alias("v"))
     return latest.select(utc_date(F.col("day")).alias("date"), "sku", "v.qty", "v.upper", "v.severity")

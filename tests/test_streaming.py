@@ -92,3 +92,29 @@ def test_spike_watch_runs_as_stream_static_join(spark, tmpdir_path):
     q.awaitTermination()
     got = spark.read.parquet(out).collect()
     assert [(r["sku"], r["qty"], r["severity"]) for r in got] == [("7", 50.0, "High")]
+
+
+def test_drains_read_a_folder_table(spark, tmpdir_path):
+    from replenish.streaming.daily_demand import drain_daily_demand, drain_spike_watch
+    t = dt.datetime(2024, 1, 10, 12, 0)
+    rows = [(i, t + dt.timedelta(days=i), 7, "purchase", 1.0, '{"k": %d}' % (50 if i == 3 else 2)) for i in range(12)]
+    _events(spark, rows).repartition(3).write.parquet(os.path.join(tmpdir_path, "events.parquet"))
+    v = {r["date"]: r["qty"] for r in drain_daily_demand(spark, tmpdir_path).collect()}
+    assert v == {t.date() + dt.timedelta(days=i): 50.0 if i == 3 else 2.0 for i in range(12)}
+    assert [(r["date"], r["qty"]) for r in drain_spike_watch(spark, tmpdir_path).collect()] == [(dt.date(2024, 1, 13), 50.0)]
+
+
+def test_drain_keeps_old_days_behind_a_thousand_newer_files(spark, tmpdir_path):
+    import shutil
+    from replenish.streaming.daily_demand import drain_daily_demand
+    t, src = dt.datetime(2024, 1, 30, 12, 0), os.path.join(tmpdir_path, "src")
+    os.makedirs(src)
+    for name, day in (("new", t), ("old", t - dt.timedelta(days=20))):
+        tmp = os.path.join(tmpdir_path, name)
+        _events(spark, [(1, day, 7, "purchase", 1.0, '{"k": 3}')]).coalesce(1).write.parquet(tmp)
+        part = [n for n in os.listdir(tmp) if n.endswith(".parquet")][0]
+        for i in range(1000 if name == "new" else 1):
+            to = shutil.copy(os.path.join(tmp, part), os.path.join(src, f"events_{name}_{i}.parquet"))
+            os.utime(to, (1.7e9, 1.7e9 + (name == "old")))
+    v = {r["date"]: r["events"] for r in drain_daily_demand(spark, src).collect()}
+    assert v == {dt.date(2024, 1, 30): 1000, dt.date(2024, 1, 10): 1}
