@@ -46,12 +46,16 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_dir(spark: SparkSession, base_dir: str, pattern: str = "*.csv") -> dict[str, DataFrame]:
-    """One table per file of a folder, named by the normalised stem,
-    visited in sorted order. Spark lists the folder (names only, nothing is
-    read), so it may lie in any store."""
+    """One table per file of a folder, or per folder of part files in
+    it, named by the normalised stem, visited in sorted order. Hadoop's file
+    systems list the folder (names only), so it may lie in any store."""
     out = {}
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(base_dir).select("path")
-    for p in sorted(r[0] for r in listed.collect()):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base_dir).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.globStatus(path(base_dir)):
+        raise FileNotFoundError(base_dir)
+    listed = [x.getPath() for x in fs.globStatus(path(base_dir, pattern)) or []]
+    for p in sorted(x.toString() for x in listed if not x.getName().startswith(("_", "."))):
         out[normalize_name(os.path.splitext(os.path.basename(p))[0])] = read_csv(spark, p)
     return out
 

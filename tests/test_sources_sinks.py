@@ -114,3 +114,15 @@ def test_cluster_conf_sizes_partitions():
     from replenish.session import cluster_conf
     c = cluster_conf(100 * 2 ** 40, executors=1000)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
+
+
+def test_load_dir_reads_folders_of_part_files(spark, tmpdir_path):
+    rows = [(str(i), i) for i in range(6)]
+    spark.createDataFrame(rows, "sku string, qty long").repartition(3).write.option("header", True).csv(os.path.join(tmpdir_path, "sales.csv"))
+    with open(os.path.join(tmpdir_path, "stock.csv"), "w") as f:
+        f.write("sku,stock\n1,5\n")
+    with open(os.path.join(tmpdir_path, "_hidden.csv"), "w") as f:
+        f.write("a\n1\n")
+    got = load_dir(spark, tmpdir_path)
+    assert list(got) == ["sales", "stock"] and got["stock"].count() == 1
+    assert sorted((r.sku, int(r.qty)) for r in got["sales"].collect()) == rows
