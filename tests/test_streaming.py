@@ -104,17 +104,19 @@ def test_drains_read_a_folder_table(spark, tmpdir_path):
     assert [(r["date"], r["qty"]) for r in drain_spike_watch(spark, tmpdir_path).collect()] == [(dt.date(2024, 1, 13), 50.0)]
 
 
-def test_drain_keeps_old_days_behind_a_thousand_newer_files(spark, tmpdir_path):
+def test_drain_keeps_old_days_behind_newer_files(spark, tmpdir_path, monkeypatch):
     import shutil
     from replenish.streaming.daily_demand import drain_daily_demand
+    # a stream of one file a batch by default; rows are late from its third batch on
+    monkeypatch.setattr(start_daily_demand, "__defaults__", tuple(1 if x == 1000 else x for x in start_daily_demand.__defaults__))
     t, src = dt.datetime(2024, 1, 30, 12, 0), os.path.join(tmpdir_path, "src")
     os.makedirs(src)
     for name, day in (("new", t), ("old", t - dt.timedelta(days=20))):
         tmp = os.path.join(tmpdir_path, name)
         _events(spark, [(1, day, 7, "purchase", 1.0, '{"k": 3}')]).coalesce(1).write.parquet(tmp)
         part = [n for n in os.listdir(tmp) if n.endswith(".parquet")][0]
-        for i in range(1000 if name == "new" else 1):
+        for i in range(3 if name == "new" else 1):
             to = shutil.copy(os.path.join(tmp, part), os.path.join(src, f"events_{name}_{i}.parquet"))
-            os.utime(to, (1.7e9, 1.7e9 + (name == "old")))
+            os.utime(to, (1.7e9, 1.7e9 + (10 if name == "old" else i)))
     v = {r["date"]: r["events"] for r in drain_daily_demand(spark, src).collect()}
-    assert v == {dt.date(2024, 1, 30): 1000, dt.date(2024, 1, 10): 1}
+    assert v == {dt.date(2024, 1, 30): 3, dt.date(2024, 1, 10): 1}
