@@ -33,5 +33,28 @@ WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
+""",
+    "op11_lexical_search": r"""
+WITH items AS (
+  SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+asked AS (SELECT item, item_id, term, count(*) AS times FROM items GROUP BY ALL),
+docs AS (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+sized AS (SELECT doc, doc_id, terms, len(terms) AS n FROM docs WHERE len(terms) > 0),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM sized),
+held AS (
+  SELECT doc, doc_id, term, n, count(*) AS tf FROM (SELECT doc, doc_id, n, unnest(terms) AS term FROM sized)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, whole GROUP BY term, n_docs),
+scored AS (
+  SELECT item, item_id, doc, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term), whole GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
 """,
 }

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replenish.llm import bpe, chat_format, exact_dedup, fingerprint, ngram_join, packing, suffix_dedup, token_counts, toxicity, url_filter
+from replenish.llm import bpe, chat_format, exact_dedup, fingerprint, lexical_search, mixing, ngram_join, packing, spelling, suffix_dedup, token_counts, toxicity, url_filter
 from replenish.llm.common import table
 
 #: (verdict, host, path)
@@ -70,5 +70,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_url_filter, op4_token_counts, op5_bpe, op6_chat_format,
-                                   op7_fingerprint, op8_toxicity, op9_exact_dedup, op10_packing)}
+                                   op7_fingerprint, op8_toxicity, op9_exact_dedup, op10_packing, op11_lexical_search,
+                                   op12_mixing, op13_spelling)}
