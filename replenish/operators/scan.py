@@ -58,9 +58,11 @@ def running(df: DataFrame, order: Sequence[Column], values: dict[str, tuple[Colu
     prev_w = Window.partitionBy(*segment).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(_PID, *segment, *[aggf[how](f"_t_{name}").over(prev_w).alias(f"_o_{name}")
                                                for name, (_, how) in values.items()])
-    if not segment:
-        offsets = F.broadcast(offsets)
-    out = local.join(offsets, [_PID, *segment], "left")
+    # rows without a segment (null) are a segment too
+    keys = [_PID, *segment]
+    offsets = offsets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_o_{name}" for name in values])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    out = local.join(offsets if segment else F.broadcast(offsets), same, "left").drop(*[f"_k_{k}" for k in keys])
     for name, (_, how) in values.items():
         lv, ov = F.col(f"_l_{name}"), F.col(f"_o_{name}")
         comb = (lv + F.coalesce(ov, F.lit(0))) if how == "sum" else F.greatest(lv, ov)

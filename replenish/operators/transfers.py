@@ -16,9 +16,15 @@ set is ever enumerated.
 when the remainder is below one unit" rule is sequential. Candidate rows
 only (rows with a deficit or a surplus, of SKUs having both) are clustered
 by sku, sorted in planning order and walked once per partition with
-``mapInPandas``: a linear walk with two pointers. A SKU's rows are its
-warehouse positions. It is the model's transfer list; the whole-unit plan
-is an option for SKUs with very many positions."""
+``mapInPandas``: a linear walk with two pointers. A SKU with more than
+``STRETCH`` rows is walked in stretches: its rows are ordered by the
+running sums of their sides (one range-partitioned scan), which brings
+together what can meet, and cut into stretches of ``STRETCH`` rows. Each
+stretch is a task of its own that starts from what the one before left open -
+the two heads with their remainders, and the rows that the lost fractions
+made the other side miss - so no task holds a SKU. The stretches of one SKU
+follow each other (a lost fraction shifts all later meetings), those of
+different SKUs run side by side."""
 
 from __future__ import annotations
 
@@ -30,6 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replenish.operators.scan import running
+from replenish.session import scratch_path
+
+#: Rows of one SKU that one task walks.
+STRETCH = 200_000
 
 TRANSFER_SCHEMA = ("sku string, product string, from_warehouse string, to_warehouse string, "
                    "qty long, unit_cost double, saved_value double")
@@ -127,12 +137,77 @@ def _walk_partitions(batches):
         yield pd.DataFrame(out, columns=_OUT_COLS)
 
 
-def exact_transfers(base: DataFrame) -> DataFrame:
+def _walk_stretch(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One stretch of one SKU with what the stretches before left open: rows
+    (sku, side, lo, amt, ...) to moves, and the rows left open with what
+    remains of them (``to_warehouse`` null)."""
+    pdf = pdf.sort_values("lo", kind="stable")
+    left = {side: pdf[pdf["side"] == side].to_dict("records") for side in (1, 0)}
+    open_, moves = {1: 0, 0: 0}, []
+    needs, gives = left[1], left[0]
+    while open_[1] < len(needs) and open_[0] < len(gives):
+        need, give = needs[open_[1]], gives[open_[0]]
+        q = min(need["amt"], give["amt"])
+        moves.append({**need, "from_warehouse": give["warehouse"], "to_warehouse": need["warehouse"], "qty": int(round(q)),
+                      "saved_value": float(q * need["unit_cost"])})
+        need["amt"] -= q
+        give["amt"] -= q
+        open_[1] += need["amt"] < 1
+        open_[0] += give["amt"] < 1
+    rest = [{**r, "from_warehouse": None, "to_warehouse": None, "qty": 0, "saved_value": 0.0}
+            for side in (1, 0) for r in left[side][open_[side]:]]
+    return pd.DataFrame(moves + rest, columns=[*_STRETCH_COLS, "from_warehouse", "to_warehouse", "qty", "saved_value"])
+
+
+_STRETCH_COLS = ["sku", "side", "lo", "amt", "product", "warehouse", "unit_cost", "last"]
+
+
+def _stretched_transfers(cand: DataFrame, stretch: int) -> DataFrame:
+    """The greedy for SKUs of many rows, stretch by stretch. Every step is
+    written, so a lost executor costs one stretch."""
+    c, spark = F.col, cand.sparkSession
+    need = c("deficit") >= 1
+    sides = cand.where(need | (c("surplus") >= 1)).select(
+        "sku", "product", "warehouse", "unit_cost", "annual_revenue", need.cast("int").alias("side"),
+        F.when(need, c("deficit")).otherwise(c("surplus")).alias("amt"))
+    order = [c("annual_revenue").desc(), c("product"), c("warehouse")]
+    placed = running(sides, order, {"hi": (c("amt"), "sum")}, segment=["sku", "side"]).withColumn("lo", c("hi") - c("amt"))
+    met = running(placed, [c("lo"), c("side")], {"n": (F.lit(1).cast("long"), "sum")}, segment=["sku"])
+    folder = scratch_path(spark, "stretches")
+    cut = met.select("sku", "side", "lo", "amt", "product", "warehouse", "unit_cost", F.floor((c("n") - 1) / stretch).alias("stretch"))
+    cut.write.partitionBy("stretch").parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    lasts = rows.groupBy("sku").agg(F.max("stretch").cast("long").alias("last"))
+    rows = rows.join(lasts, "sku").select(*_STRETCH_COLS, "stretch")
+    kinds = cand.schema
+    schema = ", ".join([f"sku string, side int, lo double, amt double, product {kinds['product'].dataType.simpleString()}",
+                        f"warehouse {kinds['warehouse'].dataType.simpleString()}, unit_cost double, last long",
+                        "from_warehouse string, to_warehouse string, qty long, saved_value double"])
+    carried = None
+    for step in range((lasts.agg(F.max("last")).first()[0] or 0) + 1):
+        now = rows.where(c("stretch") == step).drop("stretch")
+        if carried is not None:
+            now = now.unionByName(carried)
+        (now.groupBy("sku").applyInPandas(_walk_stretch, schema)
+         .write.parquet(f"{folder}/walked/step={step}"))
+        walked = spark.read.schema(schema).parquet(f"{folder}/walked/step={step}")
+        carried = walked.where(c("to_warehouse").isNull() & (c("last") > step)).select(*_STRETCH_COLS)
+    return spark.read.schema(schema).parquet(f"{folder}/walked").where(c("to_warehouse").isNotNull()).select(*_OUT_COLS)
+
+
+def exact_transfers(base: DataFrame, stretch: int = STRETCH) -> DataFrame:
     cand = _sides(base).where((F.col("deficit") > 0) | (F.col("surplus") > 0))
-    ordered = (cand.repartition("sku")
+    # SKUs of many rows: at most one for every ``stretch`` rows of the table
+    large = base.groupBy("sku").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > stretch).select("sku")
+    some = not large.isEmpty()
+    plain = cand.join(large, "sku", "left_anti") if some else cand
+    ordered = (plain.repartition("sku")
                .sortWithinPartitions("sku", F.col("annual_revenue").desc(), "product", "warehouse")
                .select("sku", "warehouse", "deficit", "surplus", "product", "unit_cost"))
-    return ordered.mapInPandas(_walk_partitions, TRANSFER_SCHEMA)
+    moves = ordered.mapInPandas(_walk_partitions, TRANSFER_SCHEMA)
+    if not some:
+        return moves
+    return moves.unionByName(_stretched_transfers(cand.join(large, "sku", "left_semi"), stretch))
 
 
 def transfer_summary(transfers: DataFrame) -> DataFrame:

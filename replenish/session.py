@@ -38,7 +38,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local master
     gets a folder of our own where the setting is absent (tests); on a
-    cluster such a folder would be a different one on every machine."""
+    cluster such a folder would be a different one on every machine. The
+    setting can't be changed in a running session, so that folder is kept by
+    the context alone."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not d:
@@ -47,7 +49,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="replenish-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
