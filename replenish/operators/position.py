@@ -103,30 +103,30 @@ def apply_bom(base: DataFrame, bom: DataFrame, levels: int = 1) -> DataFrame:
     """B1 + B3: components take dependent demand instead of their own.
 
     ``levels=1`` uses the parents' own (pre-override) demand, as the original
-    does; more levels re-run the propagation on the overridden demand."""
-    out = base.withColumn("is_component", F.lit(False))
-    for c in DEMAND_COLS:
-        out = out.withColumn(f"component_{c}", F.lit(0.0))
+    does; more levels re-run the propagation on the overridden demand;
+    ``levels=0`` takes all levels there are (recipes in a cycle raise)."""
+    if levels == 0:
+        from replenish.operators.bom import multilevel_demand
+        return _overridden(base, multilevel_demand(base, bom).drop("low_level_code"))
     cur = base
     for _ in range(max(1, levels)):
-        dep = dependent_demand(cur, bom).withColumnRenamed("component_sku", "sku")
-        j = base.join(dep, "sku", "left")
-        is_comp = F.col("dep_avg_daily_demand").isNotNull()
-        cols = [c for c in base.columns if c not in DEMAND_COLS]
-        cur = j.select(
-            *cols,
-            *[F.when(is_comp, F.col(f"dep_{c}")).otherwise(F.col(c)).alias(c) for c in DEMAND_COLS],
-            is_comp.alias("is_component"),
-            *[F.coalesce(F.col(f"dep_{c}"), F.lit(0.0)).alias(f"component_{c}") for c in DEMAND_COLS],
-        )
-        out = cur
-        cur = cur.drop("is_component", *[f"component_{c}" for c in DEMAND_COLS])
-    return out.withColumnsRenamed({
-        "component_avg_daily_demand": "component_avg_daily_demand",
-        "component_forecast_horizon_qty": "component_forecast_qty",
-        "component_annual_demand_qty": "component_annual_demand",
-        "component_std_daily_demand": "component_std_daily_demand",
-    })
+        out = _overridden(base, dependent_demand(cur, bom).withColumnRenamed("component_sku", "sku"))
+        cur = out.select(base.columns)
+    return out
+
+
+def _overridden(base: DataFrame, dep: DataFrame) -> DataFrame:
+    """Planning rows whose components take the demand of ``dep`` (sku, dep_...)."""
+    is_comp = F.col("dep_avg_daily_demand").isNotNull()
+    cols = [c for c in base.columns if c not in DEMAND_COLS]
+    dependent = lambda c, name: F.coalesce(F.col(f"dep_{c}"), F.lit(0.0)).alias(name)
+    return base.join(dep, "sku", "left").select(
+        *cols,
+        *[F.when(is_comp, F.col(f"dep_{c}")).otherwise(F.col(c)).alias(c) for c in DEMAND_COLS],
+        is_comp.alias("is_component"),
+        *[dependent(c, {"forecast_horizon_qty": "component_forecast_qty", "annual_demand_qty": "component_annual_demand"}.get(c, f"component_{c}"))
+          for c in DEMAND_COLS],
+    )
 
 
 def with_suppliers(base: DataFrame, suppliers: DataFrame, delay_days: float = 0.0) -> DataFrame:

@@ -24,7 +24,7 @@ class PlanParams:
     match: str = "compat"
     # Seed the literal demo bill of materials when none is given.
     demo_bom: bool = False
-    # Levels of dependent-demand propagation through the BOM (1 = original).
+    # Levels of dependent-demand propagation through the BOM (1 = original, 0 = all).
     bom_levels: int = 1
     # Alert caps by group; None means no cap (the original keeps 40 / 20 / 20,
     # see ``functions.planning.ALERT_CAPS``).
