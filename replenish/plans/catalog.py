@@ -211,6 +211,14 @@ def bom_dependent_demand(spark, sf_dir):
     return finalize(dependent_demand(stock_demand(m.inventory, m.stats()), m.bom))
 
 
+@query("bom_multilevel_demand")
+def bom_multilevel_demand(spark, sf_dir):
+    from replenish.operators.bom import multilevel_demand
+    from replenish.operators.position import stock_demand
+    m = model(spark, sf_dir)
+    return finalize(multilevel_demand(stock_demand(m.inventory, m.stats()), m.bom))
+
+
 @query("bom_explosion")
 def bom_explosion(spark, sf_dir):
     from replenish.operators.position import bom_explosion as be
@@ -532,8 +540,8 @@ def cost_curves_penalty(spark, sf_dir):
 
 @query("streaming_spike_watch")
 def streaming_spike_watch(spark, sf_dir):
-    """Days of the drained purchase stream above the SKU's upper fence
-    (Q3 + 1.5 IQR of its daily history, SKUs with >= 10 days)."""
+    """Closed days of the drained purchase stream above the SKU's D11
+    fence (SKUs with >= 10 days), emitted in append mode."""
     from replenish.streaming.daily_demand import drain_spike_watch
     return finalize(drain_spike_watch(spark, sf_dir))
 

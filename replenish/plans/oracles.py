@@ -159,6 +159,19 @@ ORACLES["bom_dependent_demand"] = with_model(f"""
 SELECT sku AS component_sku, {r('dep_avg')} AS dep_avg_daily_demand, {r('dep_std')} AS dep_std_daily_demand,
        {r('dep_fc')} AS dep_forecast_horizon_qty, {r('dep_ann')} AS dep_annual_demand_qty FROM dep""")
 
+ORACLES["bom_multilevel_demand"] = "WITH RECURSIVE " + model_sql() + f""",
+recipe AS (SELECT parent_sku, component_sku, qty_required FROM bom WHERE parent_sku IS NOT NULL AND component_sku IS NOT NULL),
+path AS (
+  SELECT component_sku AS sku, 1 AS level, coalesce(p_avg, 0.0) * qty_required AS a, coalesce(p_std, 0.0) * qty_required AS s,
+         coalesce(p_fc, 0.0) * qty_required AS f, coalesce(p_ann, 0.0) * qty_required AS y
+  FROM recipe LEFT JOIN parent USING (parent_sku) WHERE parent_sku NOT IN (SELECT component_sku FROM recipe)
+  UNION ALL
+  SELECT component_sku, level + 1, a * qty_required, s * qty_required, f * qty_required, y * qty_required
+  FROM path JOIN recipe ON parent_sku = sku)
+SELECT sku, CAST(max(level) AS INT) AS low_level_code, {r('sum(a)')} AS dep_avg_daily_demand, {r('sum(s)')} AS dep_std_daily_demand,
+       {r('sum(f)')} AS dep_forecast_horizon_qty, {r('sum(y)')} AS dep_annual_demand_qty
+FROM path GROUP BY sku"""
+
 ORACLES["bom_explosion"] = with_model_ctes(FIRST_ROWS, f"""
 SELECT b.parent_sku, b.component_sku, b.component_name, {r('b.qty_required')} AS qty_required,
        c.warehouse AS component_warehouse, {r('coalesce(c.stock, 0.0)')} AS stock,
@@ -668,11 +681,13 @@ ORACLES["streaming_spike_watch"] = f"""
 WITH d AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS date, CAST(user_id AS VARCHAR) AS sku,
                   sum(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS qty
            FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
-f AS (SELECT sku, quantile_cont(qty, 0.75) + (quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25)) * {dbl(1.5)} AS upper
-      FROM d GROUP BY sku HAVING count(*) >= 10)
+f AS (SELECT sku, quantile_cont(qty, 0.75) + (quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25)) * {dbl(1.5)} AS upper,
+             avg(qty) + stddev_samp(qty) * 2 AS two_sigma
+      FROM d GROUP BY sku HAVING count(*) >= 10),
+closed AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events WHERE event_type = 'purchase')
 SELECT d.date, d.sku, {r('d.qty')} AS qty, {r('f.upper')} AS upper,
        CASE WHEN d.qty < f.upper * {dbl(1.8)} THEN 'Medium' ELSE 'High' END AS severity
-FROM d JOIN f ON d.sku = f.sku WHERE d.qty > f.upper"""
+FROM d JOIN f ON d.sku = f.sku, closed WHERE d.qty > greatest(f.upper, f.two_sigma) AND d.date + INTERVAL 1 DAY <= closed.mark"""
 
 # ---- listings ------------------------------------------------------------
 _COVER = r("CASE WHEN isinf(days_of_cover) OR isnan(days_of_cover) THEN NULL ELSE days_of_cover END")
