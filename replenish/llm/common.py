@@ -3,6 +3,9 @@ word hashing over byte buffers, fixed-size id bitmaps."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +21,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_open: ContextVar[tuple] = ContextVar("open", default=())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder below the shared checkpoint folder and read it back: lineage ends here and a
-    lost executor costs a re-read. The folder has to live as long as results that read it."""
+    lost executor costs a re-read. The folder has to live as long as results that read it (see ``passing``)."""
     spark = df.sparkSession
-    path = scratch_path(spark, f"llm-{name}") + "/t"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_path(spark, f"llm-{name}")
+    df.write.parquet(f"{path}/t")
+    out = spark.read.schema(df.schema).parquet(f"{path}/t")
+    out.scratch = path
+    if scopes := _open.get():
+        scopes[-1].append(out)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the folders of ``stored`` tables that nothing reads any more."""
+    for t in tables:
+        if path := t.__dict__.pop("scratch", None):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@contextmanager
+def passing():
+    """Tables ``stored`` inside are deleted at the end, but for those given to the function that this yields."""
+    own, outer = [], _open.get()
+    token = _open.set((*outer, own))
+
+    def keep(table: DataFrame) -> DataFrame:
+        own[:] = [t for t in own if t is not table]
+        if outer:
+            outer[-1].append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _open.reset(token)
+        dropped(*own)
 
 
 _shipped: set[str] = set()
@@ -75,6 +112,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks every node to its smallest neighbour (a combinable minimum, so a hub is pre-aggregated before the
     shuffle), flattens the trees by pointer jumping and contracts the edges to the roots. Every tree holds two nodes at
     least, so the number of rounds is logarithmic. Only emptiness tests reach the driver."""
+    with passing() as keep:
+        return keep(_components(edges))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     e = stored(edges.where(F.col("u") != F.col("v"))
                .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     found = None
@@ -88,19 +130,23 @@ def components(edges: DataFrame) -> DataFrame:
             q = stored(p.join(up, p["root"] == up["mid"], "left")
                        .select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")),
                        "jumps")
-            p = q.select("node", "root")
+            before, p = p, q
             if q.where("moved").isEmpty():
                 break
+            dropped(before)
+        p = p.select("node", "root")
         if found is None:
             found = p
         else:
             nxt = p.select(F.col("node").alias("mid"), F.col("root").alias("top"))
             found = found.join(nxt, found["root"] == nxt["mid"], "left").select("node", F.coalesce("top", "root").alias("root"))
         pu, pv = p.toDF("u", "ru"), p.toDF("v", "rv")
+        last = e
         e = stored(e.join(pu, "u").join(pv, "v").where("ru != rv")
                    .select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
+        dropped(last)
     if found is None:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        found = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stored(found, "components")
 
 
@@ -231,6 +277,8 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     def hit(bit: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(bits.value, bit.to_numpy()))
 
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text"))).withColumn("__hit", hit(bitmap(F.col("__key"))))
-    far = keyed.where("__hit").join(gone.select(F.col("key").alias("__gone")), F.col("__key") == F.col("__gone"), "left_anti")
-    return keyed.where("not __hit").select(docs.columns).unionByName(far.select(docs.columns))
+    # the input travels as one column, so its own columns may have any name
+    keyed = docs.select(F.struct("*").alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    keyed = keyed.withColumn("hit", hit(bitmap(F.col("key"))))
+    far = keyed.where("hit").join(gone.select("key"), "key", "left_anti")
+    return keyed.where("not hit").select("row.*").unionByName(far.select("row.*"))

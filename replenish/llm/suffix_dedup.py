@@ -11,8 +11,11 @@
    an interval are reported, not neighbours alone.
 4. Spans are merged per text. A text that occurs more than once is repeated as a whole.
 
-A seed with more than ``GROUP_MOST`` contexts isn't given to one task: its windows are hashed one by one (128 bits) and
-counted by a plain aggregation, which splits and combines map-side; the result is the same.
+A group of more than ``GROUP_MOST`` contexts isn't given to one task. Its most frequent context becomes the reference, all
+others are compared with it where they lie (salted), which finds every repeat that stays within what they share with it. A
+longer one holds the first byte to the right, or to the left, in which the context leaves the reference, and so do all its
+occurrences: the contexts go on to the groups of those that leave it there with the same byte (the subtrees that branch off
+this path of the interval tree), until all groups are small.
 
 Defined results: a null text is empty; texts shorter than ``span`` have no repeats; matches never cross texts; repeated
 rows are occurrences of one text; an empty table gives an empty result; columns other than (doc_id, text) never matter
@@ -24,12 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replenish.llm.common import bitmap, collect_bitmap, in_bitmap, mix, ship, slices, split_join, stored, text_bytes
+from replenish.llm.common import bitmap, collect_bitmap, dropped, in_bitmap, mix, passing, ship, slices, split_join, stored, text_bytes
 
 #: Bytes of a repeated string; of an anchor's seed.
 SPAN, SEED = 200, 32
-#: Contexts of a seed that one task may take.
-GROUP_MOST = 100_000
+#: Contexts of a group that one task takes at once; tasks that share a larger group's comparisons.
+GROUP_MOST, SALTS = 50_000, 256
 
 _BASE = np.uint64(0xA0761D6478BD642F)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -216,23 +219,83 @@ def _group_spans(batches, span: int):
         yield spans(held.combine_chunks())
 
 
-def _hashed_spans(contexts: DataFrame, span: int) -> DataFrame:
-    """Spans of seeds with very many contexts: their windows' 128-bit hashes, counted by a plain aggregation."""
+def _leave(batches, span: int):
+    """Contexts with their group's reference, to spans (digest, first, end) and contexts in the groups that branch off. A
+    context without a reference is in a small group and passes."""
     import pyarrow as pa
+    import xxhash
 
-    def windows(batches):
-        import xxhash
+    columns = ["seed", "digest", "place", "right", "left", "small", "first", "end"]
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64())
 
-        for batch in batches:
-            for s, d, p, right, left in zip(*[c.to_pylist() for c in batch.columns]):
-                whole = left[::-1] + right
-                rows = [(s, d, p - len(left) + i, xxhash.xxh3_128_digest(whole[i:i + span]), len(left) - i) for i in range(len(whole) - span + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (
-                    pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()))], ["seed", "digest", "first", "hash", "offset"])
+    def branch(seed: int, side: bytes, path: bytes) -> int:
+        h = xxhash.xxh64_intdigest(side + path, seed % (1 << 64))
+        return h - (1 << 64) if h >> 63 else h
 
-    rows = contexts.mapInArrow(windows, "seed long, digest binary, first long, hash binary, offset long")
-    many = rows.groupBy("seed", "offset", "hash").agg(F.count("*").alias("n")).where("n > 1").select("seed", "offset", "hash")
-    return rows.join(many, ["seed", "offset", "hash"], "left_semi").select("digest", "first", (F.col("first") + span).alias("end"))
+    for batch in batches:
+        seeds, digests, places, rights, lefts, refs = (c.to_pylist() for c in batch.columns)
+        out, told = [], set()
+        for k in range(0, len(seeds), 4096):
+            own = [i for i in range(k, min(k + 4096, len(seeds))) if refs[i] is not None]
+            agree = {}
+            if own:
+                both = []
+                for mine, name in ((lefts, "left"), (rights, "right")):
+                    width = max(1, max(max(len(mine[i]), len(refs[i][name])) for i in own))
+                    (a, la), (b, lb) = matrix([mine[i] for i in own], width), matrix([refs[i][name] for i in own], width)
+                    both.append(common_prefix(a, b, la, lb).tolist())
+                agree = dict(zip(own, zip(*both)))
+            for i in range(k, min(k + 4096, len(seeds))):
+                seed, d, p, right, left, ref = seeds[i], digests[i], places[i], rights[i], lefts[i], refs[i]
+                if ref is None:
+                    out.append((seed, d, p, right, left, True, None, None))
+                    continue
+                if (d, p) == (ref["digest"], ref["place"]):
+                    continue
+                l, r = agree[i]
+                if l + r >= span:
+                    out.append((None, d, None, None, None, None, p - l, p + r))
+                    if (seed, l, r) not in told:
+                        told.add((seed, l, r))
+                        out.append((None, ref["digest"], None, None, None, None, ref["place"] - l, ref["place"] + r))
+                if r < len(right):
+                    out.append((branch(seed, b">", right[:r + 1]), d, p, right, left, False, None, None))
+                if l < len(left):
+                    out.append((branch(seed, b"<", left[:l + 1]), d, p, right, left, False, None, None))
+            if len(out) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], columns)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], columns)
+
+
+def _split_large(rows: DataFrame, span: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts (seed, digest, place, right, left) to the same in groups of ``most`` at most, and the spans (digest, first,
+    end) found on the way."""
+    small, spans = [], []
+    while True:
+        same = rows.groupBy("seed", F.xxhash64("right", "left").alias("h")).agg(
+            F.count("*").alias("n"), F.min(F.struct("digest", "place", "right", "left")).alias("ref"))
+        large = stored(same.groupBy("seed").agg(F.sum("n").alias("size"), F.max_by("ref", "n").alias("ref")).where(F.col("size") > most)
+                       .select("seed", "ref"), "large")
+        if large.isEmpty():
+            small.append(rows)
+            break
+        refs = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("digest", "place"), F.lit(SALTS)).cast("int"))
+        met = stored(salted.join(refs, ["seed", "salt"], "left").select("seed", "digest", "place", "right", "left", "ref")
+                     .mapInArrow(lambda b: _leave(b, span), "seed long, digest binary, place long, right binary, left binary, small boolean, first long, end long"), "branches")
+        dropped(rows)
+        spans.append(met.where("first is not null").select("digest", "first", "end").distinct())
+        small.append(met.where("small").select("seed", "digest", "place", "right", "left"))
+        rows = stored(met.where("not small").select("seed", "digest", "place", "right", "left"), "contexts")
+    found = spans[0] if spans else rows.limit(0).select("digest", F.col("place").alias("first"), F.col("place").alias("end"))
+    for s in spans[1:]:
+        found = found.union(s)
+    whole = small[0]
+    for s in small[1:]:
+        whole = whole.union(s)
+    return whole, found
 
 
 def _pick(batches, span: int, seed: int):
@@ -296,9 +359,13 @@ def _texts_of(docs: DataFrame, digests: DataFrame) -> DataFrame:
 def repeat_spans(docs: DataFrame, span: int = SPAN, seed: int = SEED, group_most: int = GROUP_MOST) -> DataFrame:
     """(digest, spans): the [first, end) byte ranges, overlapping and in no order, that cover the repeated strings of
     every distinct text that has some. Texts that occur more than once are repeated as a whole, which isn't told here."""
-    spark = docs.sparkSession
-    ship(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship(docs.sparkSession)
+    with passing() as keep:
+        return keep(_repeat_spans(docs, span, seed, group_most))
+
+
+def _repeat_spans(docs: DataFrame, span: int, seed: int, group_most: int) -> DataFrame:
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
     spots = stored(docs.where(F.octet_length("text") >= span).select(_digest(text).alias("digest"), "text")
                    .mapInArrow(lambda b: _pick(b, span, seed), "seed long, digest binary, place long"), "anchors")
@@ -307,9 +374,12 @@ def repeat_spans(docs: DataFrame, span: int = SPAN, seed: int = SEED, group_most
     seeds = stored(spots.select("seed", spot.alias("spot")).groupBy("seed")
                    .agg(F.min("spot").alias("a"), F.max("spot").alias("b"), F.count("*").alias("n")).where("a != b").select("seed", "n"), "seeds")
     hot = seeds.orderBy(F.desc("n")).limit(1000).where(F.col("n") > 5_000)
+    # n counts anchors once a task, so it is at least the number of a seed's contexts
     met = split_join(spots, seeds, "seed", hot).where("n is not null").select("digest", F.struct("seed", "place").alias("spot"), (F.col("n") > group_most).alias("big"))
     picked = stored(met.groupBy("digest").agg(F.collect_set(F.when(~F.col("big"), F.col("spot"))).alias("spots"),
                                               F.collect_set(F.when(F.col("big"), F.col("spot"))).alias("big")), "picked")
+    some_large = not seeds.where(F.col("n") > group_most).isEmpty()
+    dropped(spots, seeds)
     texts = _texts_of(docs, picked)
     kinds = "seed long, digest binary, place long, right binary, left binary"
 
@@ -317,11 +387,14 @@ def repeat_spans(docs: DataFrame, span: int = SPAN, seed: int = SEED, group_most
         mine = picked.where(F.size(which) > 0).select("digest", F.col(which).alias("spots"))
         return texts.join(mine, "digest").select("digest", "text", "spots").mapInArrow(lambda b: _cut(b, span, seed), kinds)
 
-    found = (contexts("spots").repartition(parts, "seed").sortWithinPartitions("seed")
+    rows, found = contexts("spots"), None
+    if some_large:
+        large, found = _split_large(stored(contexts("big"), "contexts"), span, group_most)
+        rows = rows.union(large)
+    spans = (rows.repartition(parts, "seed").sortWithinPartitions("seed")
              .mapInArrow(lambda b: _group_spans(b, span), "digest binary, first long, end long"))
-    if not seeds.where(F.col("n") > group_most).isEmpty():
-        found = found.union(_hashed_spans(contexts("big"), span))
-    return stored(found.groupBy("digest").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
+    spans = spans if found is None else spans.union(found)
+    return stored(spans.groupBy("digest").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -403,12 +476,11 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
         raw = text.encode()
         return kept_bytes(raw, inward(raw, merged(spans))).decode()
 
-    own = docs.withColumn("__digest", _digest(F.coalesce(F.col("text"), F.lit(""))))
+    # the input travels as one column, so its own columns may have any name
+    own = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"), _digest(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
     copies = (docs.select(_digest(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), F.octet_length("text").alias("n"))
               .groupBy("digest").agg(F.count("*").alias("c"), F.max("n").alias("n")).where((F.col("c") > 1) & (F.col("n") >= span)))
     spans = (repeat_spans(docs.select("doc_id", "text"), span).join(copies.select("digest", "c"), "digest", "full")
-             .select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans"), F.col("c").isNotNull().alias("__whole")))
-    text = F.when(F.col("__whole"), F.lit("")).otherwise(kept(F.col("text"), F.col("__spans")))
-    # a table's extra columns may have any name, so they are carried by position
-    out = own.join(spans, "__digest", "left").withColumn("__text", text)
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+             .select("digest", "spans", F.col("c").isNotNull().alias("whole")))
+    text = F.when(F.col("whole"), F.lit("")).otherwise(kept(F.col("t"), F.col("spans")))
+    return own.join(spans, "digest", "left").select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

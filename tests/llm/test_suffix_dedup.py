@@ -53,7 +53,7 @@ def test_table_against_brute_force(spark, small):
 
 @pytest.mark.parametrize("most", [100_000, 5])
 def test_tricky_texts(make_docs, monkeypatch, most):
-    """With ``most`` = 5 large groups of contexts take the hashed way."""
+    """With ``most`` = 5 large groups of contexts are split along their references."""
     monkeypatch.setattr(S.repeat_spans, "__defaults__", (S.SPAN, S.SEED, most))
     texts = tricky(random.Random(11))
     rows = [*enumerate(texts), (None, texts[5]), (3, texts[3]), (4, "same id, other text")]
@@ -61,6 +61,32 @@ def test_tricky_texts(make_docs, monkeypatch, most):
     assert run(df) == brute(rows)
 
 
+@pytest.mark.parametrize("most", [100_000, 7])
+def test_many_near_copies(make_docs, monkeypatch, most):
+    """One text copied with edits: every anchor's group is large, and repeats end at different places."""
+    monkeypatch.setattr(S.repeat_spans, "__defaults__", (S.SPAN, S.SEED, most))
+    rng = random.Random(21)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for at in rng.sample(range(1500), rng.choice([0, 2, 6, 12])):
+            t[at] = rng.choice("XYZ")
+        texts.append("".join(t[rng.randrange(100):1500 - rng.randrange(100)]))
+    rows = [*enumerate(texts), (500, texts[0]), (501, base + base)]
+    assert run(make_docs(rows)) == brute(rows)
+
+
+def test_helper_names_as_columns(make_docs):
+    rows = [*enumerate(tricky(random.Random(2))[:12]), (99, "x" * 400)]
+    names = ["__digest", "__spans", "__text", "__whole", "digest", "spans", "whole", "row", "t", "end", "first"]
+    df = make_docs(rows).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    out = S.remove_repeats(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names)
+
+
 def test_empty_table(make_docs):
     assert run(make_docs([])) == []
 
