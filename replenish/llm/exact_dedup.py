@@ -4,7 +4,8 @@ Texts are equal when they are identical after every run of blanks became one spa
 text. A Misra-Gries summary (Spark's frequent-items sketch ``approx_top_k``, one per hash bucket of digests, so that no
 single task merges all of them) names the candidates for frequent digests. Their groups are counted exactly, and the
 verified winners - ``BUCKETS * PER_BUCKET`` rows at most - are broadcast: copies of a winner are recognised where they
-are read and never move. All other digests, none of which can be frequent, take an ordinary shuffle.
+are read and never move. All other digests take an ordinary shuffle; a sketch of ``COUNTERS`` counters may miss a digest
+that has up to about one in ``COUNTERS`` of a bucket's rows, never a more frequent one.
 
 Defined results: a null text is an empty text; a null doc_id sorts after all others; of rows with the same smallest
 doc_id exactly one stays; an empty table gives an empty result; columns other than (doc_id, text) never matter here.
@@ -66,12 +67,12 @@ def label_copies(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
 def drop_copies(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were. Copies of a heavy digest are dropped map-side; of the
     others Spark keeps one row per digest and task before the shuffle (a rank limit below the window)."""
-    rows = docs.withColumns({"__row": F.monotonically_increasing_id(), "__digest": digest(F.col("text"))})
-    winners = stored(heavy_digests(rows.select("doc_id", F.col("__row").alias("row"), F.col("__digest").alias("text_sha256")), heavy),
-                     "winners").select(*[F.col(c).alias(f"__{c}") for c in ("text_sha256", "keep_id", "keep_row", "n_ties")])
-    marked = rows.join(F.broadcast(winners), F.col("__digest") == F.col("__text_sha256"), "left")
-    one = F.col("doc_id").eqNullSafe(F.col("__keep_id")) & ((F.col("__n_ties") == 1) | (F.col("__row") == F.col("__keep_row")))
-    first = Window.partitionBy("__digest").orderBy(F.col("doc_id").asc_nulls_last(), "__row")
-    rest = (rows.join(F.broadcast(winners), F.col("__digest") == F.col("__text_sha256"), "left_anti")
-            .withColumn("__n", F.row_number().over(first)).where("__n = 1"))
-    return marked.where(F.col("__text_sha256").isNotNull() & one).select(docs.columns).unionByName(rest.select(docs.columns))
+    # the input travels as one column, so its own columns may have any name
+    rows = docs.select(F.struct("*").alias("input"), "doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("text_sha256"))
+    winners = stored(heavy_digests(rows.drop("input"), heavy), "winners").select("text_sha256", "keep_id", "keep_row", "n_ties")
+    one = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ((F.col("n_ties") == 1) | (F.col("row") == F.col("keep_row")))
+    hot = rows.join(F.broadcast(winners), "text_sha256").where(one)
+    first = Window.partitionBy("text_sha256").orderBy(F.col("doc_id").asc_nulls_last(), "row")
+    rest = (rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+            .withColumn("n", F.row_number().over(first)).where("n = 1"))
+    return hot.select("input.*").unionByName(rest.select("input.*"))

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replenish.llm.common import _BYTE, _LOWER, _ODD, mix, row_key, ship, slices, stored, text_bytes, without
+from replenish.llm.common import _BYTE, _LOWER, _ODD, mix, passing, row_key, ship, slices, stored, text_bytes, without
 
 #: Bytes of the prefixes that are features; a token's cost where nothing speaks for toxicity.
 PREFIXES, DRIFT = (4, 5, 6, 7, 8, 9, 10), 0.05
@@ -338,7 +338,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, all columns as they were."""
-    gone = stored(score(docs, labels).where("predicted = 1").select("key").distinct(), "rejected")
+    with passing() as keep:
+        gone = keep(stored(score(docs, labels).where("predicted = 1").select("key").distinct(), "rejected"))
     return without(docs, gone)
 
 

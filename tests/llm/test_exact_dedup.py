@@ -36,11 +36,14 @@ def test_against_brute_force(make_docs, heavy):
 
 @pytest.mark.parametrize("heavy", [500, 2])
 def test_kept_rows(make_docs, heavy):
-    df = make_docs(ROWS).withColumn("__n", F.lit(1)) if heavy == 2 else make_docs(ROWS)
-    kept = E.drop_copies(df.drop("__n").withColumn("digest", F.lit(7)), heavy)
+    names = ["__n", "__row", "__digest", "__keep_id", "__text_sha256", "digest", "row", "n", "keep_id", "keep_row", "n_ties", "text_sha256", "input", "bucket"]
+    df = make_docs(ROWS).withColumns({c: F.concat_ws(":", F.lit(c), F.col("doc_id")) for c in names})
+    kept = E.drop_copies(df, heavy)
     want = sorted(((i, t) for (i, t, *_), in zip([(i, h) for i, _, _, k, h in brute(ROWS) if k])), key=str)
-    got = sorted(((r.doc_id, hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "").encode()).hexdigest()) for r in kept.collect()), key=str)
-    assert got == want and kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "digest"]
+    rows = kept.collect()
+    got = sorted(((r.doc_id, hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "").encode()).hexdigest()) for r in rows), key=str)
+    assert got == want and kept.columns == df.columns
+    assert all(r[c] == (c if r.doc_id is None else f"{c}:{r.doc_id}") for r in rows for c in names)
 
 
 def test_heavy_hitters_are_found_and_counted(spark):
