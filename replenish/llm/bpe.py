@@ -94,20 +94,16 @@ class Scheme:
         parts[-1] += self.end
         if len(parts) > 256:
             return [self.vocabulary[p] for p in _merge_long(parts, self.ranks)]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, 1 << 60))
-            if best not in ranks:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == best[0] and parts[i + 1] == best[1]:
-                    out.append(best[0] + best[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        rank, none = self.ranks.get, 1 << 60
+        order = [rank(p, none) for p in zip(parts, parts[1:])]  # of each neighbouring pair
+        while order and (least := min(order)) < none:
+            i = order.index(least)
+            parts[i] += parts.pop(i + 1)
+            del order[i]
+            if i:
+                order[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(order):
+                order[i] = rank((parts[i], parts[i + 1]), none)
         return [self.vocabulary[p] for p in parts]
 
     def decode(self, ids: list[int]) -> str:
@@ -247,20 +243,28 @@ class Encoder:
         encoder = self
 
         class Memo(dict):
+            """Ids of a word joined by spaces; ``decoded`` holds the decoded strings of the same words."""
+
             def __missing__(self, word):
                 if len(self) >= encoder.most:
                     self.clear()
-                got = self[word] = encoder.word(word)
+                    encoder.decoded.clear()
+                got, encoder.decoded[word] = encoder.word(word)
+                self[word] = got
                 return got
 
-        self.memo = Memo()
+        class Decoded(dict):
+            def __missing__(self, word):  # the memo was cleared after the word's ids were looked up
+                return encoder.word(word)[1]
+
+        self.memo, self.decoded = Memo(), Decoded()
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by spaces, decoded string)"""
+    def word(self, word: str) -> tuple[str, str]:
+        """(ids joined by spaces, decoded string)"""
         ids = self.lexicon.find(word.encode()) if self.lexicon else None
         if ids is None:
             ids = self.scheme.merge(word)
-        return len(ids), " ".join(map(str, ids)), self.scheme.decode(ids)
+        return " ".join(map(str, ids)), self.scheme.decode(ids)
 
     def words(self, text: str):
         """Lists of the words of a text without special tokens."""
@@ -276,28 +280,33 @@ class Encoder:
         yield from pieces_of(self.cut, text)
 
     def parts(self, text: str):
-        """Runs of looked-up words of a text, in order."""
+        """(ids, decoded) of runs of words of a text, in order, each joined by spaces."""
         at = 0
         for m in self.special.finditer(text) if self.special else ():
-            yield from ([self.memo[w] for w in some] for some in self.words(text[at:m.start()]))
+            yield from self.looked_up(text[at:m.start()])
             i = self.scheme.special[m.group()]
-            yield [(1, str(i), self.scheme.strings[i])]
+            yield str(i), self.scheme.strings[i]
             at = m.end()
-        yield from ([self.memo[w] for w in some] for some in self.words(text[at:] if at else text))
+        yield from self.looked_up(text[at:] if at else text)
+
+    def looked_up(self, text: str):
+        ids, decoded = self.memo.__getitem__, self.decoded.__getitem__
+        for some in self.words(text):
+            if some:
+                yield " ".join(map(ids, some)), " ".join(map(decoded, some))
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """(ids, sha256 of the ids joined by spaces, sha256 of the decoded text)"""
         n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-        for some in self.parts(text):
-            if some:
-                gap = b" " if n else b""
-                ids.update(gap + " ".join([x[1] for x in some]).encode())
-                decoded.update(gap + " ".join([x[2] for x in some]).encode())
-                n += sum([x[0] for x in some])
+        for numbers, strings in self.parts(text):
+            gap = " " if n else ""
+            ids.update((gap + numbers).encode())
+            decoded.update((gap + strings).encode())
+            n += numbers.count(" ") + 1
         return n, ids.hexdigest(), decoded.hexdigest()
 
     def ids(self, text: str) -> list[int]:
-        return [int(i) for some in self.parts(text) for x in some for i in x[1].split(" ")]
+        return [int(i) for numbers, _ in self.parts(text) for i in numbers.split(" ")]
 
 
 def frequent_words(docs: DataFrame, scheme: Scheme, most: int = LEXICON) -> list[str]:
