@@ -1,24 +1,27 @@
 """Chat formatting by schema fingerprints.
 
 Records come as JSON in several layouts (one turn, a message list, from/value pairs, prompt and completion,
-instruction and output). Each record is projected to the fields that any layout knows (``FIELDS``), its nested field
-paths are read off as a type string and hashed; the hash selects one declarative mapping from ``LAYOUTS`` to canonical
-turns (turn, role, text). Records whose paths are no layout's yield no turns and are counted by ``fingerprints``.
+instruction and output). Each record is projected to the fields that any layout knows (``FIELDS``) and its nested field
+paths are read off as a type string, which is hashed. Of these, the paths that tell layouts apart (``SELECTING``) are hashed
+too, and that fingerprint selects one declarative mapping to canonical turns (turn, role, text); all other fields are
+optional or surplus and never keep a record from its layout. A record whose paths select no layout, or two that exclude
+each other, comes out as one row with a null layout and no turn; ``fingerprints`` counts records by their paths.
 
 Template: a turn is ``<s>role\\nbody</s>``; the body is the text, between ``[INST] `` and `` [/INST]`` for every role but
 assistant. The control strings ``<s> </s> [INST] [/INST]`` inside a text get a backslash after their first character
 (one more if some are there), which ``unescape`` takes away; a role has ``% < line feed`` percent-encoded. The loss mask
 lists the spans (start, len; code points from 0) of the assistants' texts.
 
-Defined results: null text and null role are empty; a null conv_id is one conversation; turns are ordered by (turn,
+Defined results: null text and null role are empty; a null or malformed record, one without known fields and one whose
+lists are empty or hold no field has a null layout (the empty object is a turn: what a
+writer that drops nulls leaves of one without any value), and a conversation of such records alone is formatted as the empty text;
+null entries of a list are left out; a null conv_id is one conversation; turns are ordered by (turn,
 role, text), null first, so repeated rows stay and ties are stable; an empty table gives an empty result; columns other
 than the named ones never matter. A conversation is one output row by nature, so it has to fit in one. Only DataFrame
 and SQL functions are used."""
 
 from __future__ import annotations
 
-from itertools import chain, combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,23 +45,32 @@ def _given(*turns: tuple[str, Column]) -> Column:
     return F.filter(made, lambda x: x.isNotNull())
 
 
-def _layouts() -> list[tuple[str, list[str], list[str], Column]]:
-    """(name, needed field paths, optional field paths, mapping to turns)."""
+#: The field paths that select a layout, as patterns of the type string.
+SELECTING = {"messages": r"[<,] ?messages: ARRAY<OBJECT<\w", "from_value": r"[<,] ?conversations: ARRAY<OBJECT<\w",
+             "prompt": r"[<,] ?prompt[,>]", "instruction": r"[<,] ?instruction[,>]"}
+#: The fields of a single turn; one of them selects it, even if it is null.
+TURN = ("role", "text", "turn")
+
+
+def _mappings() -> dict[str, Column]:
+    """Layout to the mapping of its records to turns."""
     r = lambda f: F.col(f"record.{f}")
     sender = {"human": "user", "gpt": "assistant"}
     name = lambda c: F.coalesce(*[F.when(c == k, v) for k, v in sender.items()], c)
     asked = F.when(F.coalesce(r("input"), F.lit("")) == "", r("instruction")).otherwise(F.concat(r("instruction"), F.lit("\n"), r("input")))
-    return [
-        ("turn", [], ["role", "text", "turn"], F.array(_turn(r("turn"), r("role"), r("text")))),
-        ("messages", ["messages: ARRAY<OBJECT<content, role>>"], [],
-         F.transform(r("messages"), lambda m, i: _turn(i, m["role"], m["content"]))),
-        ("from_value", ["conversations: ARRAY<OBJECT<from, value>>"], [],
-         F.transform(r("conversations"), lambda m, i: _turn(i, name(m["from"]), m["value"]))),
-        ("prompt", ["prompt"], ["completion", "system"],
-         _given(("system", r("system")), ("user", r("prompt")), ("assistant", r("completion")))),
-        ("instruction", ["instruction"], ["input", "output", "system"],
-         _given(("system", r("system")), ("user", asked), ("assistant", r("output")))),
-    ]
+
+    def listed(items: Column, role, text) -> Column:
+        first = F.when(r("system").isNotNull(), 1).otherwise(0)
+        turns = F.transform(F.filter(items, lambda m: m.isNotNull()), lambda m, i: _turn(first + i, role(m), text(m)))
+        return F.concat(_given(("system", r("system"))), turns)
+
+    return {
+        "turn": F.array(_turn(r("turn"), r("role"), r("text"))),
+        "messages": listed(r("messages"), lambda m: m["role"], lambda m: m["content"]),
+        "from_value": listed(r("conversations"), lambda m: name(m["from"]), lambda m: m["value"]),
+        "prompt": _given(("system", r("system")), ("user", r("prompt")), ("assistant", r("completion"))),
+        "instruction": _given(("system", r("system")), ("user", asked), ("assistant", r("output"))),
+    }
 
 
 def field_paths(record: Column) -> Column:
@@ -68,38 +80,40 @@ def field_paths(record: Column) -> Column:
 
 
 def signatures() -> dict[str, str]:
-    """Field paths -> layout name; optional fields may be missing."""
-    out = {}
-    for name, needed, optional, _ in _layouts():
-        for some in chain.from_iterable(combinations(optional, k) for k in range(len(optional) + 1)):
-            out.setdefault(f"OBJECT<{', '.join(sorted([*needed, *some]))}>", name)
-    return out
+    """Selecting paths, joined, to layout: any one of the first four, with or without those of a single turn, or the latter
+    alone."""
+    return {"turn": "turn", **{n: n for n in SELECTING}, **{f"{n},turn": n for n in SELECTING}}
 
 
 def _fingerprint(paths: Column) -> Column:
     return F.xxhash64(paths)
 
 
+def _layout(json: Column, paths: Column) -> Column:
+    """The layout that the fingerprint of the selecting paths stands for, null for none."""
+    keys = F.json_object_keys(json)
+    one = (F.size(keys) == 0) | F.arrays_overlap(keys, F.array(*map(F.lit, TURN)))
+    selecting = F.concat_ws(",", *[F.when(paths.rlike(p), F.lit(n)) for n, p in SELECTING.items()], F.when(one, F.lit("turn")))
+    table = F.create_map(*[x for p, n in signatures().items() for x in (_fingerprint(F.lit(p)), F.lit(n))])
+    return F.try_element_at(table, _fingerprint(selecting))
+
+
 def canonical_turns(records: DataFrame) -> DataFrame:
-    """(conv_id, json) to (conv_id, layout, turn, role, text)."""
-    names = signatures()
-    parsed = (records.select("conv_id", F.from_json("json", FIELDS).alias("record"))
-              .withColumn("fingerprint", _fingerprint(field_paths(F.col("record")))))
-    turns, layout = F.lit(None).cast(_TURN), F.lit(None).cast("string")
-    for name, _, _, mapping in _layouts():
-        mine = F.col("fingerprint").isin([_fingerprint(F.lit(p)) for p, n in names.items() if n == name])
-        turns, layout = F.when(mine, mapping).otherwise(turns), F.when(mine, F.lit(name)).otherwise(layout)
-    return (parsed.select("conv_id", layout.alias("layout"), F.explode(turns).alias("t"))
+    """(conv_id, json) to (conv_id, layout, turn, role, text); a record without a layout is one row of nulls."""
+    parsed = (records.select("conv_id", "json", F.from_json("json", FIELDS).alias("record"))
+              .withColumn("layout", _layout(F.col("json"), field_paths(F.col("record")))))
+    turns = F.lit(None).cast(_TURN)
+    for name, mapping in _mappings().items():
+        turns = F.when(F.col("layout") == name, mapping).otherwise(turns)
+    return (parsed.select("conv_id", "layout", F.explode_outer(turns).alias("t"))
             .select("conv_id", "layout", "t.turn", "t.role", "t.text"))
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
     """Records by field paths: paths, fingerprint, layout (null: no mapping), records."""
-    known = F.lit(None).cast("string")
-    for p, n in signatures().items():
-        known = F.when(F.col("paths") == p, F.lit(n)).otherwise(known)
-    return (records.select(field_paths(F.from_json("json", FIELDS)).alias("paths")).groupBy("paths").agg(F.count("*").alias("records"))
-            .select("paths", _fingerprint(F.col("paths")).alias("fingerprint"), known.alias("layout"), "records"))
+    paths = field_paths(F.from_json("json", FIELDS))
+    return (records.select(paths.alias("paths"), _layout(F.col("json"), paths).alias("layout")).groupBy("paths", "layout").agg(F.count("*").alias("records"))
+            .select("paths", _fingerprint(F.col("paths")).alias("fingerprint"), "layout", "records"))
 
 
 _CONTROL = r"(/?(?:s>|INST\]))"
@@ -123,13 +137,14 @@ _ROLE = [("%", "%25"), ("\n", "%0A"), ("<", "%3C")]
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) to one row per conversation: conv_id, formatted, loss_mask array<struct<start, len>>."""
+    """(conv_id, turn, role, text) to one row per conversation: conv_id, formatted, loss_mask array<struct<start, len>>. Rows
+    without a role and a text (records without a layout) are no turns."""
     role, text = _swap(F.col("role"), _ROLE), escape(F.col("text"))
     head, tail = F.concat(F.lit("<s>"), role, F.lit("\n")), F.lit("</s>")
     said = F.col("role") == "assistant"
     body = F.when(said, text).otherwise(F.concat(F.lit("[INST] "), text, F.lit(" [/INST]")))
-    parts = turns.select("conv_id", F.struct("turn", "role", "text", F.concat(head, body, tail).alias("out"), F.char_length(head).alias("head"),
-                                             F.when(said, F.char_length(text)).alias("loss")).alias("t"))
+    parts = turns.select("conv_id", F.when(F.col("role").isNotNull() & F.col("text").isNotNull(), F.struct("turn", "role", "text", F.concat(head, body, tail).alias("out"), F.char_length(head).alias("head"),
+                                             F.when(said, F.char_length(text)).alias("loss"))).alias("t"))
     grouped = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,len:int>>").alias("mask"))
     mask = F.aggregate("t", start, lambda a, x: F.struct(

@@ -55,6 +55,7 @@ def test_layouts(spark):
     got = {}
     for r in C.canonical_turns(df).orderBy("conv_id", "turn").collect():
         got.setdefault((r.conv_id, r.layout), []).append((r.role, r.text))
+    assert got.pop((10, None)) == [(None, None)]
     ab = [("user", "a"), ("assistant", "b")]
     assert got == {(1, "messages"): ab, (2, "from_value"): ab, (3, "prompt"): ab, (4, "prompt"): [("system", "s"), *ab], (5, "instruction"): ab,
                    (6, "instruction"): [("user", "a\ni"), ("assistant", "b")], (7, "instruction"): ab[:1], (8, "turn"): ab, (9, "prompt"): ab[:1]}
@@ -63,5 +64,37 @@ def test_layouts(spark):
     assert sum(n for _, n in known.values()) == len(records)
 
 
+def test_no_record_is_lost_or_invented(spark):
+    ab = [("user", "a"), ("assistant", "b")]
+    lists = [{"role": "user", "content": "a"}, None, {"role": "assistant", "content": "b"}]
+    cases = [
+        # surplus and optional fields
+        ({"messages": lists, "system": "s", "id": 3}, "messages", [("system", "s"), *ab]),
+        ({"conversations": [{"from": "human", "value": "a", "w": 1}, {"from": "gpt", "value": "b"}], "system": "s"}, "from_value", [("system", "s"), *ab]),
+        ({"instruction": "a", "input": "", "output": "b", "text": "Below is"}, "instruction", ab),
+        ({"prompt": "a", "completion": "b", "role": "x", "turn": 4}, "prompt", ab),
+        # null texts are empty
+        ({"messages": [{"role": "user", "content": None}]}, "messages", [("user", "")]),
+        ({"messages": [{"content": "a"}]}, "messages", [("", "a")]),
+        ({"role": "user", "text": None}, "turn", [("user", "")]), ({"turn": None, "role": None}, "turn", [("", "")]), ({}, "turn", [("", "")]),
+        # no layout: one row each
+        *[(x, None, [(None, None)]) for x in ({"foo": 1}, {"messages": []}, {"messages": None}, {"messages": [{}]}, {"messages": [{"role": None}]},
+                                              {"conversations": [], "messages": []}, {"system": "s"}, {"prompt": "a", "messages": lists}, None,
+                                              '{"prompt": "a', "not json", "", "[1, 2]", "7", '"text"')],
+    ]
+    rows = [(i, x if x is None or isinstance(x, str) else json.dumps(x)) for i, (x, _, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "conv_id long, json string")
+    got = {}
+    for r in C.canonical_turns(df).orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, (r.layout, []))[1].append((r.role, r.text))
+    for i, (x, layout, turns) in enumerate(cases):
+        assert got[i] == (layout, turns), (x, got[i])
+    out = {r.conv_id: r for r in C.digest_formatted(C.render(C.canonical_turns(df))).collect()}
+    assert len(out) == len(cases)
+    for i, (_, layout, turns) in enumerate(cases):
+        assert out[i].n_turns == (len(turns) if layout else 0) and (layout or out[i].formatted_chars == 0)
+    assert sum(r.records for r in C.fingerprints(df).collect()) == len(cases)
+
+
 def test_empty_table(spark):
     assert C.digest_formatted(rendered(spark, [], False)).collect() == []
