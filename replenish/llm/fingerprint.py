@@ -4,17 +4,18 @@ A fingerprint is the sum of wide vectors hashed from a text's paragraphs (lines)
 depend on their order, and a paragraph's vector can be added or subtracted at any time (``combine``). It has two parts:
 
 * 4 lanes modulo 2^32, summed over the paragraphs' 64-bit hashes under two seeds: multiset equality of paragraphs;
-* a likeness part: a paragraph's vector is itself the sum of 0/1 vectors of 120 lanes, hashed from its phrases (runs of
-  up to five words, shorter where a word ends in punctuation). Packed three lanes of 20 bits to a long, it is 40 sums.
+* a likeness part: a paragraph's vector is itself the sum of 0/1 vectors of 96 lanes, hashed from its phrases (runs of
+  up to five words, shorter where a word ends in punctuation). Packed two lanes of 32 bits to a long, it is 48 sums.
 
 With n phrases each lane c stands for the signed sum 2c - n of random signs, so products of two texts' signed sums,
 averaged over the lanes, estimate the dot product of their phrase counts. ``likeness`` is 2 a.b / (a.a + b.b), cut to
-0..1: 1 for equal texts, about the shared part for edited ones, 0 with a standard error of 0.09 for unrelated ones.
+0..1: 1 for equal texts, about the shared part for edited ones, 0 with a standard error of 0.1 for unrelated ones.
 
 Defined results: a null text is an empty text (no phrases; one empty paragraph); equal texts have equal fingerprints;
 two texts without phrases have likeness 1, one of them alone 0. ``edited`` orders the distinct (doc_id, text) rows by
 doc_id (null first), then by the text's hash; repeated rows are one in that order and come back as often as given. With
-a single such row its own start replaces its end. Texts of over 8 million phrases overflow. Only DataFrame and SQL
+a single such row its own start replaces its end. A lane holds 2^31 phrases, more than a text of 2 GB, the longest that
+Spark holds, has. Only DataFrame and SQL
 functions are used."""
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 
 from replenish.llm.common import stored
 
-#: Words of a phrase; seeds of the two hashes; lanes of 20 bits packed in a long, and longs for each hash.
-WORDS, SEEDS, LANES, LONGS = 5, (0, 1), 3, 20
-LANE_BITS = 20
+#: Words of a phrase; seeds of the two hashes; lanes of 32 bits packed in a long, and longs for each hash.
+WORDS, SEEDS, LANES, LONGS = 5, (0, 1), 2, 24
+LANE_BITS = 32
 _MASK = sum(1 << (LANE_BITS * k) for k in range(LANES))
 _PHRASE = rf"((?:\S*[^\s.!?,;:][ \t]+){{0,{WORDS - 1}}}\S+)"
 _SUMS = len(SEEDS) * LONGS

@@ -20,15 +20,15 @@ def spark_hash(s, seed):
 def plain(text):
     lanes = [sum(spark_hash(p, s) >> 32 * k & 0xFFFFFFFF for p in text.split("\n")) % 2**32 for s in (0, 1) for k in (0, 1)]
     found = PHRASE.findall(text)
-    mask = 1 | 1 << 20 | 1 << 40
-    sums = [sum(spark_hash(p, s) >> k & mask for p in found) for s in (0, 1) for k in range(20)]
+    mask = 1 | 1 << 32
+    sums = [sum(spark_hash(p, s) >> k & mask for p in found) for s in (0, 1) for k in range(24)]
     return "".join(f"{x:08x}" for x in lanes) + f"{len(found):016x}" + "".join(f"{x:016x}" for x in sums)
 
 
 def signed(fp):
     n = int(fp[32:48], 16)
-    sums = [int(fp[48 + 16 * k:64 + 16 * k], 16) for k in range(40)]
-    return n, [2 * (x >> 20 * j & 0xFFFFF) - n for x in sums for j in range(3)]
+    sums = [int(fp[48 + 16 * k:64 + 16 * k], 16) for k in range(48)]
+    return n, [2 * (x >> 32 * j & 0xFFFFFFFF) - n for x in sums for j in range(2)]
 
 
 def likeness(a, b):
@@ -63,6 +63,12 @@ def test_against_plain_python(make_docs):
     assert run(make_docs(rows).withColumns({"key": F.lit(1), "h": F.lit(2), "n": F.lit(3)})) == brute(rows)
 
 
+def test_more_phrases_than_a_short_lane_holds(make_docs):
+    rows = [(1, "word\n" * 1_100_000 + "x"), (2, "other\n" * 300_000)]
+    got, want = run(make_docs(rows)), brute(rows)
+    assert got == want and got[0][5] > 0.9
+
+
 def test_repeated_rows_and_null_ids(make_docs):
     rows = [(1, "one two three four"), (1, "one two three four"), (None, "null id here"), (2, "b " * 30)]
     got = run(make_docs(rows))
