@@ -7,6 +7,8 @@ expressions per scenario, followed by one combinable aggregation."""
 
 from __future__ import annotations
 
+import uuid
+
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -59,6 +61,43 @@ def upsert(saved: DataFrame, new: DataFrame) -> DataFrame:
     return saved.join(new.select("name"), "name", "left_anti").unionByName(new)
 
 
+class ScenarioStore:
+    """W2 over sessions: saved scenarios as a versioned table. A save reads the
+    current version, writes the next one into a folder of its own and then
+    adds a pointer: an empty file whose name holds a number and the version.
+    Readers take the pointer with the highest number, so they see one whole
+    version or the other, and a writer that fails leaves the old
+    one. Versions have random names, so two savers never write into one
+    folder; of two that save at once the one with the greater pointer wins."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def current(self) -> str | None:
+        """The version that the pointer names: the last of the pointer files."""
+        found = self._fs.globStatus(self._hadoop(f"{self.path}/current-*"))
+        names = sorted(f.getPath().getName() for f in found or ())
+        return names[-1].split("-", 2)[2] if names else None
+
+    def read(self):
+        version = self.current()
+        return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
+
+    def save(self, new) -> str:
+        """Upsert by name; returns the new version."""
+        before = self.read()
+        rows = new if before is None else upsert(before, new)
+        version = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{version}")
+        found = self._fs.globStatus(self._hadoop(f"{self.path}/current-*"))
+        last = max((int(f.getPath().getName().split("-")[1]) for f in found or ()), default=0)
+        # creating an empty file is atomic in every store; its name is the pointer
+        self._fs.createNewFile(self._hadoop(f"{self.path}/current-{last + 1:012}-{version}"))
+        return version
+
+
 def scenario_long(summary: DataFrame) -> DataFrame:
     """Long form of the two value columns."""
     return summary.unpivot(["name"], ["total_inventory_value", "recommended_order_value"], "metric", "value")

@@ -501,6 +501,82 @@ def budget_guardrail(spark, sf_dir):
     return finalize(bg(m.base.where(F.col("recommended_order_qty") > 0), MONTHLY_BUDGET))
 
 
+@query("playbook_table")
+def playbook_table(spark, sf_dir):
+    """The five playbooks with the rows each flags now."""
+    from replenish.operators.demand import demand_spikes as spikes
+    from replenish.operators.playbooks import playbook_table as pt
+    from replenish.operators.position import open_po_filter
+    from replenish.operators.watch import budget_guardrail as bg
+    m = model(spark, sf_dir)
+    orders = open_po_filter(m.purchase_orders).join(m.supplier_risk().select("supplier_id", "supplier_risk_score"), "supplier_id", "left")
+    results = {"positions": m.base, "open_orders": orders, "spikes": spikes(m.sales, daily=m.history),
+               "budget": bg(m.base.where(F.col("recommended_order_qty") > 0), MONTHLY_BUDGET)}
+    return pt(results, as_of=m.window[1], monthly_budget=MONTHLY_BUDGET)
+
+
+@query("scenario_upsert")
+def scenario_upsert(spark, sf_dir):
+    """The scenario grid saved, then its delayed scenarios saved again with another count."""
+    from replenish.operators.scenarios import ScenarioStore
+    from replenish.session import scratch_path
+    store = ScenarioStore(spark, scratch_path(spark, "scenarios"))
+    store.save(_scenarios(spark, sf_dir))
+    saved = store.read()
+    store.save(saved.where(F.col("lead_time_delay") > 0).withColumn("critical_skus", F.col("critical_skus") + 1000))
+    return finalize(store.read(), 2, GRID_MONEY)
+
+
+# ---- written tables read back (K1-K3, S1, S3) ------------------------------
+def _round_trip(spark, sf_dir, fmt: str, roles: dict) -> dict[str, DataFrame]:
+    """Standardised roles written in one format, with a manifest, and read back under their own types."""
+    from replenish.operators.standardize import standardize
+    from replenish.session import scratch_path
+    from replenish.sinks.export import read_tables, write_tables
+    t = tables(spark, sf_dir)
+    made = {role: standardize(role, view(t), spark, match="exact") for role, view in roles.items()}
+    path = scratch_path(spark, f"round-trip-{fmt}")
+    write_tables(made, path, fmt)
+    back = read_tables(spark, path)
+    return {role: finalize(back[role].select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields])) for role, df in made.items()}
+
+
+@query("csv_roundtrip")
+def csv_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "csv", {"inventory": tpch.inventory})["inventory"]
+
+
+@query("json_roundtrip")
+def json_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "json", {"purchase_orders": tpch.purchase_orders})["purchase_orders"]
+
+
+@query("bundle_roundtrip")
+def bundle_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "parquet", {"suppliers": tpch.suppliers, "bom": tpch.bom})["suppliers"]
+
+
+# ---- fallbacks (N16, D8) ---------------------------------------------------
+@query("price_fallback_sales")
+def price_fallback_sales(spark, sf_dir):
+    """Sales without a revenue column take quantity x price."""
+    from replenish.operators.standardize import standardize_sales
+    t = tables(spark, sf_dir)
+    lines = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_shipdate").alias("date"), F.col("p_partkey").cast("string").alias("sku"), F.col("p_name").alias("product"),
+        F.col("l_quantity").alias("quantity"), F.col("p_retailprice").alias("unit_price"))
+    s = standardize_sales(lines, match="exact")
+    return finalize(s.groupBy("sku", "product").agg(F.sum("qty").alias("qty"), F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("rows")))
+
+
+@query("no_sales_position")
+def no_sales_position(spark, sf_dir):
+    """Without sales every stock row keeps its place with no demand."""
+    t = tables(spark, sf_dir)
+    m = SupplyModel(spark, {**tpch.role_tables(t), "sales": None, "bom": None}, PARAMS, seed=False)
+    return finalize(m.position().select("sku", "product", "warehouse", "stock", "unit_cost", "avg_daily_demand", "annual_demand_qty"))
+
+
 # ---- streaming (E6) -------------------------------------------------------
 @query("streaming_daily_demand")
 def streaming_daily_demand(spark, sf_dir):

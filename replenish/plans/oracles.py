@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from replenish.operators.outputs import PLAYBOOKS
 from replenish.plans.oracle import dbl, dr, model_sql, r, roles_sql, with_model, with_roles
 
 
@@ -633,6 +634,43 @@ bg AS (SELECT supplier_id, sum(recommended_order_value) AS order_value FROM base
        UNION ALL SELECT 'ALL', coalesce(sum(recommended_order_value), 0.0) FROM base WHERE recommended_order_qty > 0)""", f"""
 SELECT supplier_id, {r('order_value')} AS order_value, order_value > {dbl(5000.0)} AS needs_finance_approval FROM bg""")
 
+_BOOKS = ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" if not isinstance(x, bool) else str(x).lower() for x in p) + ")" for p in PLAYBOOKS)
+_FLAGS = ["(SELECT count(*) FROM base WHERE stockout_risk IN ('Critical', 'High'))",
+          """(SELECT count(*) FROM pos p LEFT JOIN sr ON p.supplier_id = sr.supplier_id
+   WHERE p.status NOT IN ('closed', 'cancelled', 'received', 'complete', 'completed')
+     AND (expected_date < (SELECT hi FROM anchor) OR coalesce(supplier_risk_score > 75, false)))""",
+          "(SELECT count(*) FROM base WHERE days_of_cover > 90 OR avg_daily_demand < 0.2)",
+          "(SELECT count(*) FROM spike_hits WHERE rn <= 5)",
+          "(SELECT count(*) FROM budget_rows WHERE order_value > 5000)"]
+ORACLES["playbook_table"] = with_model_ctes(SUPPLIER_RISK + f""",
+budget_rows AS (SELECT supplier_id, sum(recommended_order_value) AS order_value FROM base WHERE recommended_order_qty > 0 GROUP BY supplier_id
+                UNION ALL SELECT 'ALL', coalesce(sum(recommended_order_value), 0.0) FROM base WHERE recommended_order_qty > 0),
+spike_days AS (SELECT sku, product, date, sum(qty) AS qty FROM sales GROUP BY sku, product, date),
+spike_fences AS (SELECT sku, quantile_cont(qty, 0.75) + (quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25)) * {dbl(1.5)} AS upper,
+                        avg(qty) + stddev_samp(qty) * 2 AS two_sigma FROM spike_days GROUP BY sku HAVING count(*) >= 10),
+spike_hits AS (SELECT d.sku, row_number() OVER (PARTITION BY d.sku ORDER BY product DESC, date DESC) AS rn
+               FROM spike_days d JOIN spike_fences f ON d.sku = f.sku WHERE d.qty > greatest(upper, two_sigma)),
+books(name, trigger, condition, action, approval_required) AS (VALUES {_BOOKS})""", "SELECT name, trigger, condition, action, approval_required, CASE name " + " ".join(
+    f"WHEN '{p[0]}' THEN {f}" for p, f in zip(PLAYBOOKS, _FLAGS)) + " END AS flagged FROM books")
+
+ORACLES["scenario_upsert"] = with_model_ctes(SCEN, f"""
+SELECT name, {r('demand_multiplier', 2)} AS demand_multiplier, {r('lead_time_delay', 2)} AS lead_time_delay,
+       {r('service_level', 2)} AS service_level, {r('total_inventory_value', 3)} AS total_inventory_value,
+       {r('recommended_order_value', 3)} AS recommended_order_value,
+       critical_skus + CASE WHEN lead_time_delay > 0 THEN 1000 ELSE 0 END AS critical_skus FROM scen""")
+
+ORACLES["csv_roundtrip"] = ORACLES["std_inventory"]
+ORACLES["json_roundtrip"] = ORACLES["std_pos"]
+ORACLES["bundle_roundtrip"] = ORACLES["std_suppliers"]
+
+ORACLES["price_fallback_sales"] = f"""
+SELECT CAST(p_partkey AS VARCHAR) AS sku, p_name AS product, {r('sum(l_quantity)')} AS qty, {r('sum(l_quantity * p_retailprice)')} AS revenue,
+       count(*) AS rows
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey, p_name"""
+ORACLES["no_sales_position"] = with_roles(f"""
+SELECT sku, product, warehouse, {r('stock')} AS stock, {r('unit_cost')} AS unit_cost, {r('0.0')} AS avg_daily_demand, {r('0.0')} AS annual_demand_qty
+FROM inventory""")
+
 # ---- streaming ----------------------------------------------------------
 ORACLES["streaming_daily_demand"] = f"""
 SELECT CAST(date_trunc('day', ts) AS DATE) AS date, CAST(user_id AS VARCHAR) AS sku,

@@ -4,7 +4,7 @@ first alerts) and point to the unbounded tables written next to them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,49 @@ def write_bundle(tables: dict[str, DataFrame], path: str, fmt: str = "parquet")
         (w.option("header", True).csv if fmt == "csv" else w.parquet)(f"{path.rstrip('/')}/{name}")
 
 
+#: CSV that tells null from the empty text: null is \\N (a text of these two
+#: characters is lost; line ends inside a text need another format).
+CSV = {"header": True, "quoteAll": True, "escape": '"', "nullValue": "\\N", "emptyValue": ""}
+WRITERS = {"csv": lambda w: w.options(**CSV).csv,
+           "json": lambda w: w.option("ignoreNullFields", False).json, "parquet": lambda w: w.parquet}
+
+
+def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> DataFrame:
+    """One folder per table and a manifest of them: (name, format, rows, columns),
+    columns being the table's schema as DDL. The rows are counted while they
+    are written. The manifest is written last, so a folder without one is
+    unfinished."""
+    spark, told = next(iter(tables.values())).sparkSession, []
+    for name, df in tables.items():
+        safe, seen = json_safe(df), Observation()
+        writer = safe.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+        WRITERS[fmt](writer)(f"{path.rstrip('/')}/{name}")
+        told.append((name, fmt, seen.get["rows"], safe.schema.toDDL()))
+    manifest = spark.createDataFrame(told, MANIFEST)
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/_manifest")
+    return manifest
+
+
+MANIFEST = "name string, format string, rows long, columns string"
+
+
+def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a folder that ``write_tables`` wrote, with their schemas;
+    raises if a table has not the rows that the manifest names."""
+    out = {}
+    for m in spark.read.schema(MANIFEST).json(f"{path.rstrip('/')}/_manifest").collect():  # a row per table
+        reader = spark.read.schema(m["columns"])
+        if m["format"] == "csv":
+            reader = reader.options(**CSV)
+        df = getattr(reader, m["format"])(f"{path.rstrip('/')}/{m['name']}")
+        # every column's values are read, so that a part that can't be parsed is seen
+        found = df.select(F.struct("*").alias("row")).agg(F.count("row").alias("n")).first()["n"]
+        if found != m["rows"]:
+            raise ValueError(f"{path}: {m['name']} has {found} rows, its manifest says {m['rows']}")
+        out[m["name"]] = df
+    return out
+
+
 def automation_payload(playbooks: DataFrame, alerts: DataFrame, transfers_path: str, source: str = "replenish",
                        webhook_url: str = "", alert_cap: int = 100) -> DataFrame:
     """K4: one-row frame with the payload JSON. Alerts are limited to the
