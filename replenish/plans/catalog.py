@@ -577,6 +577,44 @@ def no_sales_position(spark, sf_dir):
     return finalize(m.position().select("sku", "product", "warehouse", "stock", "unit_cost", "avg_daily_demand", "annual_demand_qty"))
 
 
+@query("demo_bom_position")
+def demo_bom_position(spark, sf_dir):
+    """With the demo recipes asked for and no recipes given, their components are stocked too."""
+    t = tables(spark, sf_dir)
+    m = SupplyModel(spark, {**tpch.role_tables(t), "bom": None}, PARAMS.with_(demo_bom=True), seed=True, sales_daily=tpch.sales_daily(t))
+    return finalize(m.inventory.select("sku", "product", "warehouse", "stock", "unit_cost", "supplier_id"))
+
+
+#: Headers as a shop might write them; every one is found by its role's names.
+SHOP_HEADERS = {"sku": "Item SKU", "product": "Product Name", "stock": "Current Stock", "unit_cost": "Unit Cost (EUR)", "supplier_id": "Supplier ID",
+                "warehouse": "Warehouse Location"}
+
+
+def _shop_stock(spark, sf_dir) -> DataFrame:
+    stock = tpch.inventory(tables(spark, sf_dir))
+    return stock.select(*[F.col(c).alias(h) for c, h in SHOP_HEADERS.items()])
+
+
+@query("compat_columns")
+def compat_columns(spark, sf_dir):
+    """The stock table under a shop's headers, found by substring matching."""
+    from replenish.functions.naming import normalize_columns
+    from replenish.operators.standardize import standardize
+    shop = _shop_stock(spark, sf_dir)
+    out = standardize("inventory", shop.toDF(*normalize_columns(shop.columns)), spark, match="compat")
+    return finalize(out.select(*SHOP_HEADERS))
+
+
+@query("role_override")
+def role_override(spark, sf_dir):
+    """Two stock tables in a workspace; the user's choice of role table holds, whatever is detected."""
+    from replenish.sources.workspace import Workspace
+    stock = tpch.inventory(tables(spark, sf_dir))
+    ws = Workspace(spark).add("inventory", stock).add("Stock Count 2", stock.where(F.col("stock") > 0)).set_role("inventory", "stock_count_2")
+    chosen = ws.role_tables()["inventory"]
+    return finalize(chosen.groupBy("warehouse").agg(F.count(F.lit(1)).alias("rows"), F.sum("stock").alias("stock")))
+
+
 # ---- streaming (E6) -------------------------------------------------------
 @query("streaming_daily_demand")
 def streaming_daily_demand(spark, sf_dir):

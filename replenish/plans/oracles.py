@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from replenish.operators.outputs import PLAYBOOKS
+from replenish.operators.position import DEMO_BOM, DEMO_COMPONENT_STOCK
 from replenish.plans.oracle import dbl, dr, model_sql, r, roles_sql, with_model, with_roles
 
 
@@ -671,6 +672,15 @@ ORACLES["no_sales_position"] = with_roles(f"""
 SELECT sku, product, warehouse, {r('stock')} AS stock, {r('unit_cost')} AS unit_cost, {r('0.0')} AS avg_daily_demand, {r('0.0')} AS annual_demand_qty
 FROM inventory""")
 
+_COMPONENTS = ", ".join(f"('{sku}', '{dict((b[1], b[2]) for b in DEMO_BOM)[sku]}', '{wh}', CAST({stock} AS DOUBLE), CAST({cost} AS DOUBLE), '{sup}')"
+                        for sku, stock, cost, sup, wh, *_ in DEMO_COMPONENT_STOCK)
+_STOCK6 = f"sku, product, warehouse, {r('stock')} AS stock, {r('unit_cost')} AS unit_cost, supplier_id"
+ORACLES["demo_bom_position"] = with_roles_ctes(f"demo(sku, product, warehouse, stock, unit_cost, supplier_id) AS (VALUES {_COMPONENTS})", f"""
+SELECT {_STOCK6} FROM inventory UNION ALL SELECT {_STOCK6} FROM demo WHERE sku NOT IN (SELECT sku FROM inventory)""")
+ORACLES["compat_columns"] = with_roles(f"SELECT {_STOCK6} FROM inventory")
+ORACLES["role_override"] = with_roles(f"""
+SELECT warehouse, count(*) AS rows, {r('sum(stock)')} AS stock FROM inventory WHERE stock > 0 GROUP BY warehouse""")
+
 # ---- streaming ----------------------------------------------------------
 ORACLES["streaming_daily_demand"] = f"""
 SELECT CAST(date_trunc('day', ts) AS DATE) AS date, CAST(user_id AS VARCHAR) AS sku,
