@@ -369,12 +369,10 @@ def _repeat_spans(docs: DataFrame, span: int, seed: int, group_most: int) -> Dat
     text = F.coalesce(F.col("text"), F.lit(""))
     spots = stored(docs.where(F.octet_length("text") >= span).select(_digest(text).alias("digest"), "text")
                    .mapInArrow(lambda b: _pick(b, span, seed), "seed long, digest binary, place long"), "anchors")
-    # copies of a text (one in each task) give the same anchors: a seed counts when it has two different ones
+    # copies of a text (one in each task) give the same anchors, which count once; a seed counts when it has two
     spot = F.xxhash64("digest", "place")
-    seeds = stored(spots.select("seed", spot.alias("spot")).groupBy("seed")
-                   .agg(F.min("spot").alias("a"), F.max("spot").alias("b"), F.count("*").alias("n")).where("a != b").select("seed", "n"), "seeds")
+    seeds = stored(spots.select("seed", spot.alias("spot")).distinct().groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "seeds")
     hot = seeds.orderBy(F.desc("n")).limit(1000).where(F.col("n") > 5_000)
-    # n counts anchors once a task, so it is at least the number of a seed's contexts
     met = split_join(spots, seeds, "seed", hot).where("n is not null").select("digest", F.struct("seed", "place").alias("spot"), (F.col("n") > group_most).alias("big"))
     picked = stored(met.groupBy("digest").agg(F.collect_set(F.when(~F.col("big"), F.col("spot"))).alias("spots"),
                                               F.collect_set(F.when(F.col("big"), F.col("spot"))).alias("big")), "picked")
