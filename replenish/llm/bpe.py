@@ -65,20 +65,29 @@ class Scheme:
     end: str
     pattern: str
     special: dict[str, int]
+    file: str = ""  # digest of the file
 
     @classmethod
     def read(cls, path: str) -> Scheme:
-        with open(path, encoding="utf-8") as f:
-            d = json.load(f)
+        with open(path, "rb") as f:
+            raw = f.read()
+        d = json.loads(raw)
         m = d["model"]
         merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in m["merges"]]
         cut = next(p for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         return cls(m["vocab"], {p: i for i, p in enumerate(merges)}, m["end_of_word_suffix"] or "", cut,
-                   {t["content"]: t["id"] for t in d["added_tokens"]})
+                   {t["content"]: t["id"] for t in d["added_tokens"]}, hashlib.sha256(raw).hexdigest())
 
     def __post_init__(self):
         self.characters = byte_characters()
         self.strings = {i: s for s, i in [*self.vocabulary.items(), *self.special.items()]}
+        self.numbers = {i: str(i) for i in self.strings}
+        # pairs as one number of their ids: its rank, and by rank the id of the merged token
+        self.base, ids = max(self.strings) + 1, self.vocabulary
+        self.byte_ids = [ids[c] for c in self.characters]
+        self.last_ids = [ids[c + self.end] for c in self.characters]
+        self.pair_ranks = {ids[a] * self.base + ids[b]: r for (a, b), r in self.ranks.items()}
+        self.merged = {r: ids[a + b] for (a, b), r in self.ranks.items()}
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -90,24 +99,27 @@ class Scheme:
 
     def merge(self, word: str) -> list[int]:
         """Exact ids of a word: the pair of least rank is merged, leftmost first, until none is left."""
-        parts = [self.characters[b] for b in word.encode()]
-        parts[-1] += self.end
-        if len(parts) > 256:
+        raw = word.encode()
+        if len(raw) > 256:
+            parts = [self.characters[b] for b in raw]
+            parts[-1] += self.end
             return [self.vocabulary[p] for p in _merge_long(parts, self.ranks)]
-        rank, none = self.ranks.get, 1 << 60
-        order = [rank(p, none) for p in zip(parts, parts[1:])]  # of each neighbouring pair
+        ids = [self.byte_ids[b] for b in raw]
+        ids[-1] = self.last_ids[raw[-1]]
+        rank, merged, base, none = self.pair_ranks.get, self.merged, self.base, 1 << 60
+        order = [rank(a * base + b, none) for a, b in zip(ids, ids[1:])]  # of each neighbouring pair
         while order and (least := min(order)) < none:
             i = order.index(least)
-            parts[i] += parts.pop(i + 1)
-            del order[i]
+            ids[i] = new = merged[least]
+            del ids[i + 1], order[i]
             if i:
-                order[i - 1] = rank((parts[i - 1], parts[i]), none)
+                order[i - 1] = rank(ids[i - 1] * base + new, none)
             if i < len(order):
-                order[i] = rank((parts[i], parts[i + 1]), none)
-        return [self.vocabulary[p] for p in parts]
+                order[i] = rank(new * base + ids[i + 1], none)
+        return ids
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.strings[i] for i in ids)
+        return " ".join([self.strings[i] for i in ids])
 
 
 def _merge_long(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -237,7 +249,7 @@ class Encoder:
     def __init__(self, scheme: Scheme, lexicon: Lexicon | None = None, memo: int = MEMO):
         import regex
 
-        self.scheme, self.lexicon, self.most = scheme, lexicon, memo
+        self.scheme, self.lexicon, self.most, self.numbers = scheme, lexicon, memo, scheme.numbers
         self.cut = regex.compile(scheme.pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(scheme.special, key=len, reverse=True)))) if scheme.special else None
         encoder = self
@@ -264,7 +276,7 @@ class Encoder:
         ids = self.lexicon.find(word.encode()) if self.lexicon else None
         if ids is None:
             ids = self.scheme.merge(word)
-        return " ".join(map(str, ids)), self.scheme.decode(ids)
+        return " ".join([self.numbers[i] for i in ids]), self.scheme.decode(ids)
 
     def words(self, text: str):
         """Lists of the words of a text without special tokens."""
@@ -309,6 +321,18 @@ class Encoder:
         return [int(i) for numbers, _ in self.parts(text) for i in numbers.split(" ")]
 
 
+_KEPT: dict[str, Encoder] = {}
+
+
+def _encoder_of(key: str, known) -> Encoder:
+    """The encoder of a Python worker, kept for its later tasks with its bounded memo; one at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        scheme, compiled = known.value
+        _KEPT[key] = Encoder(scheme, Lexicon(compiled))
+    return _KEPT[key]
+
+
 def frequent_words(docs: DataFrame, scheme: Scheme, most: int = LEXICON) -> list[str]:
     """The corpus's most frequent words, counted over all texts (a word counts where a task has met it LEAST_LOCAL times);
     ``most`` words reach the driver."""
@@ -350,10 +374,10 @@ def encode_digests(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame
     scheme = Scheme.read(path)
     compiled = compile_lexicon({w.encode(): scheme.merge(w) for w in frequent_words(docs, scheme, most)})
     known = docs.sparkSession.sparkContext.broadcast((scheme, compiled))
+    key = scheme.file + hashlib.sha256(compiled).hexdigest()
 
     def encode(batches):
-        scheme, compiled = known.value
-        encoder = Encoder(scheme, Lexicon(compiled))
+        encoder = _encoder_of(key, known)
         for batch in batches:
             rows = [encoder.digests(t or "") for t in batch.column(1).to_pylist()]
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
@@ -371,10 +395,10 @@ def encode_ids(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:
     scheme = Scheme.read(path)
     compiled = compile_lexicon({w.encode(): scheme.merge(w) for w in frequent_words(docs, scheme, most)})
     known = docs.sparkSession.sparkContext.broadcast((scheme, compiled))
+    key = scheme.file + hashlib.sha256(compiled).hexdigest()
 
     def encode(batches):
-        scheme, compiled = known.value
-        encoder = Encoder(scheme, Lexicon(compiled))
+        encoder = _encoder_of(key, known)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.ids(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
