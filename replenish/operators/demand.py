@@ -153,17 +153,18 @@ def seed_inventory(sales: DataFrame, last_n: int = P.SEED_LAST_ROWS, cover_days:
     ``cover_days``)); unit_cost = mean line cost. The "last n rows" are the
     latest by date (larger quantities first on a tie). Instead of ranking raw
     rows inside one SKU, rows are first counted per (sku, product, date, qty)
-    -- a combinable aggregation -- and the cut-off is taken on those counts."""
+    -- a combinable aggregation that carries the sum and count of the costs --
+    and the cut-off is taken on those counts: one read of the sales."""
     keys = ["sku", "product"]
-    cnt = sales.groupBy(*keys, "date", "qty").agg(F.count(F.lit(1)).alias("c"))
+    cnt = sales.groupBy(*keys, "date", "qty").agg(F.count(F.lit(1)).alias("c"), F.sum("cost").alias("cost"), F.count("cost").alias("costs"))
     w = (Window.partitionBy(*keys).orderBy(F.col("date").desc(), F.col("qty").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cum = cnt.withColumn("_cum", F.sum("c").over(w))
     take = F.least(F.col("c"), F.greatest(F.lit(0), F.lit(last_n) - (F.col("_cum") - F.col("c"))))
-    tail = cum.select(*keys, (take * F.col("qty")).alias("tq"), take.alias("tn")).groupBy(*keys).agg(
-        (F.sum("tq") / F.sum("tn")).alias("tail_mean"))
-    cost = sales.groupBy(*keys).agg(F.avg("cost").alias("unit_cost"))
-    return tail.join(cost, keys).select(
+    seeds = cum.withColumn("_take", take).groupBy(*keys).agg(
+        (F.sum(F.col("_take") * F.col("qty")) / F.sum("_take")).alias("tail_mean"),
+        F.try_divide(F.sum("cost"), F.sum("costs")).alias("unit_cost"))
+    return seeds.select(
         *keys,
         F.greatest(F.lit(0), F.floor(F.col("tail_mean") * cover_days)).cast("double").alias("stock"),
         "unit_cost",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from replenish.functions import planning as P
 from replenish.functions.text import fmt_fixed, fmt_grouped, fmt_int, fmt_int_grouped, py_float_str
-from replenish.operators.reorder import plan_order, revenue_order
+from replenish.operators.reorder import TIE, plan_order, revenue_order
 from replenish.operators.scan import running
 
 # Alert action texts.
@@ -108,7 +108,11 @@ def alerts(base: DataFrame, risk: DataFrame, transfers: DataFrame, caps=(None, N
     """A2-A5 as one queue: (alert_group, rank) gives the original order. ``caps`` keeps the first rows of the stock-out,
     supplier and dead-stock groups (``P.ALERT_CAPS`` gives the original's short queue)."""
     c = F.col
-    so = ranked(base.where(c("stockout_risk").isin(P.RISK_CRITICAL, P.RISK_HIGH)), revenue_order(), caps[0])
+    # a full rank writes its rows once: only what order and message need
+    order_cols = ["annual_revenue", *TIE]
+    short = base.where(c("stockout_risk").isin(P.RISK_CRITICAL, P.RISK_HIGH)).select(
+        *order_cols, "stockout_risk", "days_of_cover", "recommended_order_qty", "supplier_name", "supplier_id")
+    so = ranked(short, revenue_order(), caps[0])
     so = so.select(
         F.lit(1).alias("alert_group"), "rank", F.lit("stockout_risk").alias("type"),
         F.when(c("stockout_risk") == P.RISK_CRITICAL, "P1").otherwise("P2").alias("priority"),
@@ -117,7 +121,8 @@ def alerts(base: DataFrame, risk: DataFrame, transfers: DataFrame, caps=(None, N
                  fmt_fixed(c("days_of_cover"), 1), F.lit(" days of cover.")).alias("message"),
         F.concat(F.lit("Order "), fmt_int(c("recommended_order_qty")), F.lit(" units from "),
                  F.coalesce(c("supplier_name"), c("supplier_id")), F.lit(".")).alias("recommended_action"))
-    sp = ranked(risk.where(c("risk_level").isin("High", "Critical")),
+    sp = ranked(risk.where(c("risk_level").isin("High", "Critical")).select(
+        "supplier_id", "supplier_name", "supplier_risk_score", "risk_level"),
                 [c("supplier_risk_score").desc(), c("supplier_id")], caps[1])
     sp = sp.select(
         F.lit(2).alias("alert_group"), "rank", F.lit("supplier_risk").alias("type"),
@@ -126,7 +131,7 @@ def alerts(base: DataFrame, risk: DataFrame, transfers: DataFrame, caps=(None, N
         F.concat(F.lit("Supplier "), F.coalesce(c("supplier_name"), c("supplier_id")), F.lit(" has "),
                  c("risk_level"), F.lit(" risk score "), py_float_str(c("supplier_risk_score")), F.lit(".")).alias("message"),
         F.lit(ACTION_SUPPLIER).alias("recommended_action"))
-    ds = ranked(base.where(c("dead_stock_flag")), revenue_order(), caps[2])
+    ds = ranked(base.where(c("dead_stock_flag")).select(*order_cols), revenue_order(), caps[2])
     ds = ds.select(
         F.lit(3).alias("alert_group"), "rank", F.lit("dead_stock").alias("type"), F.lit("P3").alias("priority"),
         "sku", F.lit(None).cast("string").alias("supplier_id"),

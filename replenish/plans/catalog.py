@@ -556,6 +556,55 @@ def bundle_roundtrip(spark, sf_dir):
     return _round_trip(spark, sf_dir, "parquet", {"suppliers": tpch.suppliers, "bom": tpch.bom})["suppliers"]
 
 
+@query("folder_roundtrip")
+def folder_roundtrip(spark, sf_dir):
+    """Tables written as header CSV; the folder is loaded, roles are found by name, the stock standardised."""
+    from replenish.operators.standardize import standardize
+    from replenish.session import scratch_path
+    from replenish.sinks.export import write_csv
+    from replenish.sources.files import load_dir
+    from replenish.sources.workspace import Workspace
+    t = tables(spark, sf_dir)
+    path = scratch_path(spark, "folder")
+    for role, view in {"inventory": tpch.inventory, "suppliers": tpch.suppliers, "bom": tpch.bom}.items():
+        write_csv(standardize(role, view(t), spark, match="exact"), f"{path}/{role}.csv")
+    found = Workspace(spark).update(load_dir(spark, path)).role_tables()
+    return finalize(standardize("inventory", found["inventory"], spark, match="exact"))
+
+
+@query("audit_roundtrip")
+def audit_roundtrip(spark, sf_dir):
+    """K2: the reorder plan as written for the audit, read back under its own types."""
+    from replenish.session import scratch_path
+    from replenish.sinks.export import json_safe, write_audit
+    plan = reorder_plan(spark, sf_dir)
+    path = scratch_path(spark, "audit")
+    write_audit({"reorder_plan": plan}, path)
+    return spark.read.schema(json_safe(plan).schema).json(f"{path}/reorder_plan")
+
+
+@query("automation_payload")
+def automation_payload_q(spark, sf_dir):
+    """K4: the alerts of the payload, parsed back from its JSON."""
+    from replenish.operators.outputs import playbooks
+    from replenish.sinks.export import automation_payload
+    queue = _alert_queue(model(spark, sf_dir))
+    payload = automation_payload(playbooks(spark), queue, "transfers")
+    alert = f"array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in queue.schema.fields)}>>"
+    parsed = payload.select(F.from_json("payload", f"alerts {alert}").alias("p"))
+    return parsed.select(F.explode("p.alerts").alias("a")).select("a.*")
+
+
+@query("report_text")
+def report_text(spark, sf_dir):
+    """K5: the lines of the report's text file."""
+    from replenish.session import scratch_path
+    from replenish.sinks.export import write_report
+    path = scratch_path(spark, "report")
+    write_report(report_lines(spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("value").alias("text"))
+
+
 # ---- fallbacks (N16, D8) ---------------------------------------------------
 @query("price_fallback_sales")
 def price_fallback_sales(spark, sf_dir):

@@ -663,6 +663,10 @@ SELECT name, {r('demand_multiplier', 2)} AS demand_multiplier, {r('lead_time_del
 ORACLES["csv_roundtrip"] = ORACLES["std_inventory"]
 ORACLES["json_roundtrip"] = ORACLES["std_pos"]
 ORACLES["bundle_roundtrip"] = ORACLES["std_suppliers"]
+ORACLES["folder_roundtrip"] = ORACLES["std_inventory"]
+ORACLES["audit_roundtrip"] = ORACLES["reorder_plan"]
+ORACLES["automation_payload"] = ORACLES["alerts"] + " ORDER BY alert_group, rank LIMIT 100"
+ORACLES["report_text"] = f"SELECT text FROM ({ORACLES['report_lines']})"
 
 ORACLES["price_fallback_sales"] = f"""
 SELECT CAST(p_partkey AS VARCHAR) AS sku, p_name AS product, {r('sum(l_quantity)')} AS qty, {r('sum(l_quantity * p_retailprice)')} AS revenue,

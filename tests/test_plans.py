@@ -32,3 +32,13 @@ def test_abc_uses_range_partitioned_scan(spark):
     from replenish.plans.catalog import model
     p = _plan(model(spark, SF).health)
     assert "SinglePartition" not in p.split("Subquery")[0]
+
+
+def test_seeding_reads_the_sales_once(spark, tmpdir_path):
+    from replenish.operators.demand import seed_inventory
+    path = f"{tmpdir_path}/sales"
+    spark.sql("SELECT 'A' AS sku, 'p' AS product, DATE'2024-01-01' AS date, 2.0D AS qty, IF(id < 2, NULL, 3.0D) AS cost FROM range(4)").write.parquet(path)
+    seeded = seed_inventory(spark.read.parquet(path))
+    plan = seeded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    assert [(r.sku, r.stock, r.unit_cost) for r in seeded.collect()] == [("A", 30.0, 3.0)]
