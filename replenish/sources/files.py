@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from replenish.functions.naming import normalize_columns, normalize_name
+from replenish.sources.json_array import read_json_array
 
 
 def _norm(df: DataFrame) -> DataFrame:
@@ -24,15 +25,19 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """S3: an array of records (multi-line) or JSON lines.
+    """S3: an array of records or JSON lines. An array is split at its
+    records' borders (``json_array``); ``multi_line=True`` takes Spark's own
+    reader, one task per file.
 
     A column-oriented object ({"col": {"0": v, ...}}) is not a record
     layout and is rejected."""
     if multi_line is None:
         # one character reaches the driver, however long the first line is
         first = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).where("c != ''").first()
-        multi_line = first is not None and first[0] == "["
-    df = spark.read.option("multiLine", multi_line).json(path)
+        array = first is not None and first[0] == "["
+    else:
+        array = False
+    df = read_json_array(spark, path) if array else spark.read.option("multiLine", bool(multi_line)).json(path)
     nested = [f.dataType.fieldNames() for f in df.schema.fields if isinstance(f.dataType, T.StructType)]
     if df.columns and len(nested) == len(df.columns) and all(n.isdigit() for names in nested for n in names):
         raise ValueError(f"{path}: column-oriented JSON is not a record layout")
