@@ -61,5 +61,43 @@ def test_cost_is_near_the_least():
         assert K.cost(fitted).sum() <= 1.35 * least(sizes.tolist(), [256, 512, 1024])
 
 
+def bins_of(df):
+    return sorted((b.bin_id, b.length, b.doc_ids, b.parts, b.starts, b.sizes) for b in K.best_fit(df, shard=100).collect())
+
+
+def test_bins_follow_from_the_rows_alone(make_docs):
+    rng = random.Random(4)
+    rows = [(i // 2, "w " * rng.choice([7, 300, 9000, rng.randrange(1, 4000)])) for i in range(300)] + [(5, "w " * 7)] * 40
+    rng.shuffle(rows)
+    df = make_docs(rows)
+    assert bins_of(df) == bins_of(df.repartition(7)) == bins_of(make_docs(rows[::-1]).coalesce(1))
+
+
+def test_many_equal_rows_and_wide_ids(spark, make_docs):
+    big = 2 ** 60 + 1
+    df = make_docs([(big, "a b"), (None, "c")]).select("doc_id", "text").unionByName(spark.range(25_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x y").alias("text")))
+    bins = K.best_fit(df).collect()
+    ids = [i for b in bins for i in b.doc_ids]
+    assert len(ids) == 25_002 and ids.count(big) == 1 and ids.count(None) == 25_001
+    assert sum(b.used for b in bins) == 3 + 2 + 3 * 25_000
+
+
+def test_lengths_are_chosen_bin_by_bin():
+    lengths = [256, 512, 1024]
+    # a full bin of 1024, then two full ones of 512, then one of 256: no single opening length packs all without waste
+    sizes = np.array([1000, 24, *[300, 212] * 2, 250, 6])
+    where, fitted, held = K.pack(sizes, lengths)
+    assert sorted(held.tolist()) == sorted(fitted.tolist()) == [256, 512, 512, 1024]
+    # never dearer than any plain rule
+    rng = random.Random(9)
+    for _ in range(40):
+        sizes = np.array(sorted((rng.randrange(1, 1025) for _ in range(60)), reverse=True))
+        _, fitted, _ = K.pack(sizes, lengths)
+        for opening in (None, 0, *lengths):
+            used = K.pack_with(sizes.tolist(), lengths, opening)[1]
+            plain = sum(K.cost(min(n for n in lengths if n >= u)) for u in used)
+            assert K.cost(fitted).sum() <= plain + 1e-9
+
+
 def test_empty_table(make_docs):
     assert K.best_fit(make_docs([])).collect() == []
