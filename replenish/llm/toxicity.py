@@ -17,7 +17,8 @@ features: both are broadcast. Corpus counts, scores and everything else cover al
 
 Defined results: a null text is empty; a document without significant segments, an empty one included, has the score of
 the logistic curve at 0; without a toxic or a clean training row all scores are the toxic share of those there are (0
-without any); repeated labels of a document count once, as toxic if any says so, labels with a null are ignored;
+without any); repeated labels of a document count once, as toxic if any says so, labels with a null are ignored; of the rows that repeat
+a labelled id the one with the best segment serves the fits; a token of any length counts whole;
 repeated rows are scored alike; an empty table gives an empty result; columns other than (doc_id, text) never matter."""
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replenish.llm.common import _BYTE, _LOWER, _ODD, mix, passing, row_key, ship, slices, stored, text_bytes, without
@@ -69,14 +70,16 @@ def token_features(raw: np.ndarray, at: np.ndarray):
     out = []
     rest = np.arange(len(start))
     k = 0
-    while len(rest):
-        if k >= 64:  # a very long token is told by its first 64 bytes and its length
-            break
+    while len(rest) and k < 64:
         h[rest] = h[rest] * _ODD + _BYTE[low[start[rest] + k]]
         k += 1
         rest = rest[size[rest] > k]
         if k in PREFIXES and len(rest):
             out.append((rest, mix(h[rest] ^ np.uint64(k))))
+    if len(rest):  # very long tokens
+        import xxhash
+        for i in rest:
+            h[i] = xxhash.xxh64_intdigest(low[start[i]:end[i]].tobytes(), 11)
     out.append((np.arange(len(start)), mix(h ^ (size.astype(np.uint64) << np.uint64(8)))))
     return start, end, np.searchsorted(start, at), out
 
@@ -277,6 +280,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, max(b, 0.0)
 
 
+def per_document(found: DataFrame, *numbers: Column) -> DataFrame:
+    """(toxic, numbers) of the labelled rows, one per labelled id in an order of its own: of an id's rows, however many, the
+    one with the greatest numbers."""
+    best = F.max(F.struct(*numbers)).alias("best")
+    return (found.where("toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"), best)
+            .orderBy(F.xxhash64("id"), "id").select("toxic", "best.*"))
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, n_passages (significant segments), key (a hash of id
     and text)."""
@@ -321,14 +332,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     found = stored(rows.mapInArrow(scan, f"{kept}, tokens long, scores array<double>, apart array<double>"), "segments")
     # two numbers for each of LABELS_MOST documents at most reach the driver, then two more
-    fit = found.where("toxic is not null")
-    best = fit.select("toxic", F.greatest("tokens", F.lit(1)).alias("tokens"), F.coalesce(F.array_max("apart"), F.lit(0.0)).alias("best")).toArrow()
+    best = per_document(found, F.coalesce(F.array_max("apart"), F.lit(0.0)).alias("best"), F.greatest("tokens", F.lit(1)).alias("tokens")).toArrow()
     clean = best["toxic"].to_numpy() == 0
     lam, k = fit_extremes(best["best"].to_numpy()[clean], best["tokens"].to_numpy()[clean])
     bar = F.log(F.lit(k) * F.greatest(F.col("tokens"), F.lit(1)))
     worth = lambda c: F.filter(F.transform(c, lambda s: s * lam - bar), lambda s: s > 0)
     total = lambda c: F.aggregate(worth(c), F.lit(0.0), lambda s, x: s + x)
-    own_ = fit.select("toxic", total("apart").alias("x")).toArrow()
+    own_ = per_document(found, total("apart").alias("x")).toArrow()
     a, b = fit_logistic(own_["x"].to_numpy(), own_["toxic"].to_numpy().astype(float))
     chance = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * total("scores"))))
     return (found.withColumns({"__score": chance, "__n": F.size(worth("scores")).cast("long")})

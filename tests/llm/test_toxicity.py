@@ -93,3 +93,18 @@ def test_passages(spark, make_docs):
     text = "word1 word2 É nasty vile horrid word3 word4"
     (p,) = X.passages(make_docs([(1, text), (2, "word1 word2")]), model, 1.0, 0.01).collect()
     assert p.doc_id == 1 and text.encode()[p.first:p.end].decode() == "nasty vile horrid"
+
+
+def test_fits_see_one_row_per_labelled_id(spark):
+    rows = [(1, 1, 2.0, 9)] * 50 + [(1, 1, 3.0, 4), (2, 0, 0.0, 5), (3, None, 7.0, 1)]
+    found = spark.createDataFrame(rows, "id long, toxic int, best double, tokens long").repartition(5)
+    got = X.per_document(found, F.col("best"), F.col("tokens")).collect()
+    assert sorted(map(tuple, got)) == [(0, 0.0, 5), (1, 3.0, 4)]
+
+
+def test_long_tokens_count_whole():
+    texts = ["a" * 100 + "b" + "c" * 30, "a" * 100 + "d" + "c" * 30, "A" * 100 + "b" + "c" * 30]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    _, _, w, found = X.token_features(raw, np.cumsum([0, *map(len, texts)]))
+    whole = found[-1][1]
+    assert w.tolist() == [0, 1, 2, 3] and whole[0] != whole[1] and whole[0] == whole[2]
