@@ -703,8 +703,8 @@ def cost_curves_penalty(spark, sf_dir):
 
 @query("streaming_spike_watch")
 def streaming_spike_watch(spark, sf_dir):
-    """Closed days of the drained purchase stream above the SKU's D11
-    fence (SKUs with >= 10 days), emitted in append mode."""
+    """Days of the drained purchase stream above the SKU's D11 fence
+    (SKUs with >= 10 days), emitted in append mode."""
     from replenish.streaming.daily_demand import drain_spike_watch
     return finalize(drain_spike_watch(spark, sf_dir))
 

@@ -735,11 +735,10 @@ WITH d AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS date, CAST(user_id AS V
            FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
 f AS (SELECT sku, quantile_cont(qty, 0.75) + (quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25)) * {dbl(1.5)} AS upper,
              avg(qty) + stddev_samp(qty) * 2 AS two_sigma
-      FROM d GROUP BY sku HAVING count(*) >= 10),
-closed AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events WHERE event_type = 'purchase')
+      FROM d GROUP BY sku HAVING count(*) >= 10)
 SELECT d.date, d.sku, {r('d.qty')} AS qty, {r('f.upper')} AS upper,
        CASE WHEN d.qty < f.upper * {dbl(1.8)} THEN 'Medium' ELSE 'High' END AS severity
-FROM d JOIN f ON d.sku = f.sku, closed WHERE d.qty > greatest(f.upper, f.two_sigma) AND d.date + INTERVAL 1 DAY <= closed.mark"""
+FROM d JOIN f ON d.sku = f.sku WHERE d.qty > greatest(f.upper, f.two_sigma)"""
 
 # ---- listings ------------------------------------------------------------
 _COVER = r("CASE WHEN isinf(days_of_cover) OR isnan(days_of_cover) THEN NULL ELSE days_of_cover END")

@@ -83,9 +83,12 @@ def start_daily_demand(spark: SparkSession, source_dir: str, out_dir: str, check
 
 def start_spike_watch(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, thresholds: DataFrame,
                       file_glob: str = "events*.parquet", available_now: bool = True, watermark: str = "1 day",
-                      files_per_batch: int | None = 1000):
-    """Start E7: one alert row per closed (day, sku) above its fence, appended to the files of ``out_dir``."""
+                      files_per_batch: int | None = 1000, end_dir: str | None = None):
+    """Start E7: one alert row per closed (day, sku) above its fence, appended to the files of ``out_dir``. ``end_dir`` holds
+    the event that ends a bounded source (``write_end``)."""
     stream = _read_stream(spark, source_dir, file_glob, files_per_batch).observe("drained", F.count_if(_counted()).alias("rows"))
+    if end_dir is not None:
+        stream = stream.unionByName(spark.readStream.schema(stream.schema).parquet(end_dir))
     alerts = spike_watch_stream(daily_demand_stream(stream, watermark), thresholds)
     return _start(alerts.writeStream.outputMode("append").format("parquet").option("path", out_dir), checkpoint, available_now)
 
@@ -126,10 +129,10 @@ TABLE, TABLE_GLOB = "events.parquet", "event[s].parquet"
 
 
 def drain(spark: SparkSession, sf_dir: str, start) -> None:
-    """Drain the whole events table through ``start(watermark)``. Files
-    needn't be in event-time order, so the watermark's delay is the table's
-    time range: no row is late, in however many micro-batches. Fails if the
-    stream counted other rows than the batch read that found the range."""
+    """Drain the whole events table through ``start(delay)``. Files needn't
+    be in event-time order; with the delay given, the table's time range, as
+    the watermark's no row is late, in however many micro-batches. Fails if
+    the stream counted other rows than the batch read that found the range."""
     seen = spark.read.parquet(f"{sf_dir.rstrip('/')}/{TABLE}").where(_counted()).agg(
         F.count(F.lit(1)).alias("n"),
         F.ceil((F.unix_micros(utc_instant(F.max("ts"))) - F.unix_micros(utc_instant(F.min("ts")))) / 1e6).alias("range")).first()
@@ -205,16 +208,26 @@ def drain_daily_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_view(spark, out_dir)
 
 
+def write_end(events: DataFrame, watermark: str, path: str) -> None:
+    """The event that ends a table: a purchase so late that the watermark closes the table's last day, but not its own. It
+    has a sku, as rows without one don't reach the watermark of a stream that is joined by sku."""
+    end = F.max("ts") + F.expr(f"interval {watermark}") + F.expr("interval 1 day")
+    last = events.where(_counted()).agg(end.alias("ts"), F.max("user_id").alias("user_id"))
+    given = {"event_type": F.lit("purchase"), "ts": F.col("ts"), "user_id": F.col("user_id")}
+    last.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields]).write.parquet(path)
+
+
 def drain_spike_watch(spark: SparkSession, sf_dir: str, watermark: str = "1 day") -> DataFrame:
-    """E7 over the events table: the fences come from the batch history, the
-    stream is drained against them in one micro-batch (files needn't be in
-    event-time order), and a second, empty one closes the days that end
-    ``watermark`` before the latest event. The alerts of those days."""
-    history = daily_demand_stream(spark.read.parquet(f"{sf_dir.rstrip('/')}/{TABLE}"))
-    out_dir = scratch_path(spark, "spike-watch")
-    q = start_spike_watch(spark, sf_dir, out_dir, scratch_path(spark, "spike-watch-ckpt"), spike_thresholds(history), file_glob=TABLE_GLOB,
-                          watermark=watermark, files_per_batch=None)
-    q.awaitTermination()
+    """E7 over the whole events table: the fences come from the batch
+    history, the stream is drained against them in one micro-batch (files
+    needn't be in event-time order) together with the event that ends the
+    table, and a second, empty one closes all of its days. Their alerts."""
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/{TABLE}")
+    out_dir, ckpt, end_dir = (scratch_path(spark, f"spike-watch{x}") for x in ("", "-ckpt", "-end"))
+    write_end(events, watermark, end_dir)
+    fences = spike_thresholds(daily_demand_stream(events))
+    drain(spark, sf_dir, lambda _: start_spike_watch(spark, sf_dir, out_dir, ckpt, fences, file_glob=TABLE_GLOB, watermark=watermark,
+                                                     files_per_batch=None, end_dir=end_dir))
     return read_alerts(spark, out_dir)
 
 

@@ -104,6 +104,19 @@ def test_drains_read_a_folder_table(spark, tmpdir_path):
     assert [(r["date"], r["qty"]) for r in drain_spike_watch(spark, tmpdir_path).collect()] == [(dt.date(2024, 1, 13), 50.0)]
 
 
+def test_spike_watch_alerts_the_last_days_too(spark, tmpdir_path):
+    from replenish.streaming.daily_demand import drain_spike_watch
+    t = dt.datetime(2024, 1, 10, 12, 0)
+    quantity = {5: 40, 10: 50, 11: 60}  # 11 is the table's last day
+    rows = [(i, t + dt.timedelta(days=i), 7, "purchase", 1.0, '{"k": %d}' % quantity.get(i, 2)) for i in range(12)]
+    # as many days of 2 as the fence needs to stay below the spikes
+    rows += [(20 + i, t - dt.timedelta(days=1 + i), 7, "purchase", 1.0, '{"k": 2}') for i in range(20)]
+    rows += [(50, t + dt.timedelta(days=40), 7, "view", 1.0, '{"k": 99}'), (51, t, 7, "purchase", 1.0, None)]
+    _events(spark, rows).repartition(3).write.parquet(os.path.join(tmpdir_path, "events.parquet"))
+    got = sorted((r["date"], r["qty"]) for r in drain_spike_watch(spark, tmpdir_path).collect())
+    assert got == [(t.date() + dt.timedelta(days=i), float(q)) for i, q in quantity.items()]
+
+
 def test_drain_keeps_old_days_behind_newer_files(spark, tmpdir_path, monkeypatch):
     import shutil
     from replenish.streaming.daily_demand import drain_daily_demand
