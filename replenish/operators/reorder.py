@@ -67,6 +67,16 @@ def reorder_plan(health: DataFrame) -> DataFrame:
     return health.where(F.col("recommended_order_qty") > 0).select(*REORDER_PLAN_COLS, "warehouse", "annual_revenue")
 
 
+def classed_plan(df: DataFrame) -> DataFrame:
+    """R14 of planning rows that have no ABC classes yet. Rows with nothing to order count towards the running revenue
+    alone, so they pass the scan as their order keys, the others with the plan's columns."""
+    cols = [c for c in REORDER_PLAN_COLS if c not in ("abc_class", *TIE)]
+    plan = F.when(F.col("recommended_order_qty") > 0, F.struct(*cols)).alias("_plan")
+    found = abc_classes(df.select(*TIE, "annual_revenue", plan)).where(F.col("_plan").isNotNull())
+    named = {c: F.col("_plan").getField(c).alias(c) for c in cols}
+    return found.select(*[named.get(c, F.col(c)) for c in REORDER_PLAN_COLS], "warehouse", "annual_revenue")
+
+
 def plan_order():
     """R14 order: risk text ascending, order value descending, then base order."""
     return [F.col("stockout_risk").asc(), F.col("recommended_order_value").desc(), *revenue_order()]

@@ -34,6 +34,25 @@ def test_abc_uses_range_partitioned_scan(spark):
     assert "SinglePartition" not in p.split("Subquery")[0]
 
 
+def test_the_plan_ranks_narrow_rows(spark, monkeypatch):
+    """Rows with nothing to order pass the ranking as their keys alone, the others with the plan's columns."""
+    from fixtures import mini_tables
+    from replenish.operators import reorder as R
+    from replenish.plans.model import SupplyModel
+    ranked, running = [], R.running
+    monkeypatch.setattr(R, "running", lambda df, *a, **k: ranked.append(df) or running(df, *a, **k))
+    m = SupplyModel(spark, mini_tables(spark), seed=False)
+    got = m.reorder_plan()
+    assert set(ranked[0].columns) == {*R.TIE, "annual_revenue", "_plan"}
+    orders = m.base.where("recommended_order_qty > 0").count()
+    assert 0 < orders < m.base.count() == ranked[0].count() and ranked[0].where("_plan is not null").count() == orders
+    whole = R.reorder_plan(m.health)
+    assert got.columns == whole.columns and got.schema.simpleString() == whole.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+    # classes that are there already are used
+    assert sorted(map(str, m.reorder_plan().collect())) == sorted(map(str, whole.collect())) and len(ranked) == 2
+
+
 def test_seeding_reads_the_sales_once(spark, tmpdir_path):
     from replenish.operators.demand import seed_inventory
     path = f"{tmpdir_path}/sales"
