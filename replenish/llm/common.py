@@ -64,6 +64,24 @@ def passing():
         dropped(*own)
 
 
+#: Rows that Spark hands to Python at once, where they are whole texts.
+TEXTS_AT_ONCE = 2_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs started inside hand ``TEXTS_AT_ONCE`` rows to Python at once at most: a batch of texts lies in the executor's
+    and its Python worker's memory, there in several forms."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= TEXTS_AT_ONCE:
+        spark.conf.set(key, TEXTS_AT_ONCE)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _shipped: set[str] = set()
 
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replenish.llm.common import bitmap, collect_bitmap, dropped, in_bitmap, mix, passing, ship, slices, split_join, stored, text_bytes
+from replenish.llm.common import bitmap, collect_bitmap, dropped, in_bitmap, mix, passing, ship, slices, small_batches, split_join, stored, text_bytes
 
 #: Bytes of a repeated string; of an anchor's seed.
 SPAN, SEED = 200, 32
@@ -130,9 +130,10 @@ def intervals(lcp: np.ndarray):
     # the root (depth 0) is popped by the final -1
 
 
-def maximal_repeats(right: list[bytes], left: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray]]]:
+def maximal_repeats(right: list[bytes], left: list[bytes], span: int, listed: bool = True) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray]]]:
     """Longest repeated extensions around a seed, in the order given: bytes to the left and from the anchor on of each
-    member (0 and 0: none), and the maximal repeats as (left, right, members). ``left`` strings run away from the anchor."""
+    member (0 and 0: none), and, if they are to be ``listed``, the maximal repeats as (left, right, members): nested
+    intervals name their members again and again. ``left`` strings run away from the anchor."""
     n, width = len(right), max(map(len, right))
     order = np.array(sorted(range(n), key=right.__getitem__))
     r, rl = matrix([right[i] for i in order], width)
@@ -168,6 +169,8 @@ def maximal_repeats(right: list[bytes], left: list[bytes], span: int) -> tuple[n
         hit[:-1] |= long_
         np.maximum.at(most_left, run[hit], own[hit])
         np.maximum.at(most_right, run[hit], d)
+        if not listed:
+            continue
         cut = np.flatnonzero(~long_) + 1
         for part in np.split(np.arange(len(run)), cut):
             if len(part) > 1:
@@ -201,7 +204,7 @@ def _group_spans(batches, span: int):
             for y in (0, 1):
                 left[i[good] + y], right[i[good] + y] = both[0][good], both[1][good]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            left[s:s + n], right[s:s + n], _ = maximal_repeats(rights[s:s + n], lefts[s:s + n], span)
+            left[s:s + n], right[s:s + n], _ = maximal_repeats(rights[s:s + n], lefts[s:s + n], span, listed=False)
         hit = np.flatnonzero(right)
         return pa.RecordBatch.from_arrays([t["digest"].take(pa.array(hit)).combine_chunks(), pa.array(place[hit] - left[hit]), pa.array(place[hit] + right[hit])],
                                           ["digest", "first", "end"])
@@ -360,7 +363,7 @@ def repeat_spans(docs: DataFrame, span: int = SPAN, seed: int = SEED, group_most
     """(digest, spans): the [first, end) byte ranges, overlapping and in no order, that cover the repeated strings of
     every distinct text that has some. Texts that occur more than once are repeated as a whole, which isn't told here."""
     ship(docs.sparkSession)
-    with passing() as keep:
+    with small_batches(docs.sparkSession), passing() as keep:
         return keep(_repeat_spans(docs, span, seed, group_most))
 
 
@@ -378,12 +381,11 @@ def _repeat_spans(docs: DataFrame, span: int, seed: int, group_most: int) -> Dat
                                               F.collect_set(F.when(F.col("big"), F.col("spot"))).alias("big")), "picked")
     some_large = not seeds.where(F.col("n") > group_most).isEmpty()
     dropped(spots, seeds)
-    texts = _texts_of(docs, picked)
     kinds = "seed long, digest binary, place long, right binary, left binary"
 
     def contexts(which: str) -> DataFrame:
         mine = picked.where(F.size(which) > 0).select("digest", F.col(which).alias("spots"))
-        return texts.join(mine, "digest").select("digest", "text", "spots").mapInArrow(lambda b: _cut(b, span, seed), kinds)
+        return _texts_of(docs, mine).join(mine, "digest").select("digest", "text", "spots").mapInArrow(lambda b: _cut(b, span, seed), kinds)
 
     rows, found = contexts("spots"), None
     if some_large:

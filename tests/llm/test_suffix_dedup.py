@@ -118,3 +118,41 @@ def test_removed_texts_stay_valid(make_docs):
     for d, t in rows:
         kept = (out[d].text or "").encode()
         assert want[d] <= len(kept) <= want[d] + 2 * 3 * 10
+
+
+def test_repeats_are_listed_on_demand():
+    """Spans need no list of the nested intervals' members."""
+    rng = random.Random(3)
+    right = [bytes(rng.choice(b"ab") for _ in range(3)) + b"x" * 250 for _ in range(40)]
+    left = [b"y" * rng.randrange(30, 100) for _ in range(40)]
+    a, b, listed = S.maximal_repeats(right, left, 200)
+    c, d, none = S.maximal_repeats(right, left, 200, listed=False)
+    assert a.tolist() == c.tolist() and b.tolist() == d.tolist() and b.any() and listed and none == []
+
+
+def test_small_batches_of_texts(spark, make_docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def told(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    from replenish.llm.common import TEXTS_AT_ONCE, small_batches
+    with small_batches(spark):
+        sizes = [r.n for r in make_docs([(i, "x") for i in range(5000)]).coalesce(1).select("doc_id").mapInArrow(told, "n long").collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= TEXTS_AT_ONCE and spark.conf.get(key) == before
+
+
+def test_only_texts_of_large_groups_travel_for_them(spark, make_docs, monkeypatch):
+    """Texts without a context in a large group aren't shuffled for these groups again."""
+    rng, asked, texts_of = random.Random(5), [], S._texts_of
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, pair = text(300), text(300)
+    texts = [text(250) + common + text(250) for _ in range(9)] + [text(250) + pair + text(250) for _ in range(2)]
+    monkeypatch.setattr(S.repeat_spans, "__defaults__", (S.SPAN, S.SEED, 5))
+    monkeypatch.setattr(S, "_texts_of", lambda docs, digests: asked.append(digests.count()) or texts_of(docs, digests))
+    assert run(make_docs([*enumerate(texts)])) == brute([*enumerate(texts)])
+    assert 9 in asked[:2] and 11 not in asked[:2]
